@@ -8,8 +8,12 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {
+    "op2_mixing": "mixing",
     "op3_private_data": "private_data",
+    "op5_html_extraction": "html_extraction",
+    "op6_media_columns": "matroska",
     "op7_quality_rules": "quality_rules",
+    "op9_quality_classifier": "kneser_ney",
 }
 
 
