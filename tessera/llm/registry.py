@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES = {
     "op2_mixing": "mixing",
     "op3_private_data": "private_data",
+    "op4_sentencepiece": "sentencepiece_lattice",
     "op5_html_extraction": "html_extraction",
     "op6_media_columns": "matroska",
     "op7_quality_rules": "quality_rules",
