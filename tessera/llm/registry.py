@@ -15,6 +15,7 @@ QUERIES = {
     "op6_media_columns": "matroska",
     "op7_quality_rules": "quality_rules",
     "op9_quality_classifier": "kneser_ney",
+    "op10_suffix_dedup": "suffix_dedup",
 }
 
 
