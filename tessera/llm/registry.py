@@ -8,6 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES = {
+    "op1_recurrent_lm": "recurrent_lm",
     "op2_mixing": "mixing",
     "op3_private_data": "private_data",
     "op4_sentencepiece": "sentencepiece_lattice",
