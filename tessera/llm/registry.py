@@ -15,6 +15,7 @@ QUERIES = {
     "op5_html_extraction": "html_extraction",
     "op6_media_columns": "matroska",
     "op7_quality_rules": "quality_rules",
+    "op8_jaccard_join": "jaccard_join",
     "op9_quality_classifier": "kneser_ney",
     "op10_suffix_dedup": "suffix_dedup",
 }
