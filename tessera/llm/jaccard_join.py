@@ -342,5 +342,15 @@ def linked(sets: DataFrame, n: int, largest: int) -> DataFrame:
     return components(first.union(second))
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, one of each component: that of the least doc_id; of rows with its doc_id and text one.
+
+    Documents without words and rows without a doc_id link with nothing that has one, and stay, equal rows once.
+    """
+    out = joined(docs).where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
+    out = materialise(out.select(F.col("doc_id").alias("j_id")).distinct())
+    return docs.join(out, F.col("doc_id") == F.col("j_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
