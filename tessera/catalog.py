@@ -32,7 +32,7 @@ def _load() -> None:
 
 
 #: Modules that register queries.
-MODULES: list[str] = []
+MODULES = ["tessera.plans.text_queries"]
 
 
 def queries() -> dict[str, Query]:
