@@ -32,7 +32,7 @@ def _load() -> None:
 
 
 #: Modules that register queries.
-MODULES = ["tessera.plans.text_queries"]
+MODULES = ["tessera.plans.text_queries", "tessera.plans.retrieval_queries"]
 
 
 def queries() -> dict[str, Query]:
@@ -46,4 +46,21 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(5)
+    """Chunks with their neighbours' context that hold the opening words of a benchmark item, eight per item."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text as t
+    from tessera.operators.retrieval import context
+    from tessera.plans.text_queries import document_chunks
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(5).collect()
+    chunks = context(document_chunks(spark, sf_dir))
+    low = t.matchable(F.col("text"))
+    scores = [
+        F.struct(F.lit(x["item_id"]).alias("query_id"), sum((F.contains(low, F.lit(w)).cast("int") for w in x["text"].lower().split()[:6]), F.lit(0)).alias("score"))
+        for x in items
+    ]
+    d = chunks.select("file_id", "chunk_index", "context", F.explode(F.array(*scores)).alias("s")).select("s.*", "file_id", "chunk_index", F.length("context").alias("context_chars"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "file_id", "chunk_index")
+    return d.withColumn("rank", F.row_number().over(best)).where("rank <= 8 AND score > 0")
