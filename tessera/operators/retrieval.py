@@ -71,13 +71,14 @@ def ordered(*keys: str):
     return [F.expr(k.removesuffix(" DESC")).desc() if k.endswith(" DESC") else F.expr(k).asc() for k in keys]
 
 
-RANK_KEYS = ordered(*[k.strip() for k in scoring.RANK_ORDER.split(", ")])
+def rank_keys():
+    return ordered(*[k.strip() for k in scoring.RANK_ORDER.split(", ")])
 
 
 def ranked(hits: DataFrame) -> DataFrame:
     """place: strong phrases first (or, without any, hits with all core words), then by the eight keys; the best semantic ones before all."""
     by = Window.partitionBy("query_id")
-    d = fused(scored(hits)).withColumn("base_rank", F.row_number().over(by.orderBy(*RANK_KEYS)))
+    d = fused(scored(hits)).withColumn("base_rank", F.row_number().over(by.orderBy(*rank_keys())))
     strong = (F.col("phrase") >= 20) | (F.col("stem") >= 28)
     d = d.withColumn("any_strong", F.max(strong.cast("int")).over(by))
     full = (F.col("n_core") >= 2) & (F.col("core_matches") >= F.col("n_core"))
