@@ -88,6 +88,8 @@ def lace(frames: list[bytes], kind: int) -> bytes:
 
 def simple_block(frames: list[bytes], relative: int, kind: int) -> bytes:
     kind = kind if len(frames) > 1 else 0
+    if kind == 2 and len(set(map(len, frames))) > 1:
+        kind = 3
     head = b"\x81" + struct.pack(">hB", relative, 0x80 | {0: 0, 1: 2, 2: 4, 3: 6}[kind])
     return element(SIMPLE_BLOCK, head + (lace(frames, kind) if kind else b"") + b"".join(frames))
 
