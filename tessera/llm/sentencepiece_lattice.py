@@ -360,7 +360,7 @@ def clean(text: str | None) -> str:
 def encoded(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:
     """The documents, all columns, with pieces (ids) and scores (of the n best segmentations)."""
     types = docs.drop("pieces", "scores")
-    schema = types.schema.add("pieces", T.ArrayType(T.IntegerType())).add("scores", T.ArrayType(T.DoubleType()))
+    schema = T.StructType([*types.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
     at = types.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
