@@ -10,7 +10,7 @@ END = "(?![\\p{L}\\p{N}_])"
 START = "(?<![\\p{L}\\p{N}_])"
 CADASTRAL = START + "\\d{2}:\\d{2}:\\d{6,7}:\\d+" + END
 AREA = "(?iu)(\\d+(?:[.,]\\d+)?)\\s*(?:кв\\.?\\s*м|м²|м2)" + END
-MONEY = "(?iu)(\\d+(?:[  .,]\\d+)*)\\s*(?:руб\\.?|рублей|₽)"
+MONEY = "(?iu)(\d+(?:[ \u00a0.,]\d+)*)\s*(?:руб\.?|рублей|₽)"
 TERM = "(?iu)(\\d+)\\s*(лет|года|год|месяц(?:ев|а)?|мес\\.?)" + END
 DATE = START + "(\\d{1,2})[./](\\d{1,2})[./](\\d{2,4})" + END
 
@@ -21,7 +21,7 @@ def matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 def numbers(found: Column) -> Column:
     """As doubles: spaces of either kind and a decimal comma are allowed, what isn't a number is left out."""
-    return F.array_compact(F.transform(found, lambda x: F.replace(F.translate(x, "  ", ""), F.lit(","), F.lit(".")).try_cast("double")))
+    return F.array_compact(F.transform(found, lambda x: F.replace(F.translate(x, " \u00a0", ""), F.lit(","), F.lit(".")).try_cast("double")))
 
 
 def cadastral(c: Column) -> Column:

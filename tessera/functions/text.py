@@ -25,7 +25,7 @@ def clean(c: Column) -> Column:
 
 def matchable(c: Column) -> Column:
     """Lower case, no soft hyphens, one space for runs of spaces and dashes."""
-    c = F.replace(F.replace(F.lower(c), F.lit("­"), F.lit("")), F.lit("‐"), F.lit("-"))
+    c = F.replace(F.replace(F.lower(c), F.lit("\u00ad"), F.lit("")), F.lit("\u2010"), F.lit("-"))
     return strip(F.regexp_replace(c, "(?U)[\\s\\-–—]+", " "))
 
 
@@ -51,7 +51,7 @@ def one_line_breaks(c: Column) -> Column:
 
 def unescaped(c: Column) -> Column:
     """The named references that web pages here use; the ampersand last."""
-    for name, value in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+    for name, value in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(value))
     return c
 

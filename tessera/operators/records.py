@@ -51,4 +51,4 @@ def filled_columns(rows: DataFrame) -> list[str]:
 
 
 def grouped_number(c: Column, digits: int = 2) -> Column:
-    return F.replace(F.format_number(c, digits), F.lit(","), F.lit(" "))
+    return F.replace(F.format_number(c, digits), F.lit(","), F.lit("\u00a0"))

@@ -16,7 +16,7 @@ from tessera.plans.common import table
 AS_OF = "2024-01-20 00:00:00"
 
 PAPERS = [
-    (1, "Адрес: г. Москва, ул. Ленина, д. 5\nКадастровый номер 77:01:0003022:1013, площадь 45,6 м², цена 1 234,50 руб. на 5 лет с 01.02.2024 по 31.02.2024"),
+    (1, "Адрес: г. Москва, ул. Ленина, д. 5\nКадастровый номер 77:01:0003022:1013, площадь 45,6 м², цена 1\u00a0234,50 руб. на 5 лет с 01.02.2024 по 31.02.2024"),
     (2, "Объект недвижимости 77:01:000302:7 и 77:01:0003020:2330; 45 кв.м, 12.5 кв. м; 1.234.567 руб; 300 рублей; 11 месяцев; 01/02/24"),
     (3, "Собственник: ФГУП «Вода»\nплощадь 100 м2 100 м2х\n5 000 ₽ и 10 ₽, 2 года, 3 мес. 7.8.99 12.12.2023"),
     (4, ""),
@@ -50,7 +50,7 @@ BEFORE = "(?:^|[^\\p{L}\\p{N}_])"
 DOUBLES = "list_filter(list_transform(regexp_extract_all(text, '{}', 1), lambda x: TRY_CAST(replace(replace(replace(x, ' ', ''), chr(160), ''), ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
 CADASTRAL_SQL = f"regexp_extract_all(text, '{BEFORE}(\\d{{2}}:\\d{{2}}:\\d{{6,7}}:\\d+)', 1)"
 AREAS_SQL = DOUBLES.format(f"(?i)(\\d+(?:[.,]\\d+)?)\\s*(?:кв\\.?\\s*м|м²|м2){EDGE}")
-MONEY_SQL = DOUBLES.format("(?i)(\\d+(?:[  .,]\\d+)*)\\s*(?:руб\\.?|рублей|₽)")
+MONEY_SQL = DOUBLES.format("(?i)(\\d+(?:[ \u00a0.,]\\d+)*)\\s*(?:руб\\.?|рублей|₽)")
 
 
 @query("extract_cadastral", f"SELECT case_id, {CADASTRAL_SQL} AS found, {CADASTRAL_SQL}[1] AS first FROM {PAPERS_SQL}")
