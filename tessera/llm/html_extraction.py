@@ -198,8 +198,10 @@ def extract(model: Boosted, htmls: list[str | None]) -> list[str]:
 
 
 def sample(pages: DataFrame) -> list[str]:
-    d = pages.select("html").where(F.length("html").between(1, TRAIN_CHARS))
-    return [r["html"] for r in d.orderBy(F.xxhash64("html"), "html").limit(TRAIN_PAGES).collect()]
+    """The distinct pages with the least hashes; hashes go to the driver first, then only the pages that have them."""
+    d = pages.select("html", F.xxhash64("html").alias("h")).where(F.length("html").between(1, TRAIN_CHARS))
+    least = [r["h"] for r in d.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).collect()]
+    return sorted(r["html"] for r in d.where(F.col("h").isin(least)).select("html").distinct().collect()) if least else []
 
 
 def extracted(pages: DataFrame) -> DataFrame:
