@@ -29,60 +29,99 @@ from math import comb, exp
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .exchange import bytes_of, chunks_of, mix, pack, pack_sorted, split_at, unpack, unpack_sorted
+from .exchange import PIECE, bytes_of, chunks_of, mix, pack, pack_sorted, split_at, unpack, unpack_sorted
 
 N = 5
 THRESHOLD = 75
 BITS = 48
 #: What a chance pair costs in signatures.
 PAIR_COST = 20.0
+#: Shingles whose signatures are made at once.
+SLICE = 60_000
 SUBSETS = [(0, 1), (1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (2, 6), (2, 7), (3, 6), (3, 7), (3, 8)]
 
 
-def shingles(body: bytes, hashes: dict[bytes, int]) -> np.ndarray:
-    """The distinct shingles of a text as ascending 48-bit numbers."""
-    w = body.lower().split()
-    if not w:
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BLANK = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: A random number for each byte of a word.
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+STEP = np.uint64(0x5851F42D4C957F2D)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some documents, letters A-Z as a-z, and the document of each."""
+    solid = ~BLANK[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    edge = starts[:-1][np.diff(starts) > 0]
+    first[edge] = solid[edge]
+    at = np.flatnonzero(solid)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    begin = np.flatnonzero(first)
+    word = np.cumsum(first[at]) - 1
+    place = at - begin[word]
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(int(place.max()) + 1, STEP, np.uint64), dtype=np.uint64)
+        h = np.add.reduceat(BYTE[LOWER[data[at]]] * powers[place], np.flatnonzero(first[at]))
+    return mix(h), np.searchsorted(starts, begin, side="right") - 1
+
+
+def shingle_sets(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """The distinct shingles of each document as ascending 48-bit numbers."""
+    out: list[np.ndarray] = []
+    n, i = len(starts) - 1, 0
+    while i < n:
+        # Whole documents of about a piece at a time.
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE, side="right")) - 1)
+        own = starts[i : j + 1] - starts[i]
+        h, doc = word_hashes(data[starts[i] : starts[j]], own)
+        ends = np.searchsorted(doc, np.arange(j - i + 1))
+        long = folded(h, N)
+        for a, b in zip(ends, ends[1:], strict=False):
+            x = np.sort(long[a : b - N + 1] if b - a >= N else folded(h[a:b], max(1, b - a)))
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) > 1 else x)
+        i = j
+    return out
+
+
+def folded(h: np.ndarray, n: int) -> np.ndarray:
+    """48-bit hashes of every n words in a row."""
+    if len(h) < n:
         return np.zeros(0, np.uint64)
-    get = hashes.get
-    h = []
-    for x in w:
-        v = get(x)
-        if v is None:
-            v = hashes[x] = xxhash.xxh64_intdigest(x)
-        h.append(v)
-    a = np.array(h, np.uint64)
     with np.errstate(over="ignore"):
-        n = min(N, len(a))
-        s = np.full(len(a) - n + 1, n, np.uint64)
+        s = np.full(len(h) - n + 1, n, np.uint64)
         for k in range(n):
-            s = mix(s * np.uint64(31) + a[k : k + len(s)])
-    return np.unique(s >> np.uint64(64 - BITS))
+            s = (s ^ h[k : k + len(s)]) * np.uint64(0xD6E8FEB86659FD93)
+            s ^= s >> np.uint64(32)
+        return mix(s) >> np.uint64(64 - BITS)
 
 
-def set_id(s: np.ndarray) -> int:
-    """One number for a set; the sum of its mixed members."""
+def set_ids(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One number for each set; from the sum of its mixed members and its size."""
     with np.errstate(over="ignore"):
-        return int((mix(s + np.uint64(0x51ED27)).sum(dtype=np.uint64) ^ mix(np.array([len(s)], np.uint64))[0]).view(np.int64))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat + np.uint64(0x51ED27)), dtype=np.uint64)])
+        end = np.cumsum(sizes)
+        return ((total[end] - total[end - sizes]) ^ mix(sizes.astype(np.uint64))).view(np.int64)
 
 
 class Sets:
     def __init__(self, group: pa.Table) -> None:
         self.ids = [None if n else i for i, n in zip(group.column("doc_id").to_pylist(), group.column("no_id").to_pylist(), strict=True)]
-        data, starts = bytes_of(group.column("body"))
-        raw, hashes = data.tobytes(), {}
-        self.sets = [shingles(raw[s:e], hashes) for s, e in zip(starts, starts[1:], strict=False)]
-        self.names = [set_id(s) for s in self.sets]
-        first = {n: i for i, n in reversed(list(enumerate(self.names)))}
-        self.distinct = sorted(first.values())
-        self.all = np.concatenate([self.sets[i] for i in self.distinct])
-        self.hashes, counts = np.unique(self.all, return_counts=True)
-        self.several = counts > 1
+        self.sets = shingle_sets(*bytes_of(group.column("body")))
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        flat = np.concatenate(self.sets)
+        self.names = set_ids(flat, self.sizes)
+        _, first = np.unique(self.names, return_index=True)
+        self.hashes, self.of = np.unique(flat, return_inverse=True)
+        distinct = np.zeros(len(self.sets), bool)
+        distinct[first] = True
+        self.several = np.bincount(self.of[np.repeat(distinct, self.sizes)], minlength=len(self.hashes)) > 1
 
 
 ROW = "bucket int, chunk int, blob binary"
@@ -131,11 +170,12 @@ def describe(group: pa.Table, answers: pa.Table) -> pa.Table:
     by = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
     shared = [np.unpackbits(bits, count=int(n[0])).astype(bool) for bits, n in (unpack(b) for _, b in by)]
     shared = np.concatenate(shared) if shared else np.zeros(0, bool)
-    live = []
-    for x in s.sets:
-        keep = x[shared[np.searchsorted(s.hashes, x)]]
-        live.append(pack_sorted(keep) if len(keep) and 100 * len(keep) >= THRESHOLD * len(x) else None)
-    return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "n_shingles": pa.array([len(x) for x in s.sets], pa.int64()), "set_id": pa.array(s.names, pa.int64()), "live": pa.array(live, pa.binary())})
+    keep = shared[s.of] if len(s.of) else np.zeros(0, bool)
+    end = np.cumsum(s.sizes)
+    total = np.concatenate([[0], np.cumsum(keep)])
+    count = total[end] - total[end - s.sizes]
+    live = [pack_sorted(x[keep[e - len(x) : e]]) if c and 100 * c >= THRESHOLD * len(x) else None for x, e, c in zip(s.sets, end, count, strict=True)]
+    return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "n_shingles": pa.array(s.sizes), "set_id": pa.array(s.names), "live": pa.array(live, pa.binary())})
 
 
 def band_edges(largest: int) -> list[int]:
@@ -156,7 +196,7 @@ def plan(edges: list[int], counts: dict[int, int]) -> list[tuple[int, int, int]]
             out.append((0, 0, 0))
             continue
         n = counts.get(b, 0) + counts.get(b - 1, 0)
-        least = max(1.0, low * (THRESHOLD / 100) ** 2)
+        least = max(1.0, low * THRESHOLD / 100)
         best = None
         for k2, n2 in [*SUBSETS, (1, 0)]:
             n1 = -(-(k + 1) // (k2 + 1))
@@ -206,8 +246,10 @@ def send_signatures(n: int, edges: list[int], schemes: list[tuple[int, int, int]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 2048):
-                part = batch.slice(start, 2048)
+            # Sets up to SLICE shingles at a time bound what their signatures take.
+            cut = np.cumsum(batch.column(1).to_numpy()) // SLICE
+            for start in np.flatnonzero(np.diff(cut, prepend=-1)):
+                part = batch.slice(start, int(np.searchsorted(cut, cut[start], side="right")) - start)
                 ids, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
                 tokens = [unpack_sorted(b) for b in part.column(2).to_pylist()]
                 band = np.searchsorted(edges, sizes, side="right") - 1
@@ -223,14 +265,14 @@ def send_signatures(n: int, edges: list[int], schemes: list[tuple[int, int, int]
                     continue
                 s, o = np.concatenate(sigs), np.concatenate(owners)
                 order = np.lexsort((o, s))
-                s, o = s[order], o[order].astype(np.uint16)
-                cut = split_at(s, n, BITS)
+                s, o = s[order], o[order].astype(np.uint32)
+                ends = split_at(s, n, BITS)
                 buckets, blobs_ = [], []
-                for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+                for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)):
                     if y > x:
                         used, number = np.unique(o[x:y], return_inverse=True)
                         buckets.append(b)
-                        blobs_.append(pack(np.frombuffer(pack_sorted(s[x:y]), np.uint8), number.astype(np.uint16), ids[used], sizes[used]))
+                        blobs_.append(pack(np.frombuffer(pack_sorted(s[x:y]), np.uint8), number.astype(np.uint32), ids[used], sizes[used]))
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs_, pa.binary())], names=["bucket", "blob"])
 
     return run
