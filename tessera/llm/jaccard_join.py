@@ -40,6 +40,8 @@ THRESHOLD = 75
 BITS = 48
 #: What a chance pair costs in signatures.
 PAIR_COST = 20.0
+#: Bits of a set's sketch, and the largest group that is split by sketches; larger ones stay whole.
+SKETCH, WHOLE = 512, 512
 #: Shingles whose signatures are made at once.
 SLICE = 60_000
 SUBSETS = [(0, 1), (1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (2, 6), (2, 7), (3, 6), (3, 7), (3, 8)]
@@ -252,6 +254,7 @@ def send_signatures(n: int, edges: list[int], schemes: list[tuple[int, int, int]
                 part = batch.slice(start, int(np.searchsorted(cut, cut[start], side="right")) - start)
                 ids, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
                 tokens = [unpack_sorted(b) for b in part.column(2).to_pylist()]
+                drawn = sketches(tokens)
                 band = np.searchsorted(edges, sizes, side="right") - 1
                 sigs, owners = [], []
                 for b in np.unique(band):
@@ -272,33 +275,76 @@ def send_signatures(n: int, edges: list[int], schemes: list[tuple[int, int, int]
                     if y > x:
                         used, number = np.unique(o[x:y], return_inverse=True)
                         buckets.append(b)
-                        blobs_.append(pack(np.frombuffer(pack_sorted(s[x:y]), np.uint8), number.astype(np.uint32), ids[used], sizes[used]))
+                        blobs_.append(pack(np.frombuffer(pack_sorted(s[x:y]), np.uint8), number.astype(np.uint32), ids[used], sizes[used], drawn[used]))
                 yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs_, pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
+def sketches(tokens: list[np.ndarray]) -> np.ndarray:
+    """SKETCH bits for each set, each the parity of a part of its shingles: they differ in no more bits than sets in shingles."""
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    bit = (mix(np.concatenate(tokens) ^ np.uint64(0xA5A5A5)) >> np.uint64(32)).astype(np.int64) % SKETCH
+    odd = np.bincount(owner * SKETCH + bit, minlength=len(tokens) * SKETCH).reshape(len(tokens), SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1).view("<u8")
+
+
+def may_link(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """False only for pairs that are too far apart by size or sketch."""
+    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    fits = 100 * np.minimum(size_a, size_b) >= THRESHOLD * np.maximum(size_a, size_b)
+    return fits & ((100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (size_a + size_b))
+
+
+def split_group(rows: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The parts of a group between which no pair may link; parts of one are left out."""
+    if len(rows) > WHOLE:
+        return [rows]
+    near = may_link(sketch[rows][:, None], size[rows][:, None], sketch[rows][None], size[rows][None])
+    label = np.arange(len(rows))
+    while True:
+        low = np.where(near, label[None], len(rows)).min(axis=1)
+        if (low == label).all():
+            break
+        label = low
+    return [part for k in np.unique(label) if len(part := rows[label == k]) > 1]
+
+
 def groups_of(group: pa.Table) -> pa.Table:
-    """name, members: the distinct groups of two or more sets with one signature, ascending."""
-    sigs, ids = [], []
+    """name, members: the distinct groups of two or more sets with one signature that may link, ascending."""
+    sigs, sets, sizes, drawn, start = [], [], [], [], 0
+    at = []
     for blob in group.column("blob").to_pylist():
-        packed, number, own, _ = unpack(blob)
+        packed, number, own, size, sketch = unpack(blob)
         sigs.append(unpack_sorted(packed.tobytes()))
-        ids.append(own[number])
-    s, i = np.concatenate(sigs), np.concatenate(ids)
+        at.append(number.astype(np.int64) + start)
+        sets.append(own)
+        sizes.append(size)
+        drawn.append(sketch)
+        start += len(own)
+    ids, first, of = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
+    size, sketch = np.concatenate(sizes)[first], np.concatenate(drawn)[first]
+    s, i = np.concatenate(sigs), of[np.concatenate(at)]
     order = np.lexsort((i, s))
     s, i = s[order], i[order]
     keep = np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1])])
     s, i = s[keep], i[keep]
     starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    sizes = np.diff(np.append(starts, len(s)))
-    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    counts = np.diff(np.append(starts, len(s)))
+    starts, counts = starts[counts > 1], counts[counts > 1]
     with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(i.astype(np.uint64)), dtype=np.uint64)])
-        names = total[starts + sizes] - total[starts]
-    _, first = np.unique(names, return_index=True)
-    members = [i[starts[k] : starts[k] + sizes[k]] for k in first]
-    return pa.table({"name": pa.array(names[first].view(np.int64)), "members": pa.array(members, pa.list_(pa.int64()))})
+        mixed = mix(ids.astype(np.uint64))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed[i], dtype=np.uint64)])
+        _, one = np.unique(total[starts + counts] - total[starts], return_index=True)
+        starts, counts = starts[one], counts[one]
+        two = counts == 2
+        a, b = i[starts[two]], i[starts[two] + 1]
+        ok = may_link(sketch[a], size[a], sketch[b], size[b])
+        parts = [np.array(p) for p in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
+        for x, n in zip(starts[~two].tolist(), counts[~two].tolist(), strict=True):
+            parts += split_group(i[x : x + n], sketch, size)
+        names = [int(mixed[p].sum(dtype=np.uint64).view(np.int64)) for p in parts]
+    return pa.table({"name": pa.array(names, pa.int64()), "members": pa.array([ids[p] for p in parts], pa.list_(pa.int64()))})
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
