@@ -10,8 +10,8 @@ A document's set holds its distinct N-word shingles.  Sets link at a Jaccard sim
    each band, a cost model over the number of sets in it picks the kind, n1 and n2: signatures against chance pairs,
    most of which come from parts without shingles.
 3. Buckets group sets by signature.  The least set of a group is paired with the others, and the pairs are verified
-   exactly.  Components of the links are found; then every pair of a group that still lies in two components is
-   verified as well.  So no link between two components is lost, and no group is expanded into all its pairs unless
+   exactly.  Components of the links are found, and sets outside a group's largest one meet a few of its members; then
+   every pair of a group that still lies in two components is verified as well.  So no link between two components is lost, and no group is expanded into all its pairs unless
    its sets turn out not to belong together.
 
 Shingles and sets are told apart by 48 and 64 bits.
@@ -40,8 +40,10 @@ THRESHOLD = 75
 BITS = 48
 #: What a chance pair costs in signatures.
 PAIR_COST = 20.0
+#: Members of its largest component that others of a group meet first.
+FEW = 4
 #: Bits of a set's sketch, and the largest group that is split by sketches; larger ones stay whole.
-SKETCH, WHOLE = 512, 512
+SKETCH, WHOLE = 512, 128
 #: Shingles whose signatures are made at once.
 SLICE = 60_000
 SUBSETS = [(0, 1), (1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (2, 6), (2, 7), (3, 6), (3, 7), (3, 8)]
@@ -341,8 +343,18 @@ def groups_of(group: pa.Table) -> pa.Table:
         a, b = i[starts[two]], i[starts[two] + 1]
         ok = may_link(sketch[a], size[a], sketch[b], size[b])
         parts = [np.array(p) for p in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
-        for x, n in zip(starts[~two].tolist(), counts[~two].tolist(), strict=True):
-            parts += split_group(i[x : x + n], sketch, size)
+        # A group whose members all may link with its first needs no closer look.
+        more, n = starts[~two], counts[~two]
+        stop = np.cumsum(n)
+        whole = np.ones(len(n), bool)
+        for x in range(0, len(n), 1 << 14):
+            y = min(len(n), x + (1 << 14))
+            begin = np.concatenate([[0], stop[x:y][:-1] - (stop[x] - n[x])])
+            each = i[np.arange(int(n[x:y].sum())) + np.repeat(more[x:y] - begin, n[x:y])]
+            lead = np.repeat(i[more[x:y]], n[x:y])
+            whole[x:y] = np.logical_and.reduceat(may_link(sketch[lead], size[lead], sketch[each], size[each]), begin)
+        for x, k, all_ in zip(more.tolist(), n.tolist(), whole.tolist(), strict=True):
+            parts += [i[x : x + k]] if all_ else split_group(i[x : x + k], sketch, size)
         names = [int(mixed[p].sum(dtype=np.uint64).view(np.int64)) for p in parts]
     return pa.table({"name": pa.array(names, pa.int64()), "members": pa.array([ids[p] for p in parts], pa.list_(pa.int64()))})
 
@@ -416,18 +428,38 @@ def linked(sets: DataFrame, n: int, largest: int) -> DataFrame:
     first = materialise(verified(stars, sets))
     roots = components(first)
 
-    open_ = groups.select("name", F.explode("members").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = open_.groupBy("name").agg(F.collect_list(F.struct("root", "node")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    m = F.sort_array(F.transform("m", lambda e: F.struct(e["node"].alias("node"), e["root"].alias("root"))))
+    # Whoever isn't in a group's largest component meets a few of its members before all of the rest is tried.
+    tried = stars
+    found = first
+    m = open_groups(groups, roots)
+    few = lambda g: F.slice(F.array_sort(F.transform(g, lambda e: F.struct(F.xxhash64(e["node"], F.col("name")).alias("h"), e["node"].alias("node")))), 1, FEW)
+    meet = F.flatten(
+        F.transform(
+            F.filter("m", lambda e: e["root"] != F.col("most")),
+            lambda e: F.transform("some", lambda g: F.struct(F.least(e["node"], g["node"]).alias("a"), F.greatest(e["node"], g["node"]).alias("b"))),
+        )
+    )
+    more = m.withColumn("some", few(F.filter("m", lambda e: e["root"] == F.col("most")))).select(F.explode(meet).alias("p")).select("p.a", "p.b").distinct()
+    more = materialise(more.join(tried, ["a", "b"], "left_anti"))
+    tried = tried.union(more)
+    found = found.union(materialise(verified(more, sets)))
+    roots = components(found)
+
     later = lambda s: F.flatten(
         F.transform(s, lambda e, i: F.transform(F.filter(F.slice(s, i + 2, F.size(s)), lambda g: g["root"] != e["root"]), lambda g: F.struct(e["node"].alias("a"), g["node"].alias("b"))))
     )
-    pairs = open_.withColumn("s", m).select(F.explode(later(F.col("s"))).alias("p")).select("p.a", "p.b").distinct()
-    pairs = pairs.join(stars, ["a", "b"], "left_anti")
-    second = materialise(verified(pairs, sets))
+    pairs = open_groups(groups, roots).select(F.explode(later(F.col("m"))).alias("p")).select("p.a", "p.b").distinct()
+    second = materialise(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets))
     if not second.take(1):
         return roots
-    return components(first.union(second))
+    return components(found.union(second))
+
+
+def open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
+    """name, m (node and root of the members, by node), most (the root of most) of groups in several components."""
+    d = groups.select("name", F.explode("members").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    d = d.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("m"), F.mode("root", True).alias("most"), F.min("root").alias("x"), F.max("root").alias("y"))
+    return d.where("x <> y").select("name", "m", "most")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
