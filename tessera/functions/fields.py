@@ -10,7 +10,7 @@ END = "(?![\\p{L}\\p{N}_])"
 START = "(?<![\\p{L}\\p{N}_])"
 CADASTRAL = START + "\\d{2}:\\d{2}:\\d{6,7}:\\d+" + END
 AREA = "(?iu)(\\d+(?:[.,]\\d+)?)\\s*(?:кв\\.?\\s*м|м²|м2)" + END
-MONEY = "(?iu)(\d+(?:[ \u00a0.,]\d+)*)\s*(?:руб\.?|рублей|₽)"
+MONEY = "(?iu)(\\d+(?:[ \u00a0.,]\\d+)*)\\s*(?:руб\\.?|рублей|₽)"
 TERM = "(?iu)(\\d+)\\s*(лет|года|год|месяц(?:ев|а)?|мес\\.?)" + END
 DATE = START + "(\\d{1,2})[./](\\d{1,2})[./](\\d{2,4})" + END
 
