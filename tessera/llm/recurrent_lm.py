@@ -5,8 +5,8 @@ totals.  The HEAD most frequent words have vectors of their own; others (the tai
 two bytes.  The output is factored: first a class, of HEAD_CLASSES frequency bands of head words or a tail class, then a
 head word by softmax within its band, or a tail word by its count within its class (one unknown word in each).
 
-Weights start from the unigram shares.  In each of ROUNDS rounds every task trains on the share 1/FRACTION of its
-training documents that the round's hash picks, by truncated backpropagation over windows of STEPS tokens, state carried
+Weights start from the unigram shares.  ROUNDS rounds make one pass over all training documents: each takes those of one
+residue of a hash modulo FRACTION.  In a round every task trains on its own documents by truncated backpropagation over windows of STEPS tokens, state carried
 from window to window and reset between documents, with Adagrad; the tasks' weights are averaged by tokens in a tree.
 Scoring runs over every whole document with state carried throughout.
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .exchange import bytes_of, chunks_of, pack, pack_sorted, split_at, unpack, unpack_sorted
 
-HEAD, HEAD_CLASSES, TAIL, HIDDEN = 1024, 16, 32, 32
+HEAD, HEAD_CLASSES, TAIL, HIDDEN = 2048, 32, 32, 32
 CLASSES = HEAD_CLASSES + TAIL
-STREAMS, STEPS, RATE, ROUNDS, FRACTION = 64, 16, 0.2, 2, 16
+STREAMS, STEPS, RATE, ROUNDS, FRACTION = 64, 16, 0.2, 2, 2
 #: In training, longer documents are segments of this many tokens, each in a stream of its own, so that streams end together.
 SEGMENT = 1024
 #: First groups of the tree in which weights are averaged.
@@ -428,6 +428,11 @@ def averaged(sent: DataFrame) -> DataFrame:
     return sent
 
 
+def part(docs: DataFrame, turn: int) -> DataFrame:
+    """The documents of a round; as many rounds as FRACTION see every document once."""
+    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(FRACTION)) == turn % FRACTION) if FRACTION > 1 else docs
+
+
 def trained(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
     """docs: doc_id, text."""
     sc = docs.sparkSession.sparkContext
@@ -458,8 +463,7 @@ def trained(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
                 leaf = xxhash.xxh32_intdigest(net.w[1].tobytes()) % LEAVES
                 yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.int32()), pa.array([n], pa.int64()), pa.array([flat(net.w).astype(np.float32).tobytes()], pa.binary())], names=["leaf", "n", "blob"])
 
-        picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(FRACTION)) == 0) if FRACTION > 1 else docs
-        found = averaged(picked.mapInArrow(run, "leaf int, n long, blob binary")).collect()
+        found = averaged(part(docs, turn).mapInArrow(run, "leaf int, n long, blob binary")).collect()
         if found:
             weights = shaped(np.frombuffer(found[0]["blob"], np.float32), weights)
         shared.unpersist()

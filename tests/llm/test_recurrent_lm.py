@@ -134,3 +134,9 @@ def test_scores_don_t_depend_on_company():
 
 def test_empty(spark):
     assert r.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_rounds_see_every_document_once(spark):
+    docs = spark.createDataFrame([(i, "a") for i in range(300)] + [(None, "a")], "doc_id long, text string")
+    seen = [x.doc_id for turn in range(r.ROUNDS) for x in r.part(docs, turn).collect()]
+    assert len(seen) == 301 and len(set(seen)) == 301
