@@ -1,11 +1,11 @@
 """PII: spans of personal data, and information-theoretic sanitisation around them, in DataFrame operations only.
 
 Base kinds (email, ip, card, phone) are found by pattern.  Every distinct value found is a protected entity.  Corpus
-co-occurrence then says how strongly the terms (runs of letters, lower-cased) within CONTEXT_WORDS words of an
-entity reveal it: with D documents, IC(e) = log2(D / df(e)) and PMI(e; t) = log2(D df(e, t) / (df(e) df(t))), where
-df(e, t) counts distinct contexts, so that copies count once.  A term with at least MIN_CONTEXTS contexts whose PMI
-reaches DISCLOSURE of the entity's IC discloses it: wherever it stands in a document that holds the entity it is a span
-of kind ``term``, and the sanitised text has a general word in its place.
+co-occurrence then says how strongly the terms (runs of letters, lower-cased) of the texts that hold an entity reveal
+it: with D distinct texts, IC(e) = log2(D / df(e)) and PMI(e; t) = log2(D df(e, t) / (df(e) df(t))).  All four count
+distinct texts, so that copies count once, and a term may stand anywhere in a text.  A term that shares at least
+MIN_CONTEXTS texts with an entity and whose PMI reaches DISCLOSURE of the entity's IC discloses it: wherever it stands in
+a document that holds the entity it is a span of kind ``term``, and the sanitised text has a general word in its place.
 
 Defined cases: a null text counts as empty and has no spans; equal texts get equal values; rows repeat as given; an
 empty table gives an empty result; columns besides doc_id and text are ignored or passed through by ``sanitise``; spans
@@ -28,8 +28,6 @@ PATTERNS = {
     "card": "[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
-CONTEXT_WORDS = 5
-CONTEXT_CHARS = 120
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.75
 REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -97,33 +95,29 @@ def entity(span: Column) -> Column:
     )
 
 
-def terms_near(text: Column, span: Column) -> Column:
-    """Terms among the CONTEXT_WORDS words on either side."""
-    taken = F.least(span["start"], F.lit(CONTEXT_CHARS))
-    cut = lambda s: F.filter(F.split(F.lower(s), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
-    left = let(cut(text.substr((span["start"] - taken + 1).cast("int"), taken.cast("int"))), lambda a: F.slice(a, F.greatest(F.size(a) - CONTEXT_WORDS + 1, F.lit(1)), F.lit(CONTEXT_WORDS)))
-    right = F.slice(cut(text.substr((span["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS))), F.lit(1), F.lit(CONTEXT_WORDS))
-    words = F.concat(left, right)
-    runs = F.flatten(F.transform(words, lambda w: F.when(w.rlike("[0-9@]"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(w, F.lit("\\p{L}+"), F.lit(0)))))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text, apart from words with digits or @."""
+    words = F.array_distinct(F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+", -1), lambda w: ~w.rlike("[0-9@]")))
+    runs = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit("\\p{L}+"), F.lit(0))))
     return F.array_distinct(F.filter(runs, lambda t: F.length(t) > 1))
 
 
 def risky_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """entity, term: what discloses which entity.  spans: h1, h2, text, spans of the distinct texts that have any."""
-    n_docs = F.lit(float(max(1, docs.count())))
-    near = spans.select("text", F.explode("spans").alias("s")).select(
-        entity(F.col("s")).alias("entity"), terms_near(F.col("text"), F.col("s")).alias("terms")
-    )
-    near = near.withColumn("context", F.xxhash64("terms"))
-    pairs = near.select("entity", "context", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count_distinct("context").alias("df_both"))
-    pairs = pairs.where(F.col("df_both") >= MIN_CONTEXTS)
-    letters = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "\\P{L}+", -1))
-    df_term = docs.select(F.explode(letters).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
-    df_entity = spans.select("copies", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("df_entity"))
-    d = pairs.join(df_term, "term").join(df_entity, "entity")
-    ic = F.log2(n_docs / F.col("df_entity"))
-    both = F.least("df_both", "df_term", "df_entity")
-    pmi = F.log2(n_docs * both / (F.col("df_entity") * F.col("df_term")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n_texts = F.lit(float(max(1, docs.select(*content_key(text)).distinct().count())))
+    letters = F.array_distinct(F.split(F.lower(text), "\\P{L}+", -1))
+    once = docs.select(*content_key(text), letters.alias("terms")).groupBy("h1", "h2").agg(F.first("terms").alias("terms"))
+    df_term = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+    held = spans.select("h1", "h2", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
+    # An entity of fewer texts can't share MIN_CONTEXTS with any term.
+    df_entity = materialise(held.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= MIN_CONTEXTS))
+    near = held.join(df_entity, "entity").groupBy("h1", "h2").agg(F.collect_list("entity").alias("entities"))
+    near = spans.join(near, ["h1", "h2"]).select("entities", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = near.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count("*").alias("df_both"))
+    d = pairs.where(F.col("df_both") >= MIN_CONTEXTS).join(df_term, "term").join(df_entity, "entity")
+    ic = F.log2(n_texts / F.col("df_entity"))
+    pmi = F.log2(n_texts * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
     return d.where((ic > 0) & (pmi >= DISCLOSURE * ic)).select("entity", "term")
 
 
@@ -136,7 +130,7 @@ def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents with h1, h2 and their base spans, and h1, h2, extra: the term spans of the texts that have any."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("*", *content_key(text), base_spans(text).alias("spans"))
-    held = own.where(F.size("spans") > 0).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies"))
+    held = own.where(F.size("spans") > 0).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     held = materialise(held)
     risky = risky_terms(docs, held)
     mine = held.select("h1", "h2", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))

@@ -63,3 +63,19 @@ def test_digest_and_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert with_spans(d).collect() == [] and sanitise(d).collect() == []
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def found_terms(spark, docs):
+    rows = with_spans(spark.createDataFrame(docs, "doc_id long, text string")).select("text", "all_spans").collect()
+    return {s.value for r in rows for s in r.all_spans if s.kind == 4}
+
+
+def test_terms_on_copies_in_boilerplate_and_far_away(spark):
+    fill = [(i, f"some w{chr(97 + i % 26)}{chr(97 + i // 26)} words") for i in range(300)]
+    plain = lambda k: " ".join(fill[k][1].split()[:2])
+    copies = [(1000 + i, f"{plain(0)} Zorblax z@corp.com here") for i in range(30)] + [(1100 + i, f"{plain(i)} Zorblax z@corp.com {plain(i + 9)}") for i in (1, 2)]
+    assert found_terms(spark, fill + copies) == {"Zorblax"}
+    footers = [(2000 + i, " ".join(f"{plain(i)} words some words." for _ in range(3)) + " some words some words Zorblax z@corp.com") for i in range(4)]
+    assert found_terms(spark, fill + footers) == {"Zorblax"}
+    far = [(3000 + i, f"Zorblax {'some words ' * 40} z@corp.com {plain(i)}") for i in range(4)]
+    assert found_terms(spark, fill + far) == {"Zorblax"}
