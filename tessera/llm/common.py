@@ -30,6 +30,14 @@ def content_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(7), text).alias("h2")]
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def prefix_sums(values: Column) -> Column:
     """Inclusive running sums of an array of ints, in blocks so that long arrays stay near linear."""
 
@@ -64,12 +72,15 @@ def prefix_sums(values: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir, or that of the session.
+
+    Only a local session, whose executors are threads of the driver, gets a folder of its own where none is named.
+    """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="checkpoint-")

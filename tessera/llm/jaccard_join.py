@@ -1,52 +1,52 @@
-"""N-gram Jaccard join: partition-and-enumerate signatures with exact verification.
+"""N-gram Jaccard join: universe-partition pigeonhole with exact verification.
 
 A document's set holds its distinct N-word shingles.  Sets link at a Jaccard similarity of THRESHOLD % or more.
 
-1. Chunks send the hashes of their shingles to buckets, which answer which stand in two sets.  A set links only if
-   THRESHOLD % of its shingles do; the others take no further part.  Equal sets collapse.
-2. Sets of a size band that link differ in at most k shingles.  Shingles are hashed to n1 segments; by the pigeonhole
-   principle two linked sets agree in some segment but for k2 = ceil((k + 1) / n1) - 1 shingles.  A segment is indexed
-   either by the subsets of n2 - k2 of its n2 parts, or (k2 = 1) by itself and its one-deletion neighbourhood.  For
-   each band, a cost model over the number of sets in it picks the kind, n1 and n2: signatures against chance pairs,
-   most of which come from parts without shingles.
-3. Buckets group sets by signature.  The least set of a group is paired with the others, and the pairs are verified
-   exactly.  Components of the links are found, and sets outside a group's largest one meet a few of its members; then
-   every pair of a group that still lies in two components is verified as well.  So no link between two components is lost, and no group is expanded into all its pairs unless
-   its sets turn out not to belong together.
-
-Shingles and sets are told apart by 48 and 64 bits.
+1. Chunks send the hashes of their shingles to buckets, which answer in how many sets each stands (its class by powers of
+   two).  A set links only if THRESHOLD % of its shingles stand in others; the rest take no further part.  Equal sets
+   collapse.
+2. Shingles are hashed to n1 segments by the size band of the larger set of a pair.  Every set indexes each segment by
+   itself and by its one-deletion neighbourhood, for its own band and the next.  A set of s shingles differs from a linked
+   one that isn't larger in at most k = 2 s (100 - THRESHOLD) / (100 + THRESHOLD) of them.  It looks a segment up at a
+   difference of none (counting one) or of at most one shingle (counting two); once the counts reach k + 1, by the
+   pigeonhole principle a lookup finds every linked set.  The allocation takes the k + 1 cheapest counts, by the number of
+   sets that a segment's rarest shingles stand in, so empty and common segments are passed over and no link is lost.
+3. Buckets group sets by key.  The least set of a group is paired with the others.  Pairs that sizes or sketches (parities
+   of two bits a shingle) don't rule out are verified exactly.  Components of the links are found, and sets outside a
+   group's largest one meet a few of its members; then every pair of a group that still lies in two components is verified
+   as well.  So no link between two components is lost, and no group is expanded into all its pairs unless its sets turn
+   out not to belong together.
+
+Shingles are told apart by 48 bits, sets by 128.
 
 Defined cases: a text with fewer than N words is one shingle, its words; a null text or one without words is empty and
 links with nothing; rows with equal text belong together; a missing doc_id is no candidate for component_id (null if a
-component has no other); an empty table gives an empty result; other columns are ignored.
+component has no other); an empty table gives an empty result; ``joined`` ignores other columns, ``representatives`` passes
+all of them through, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
-from math import comb, exp
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
-from .exchange import PIECE, bytes_of, chunks_of, mix, pack, pack_sorted, split_at, unpack, unpack_sorted
+from .common import fresh, materialise, table
+from .exchange import FRAME, PIECE, Route, bytes_of, chunks_of, mix, pack, pack_sorted, pieces_of, split_at, unpack, unpack_sorted
 
 N = 5
 THRESHOLD = 75
 BITS = 48
-#: What a chance pair costs in signatures.
-PAIR_COST = 20.0
 #: Members of its largest component that others of a group meet first.
 FEW = 4
-#: Bits of a set's sketch, and the largest group that is split by sketches; larger ones stay whole.
-SKETCH, WHOLE = 512, 128
-#: Shingles whose signatures are made at once.
-SLICE = 60_000
-SUBSETS = [(0, 1), (1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (2, 6), (2, 7), (3, 6), (3, 7), (3, 8)]
+#: Shingles whose keys are made at once, and keys that a bucket holds.
+SLICE, BUCKET_KEYS = 400_000, 4_000_000
+#: Segments are tried at mean sizes from the first of these to the second.
+SEGMENT = (7, 2)
 
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -107,11 +107,14 @@ def folded(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def set_ids(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """One number for each set; from the sum of its mixed members and its size."""
+    """128 bits for each set, as two columns; from the sums of its mixed members and its size."""
+    out = []
     with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat + np.uint64(0x51ED27)), dtype=np.uint64)])
         end = np.cumsum(sizes)
-        return ((total[end] - total[end - sizes]) ^ mix(sizes.astype(np.uint64))).view(np.int64)
+        for seed in (0x51ED27, 0xA1B2C3D4E5):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mix(flat + np.uint64(seed)), dtype=np.uint64)])
+            out.append((mix(total[end] - total[end - sizes] + np.uint64(seed)) ^ mix(sizes.astype(np.uint64))).view(np.int64))
+    return np.stack(out, axis=1)
 
 
 class Sets:
@@ -121,65 +124,78 @@ class Sets:
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         flat = np.concatenate(self.sets)
         self.names = set_ids(flat, self.sizes)
-        _, first = np.unique(self.names, return_index=True)
+        _, first = np.unique(self.names, axis=0, return_index=True)
         self.hashes, self.of = np.unique(flat, return_inverse=True)
         distinct = np.zeros(len(self.sets), bool)
         distinct[first] = True
-        self.several = np.bincount(self.of[np.repeat(distinct, self.sizes)], minlength=len(self.hashes)) > 1
-
+        self.counts = np.bincount(self.of[np.repeat(distinct, self.sizes)], minlength=len(self.hashes))
 
-ROW = "bucket int, chunk int, blob binary"
-ANSWER = "chunk int, bucket int, blob binary"
-DOCS = "doc_id long, n_shingles long, set_id long, live binary"
 
+DOCS = "doc_id long, n_shingles long, s1 long, s2 long, live binary, often binary, sketch binary"
 
-def blobs(names: tuple[str, str], items: list[tuple[int, int, bytes]]) -> pa.Table:
-    a, b, c = zip(*items, strict=True) if items else ((), (), ())
-    return pa.table({names[0]: pa.array(a, pa.int32()), names[1]: pa.array(b, pa.int32()), "blob": pa.array(c, pa.binary())})
 
-
-def send_shingles(n: int):
+def send_shingles(n: int, route: Route):
     def run(group: pa.Table) -> pa.Table:
         s, chunk = Sets(group), group.column("chunk")[0].as_py()
         cut = split_at(s.hashes, n, BITS)
-        out = [(b, chunk, pack(np.frombuffer(pack_sorted(s.hashes[x:y]), np.uint8), np.packbits(s.several[x:y]))) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
-        return blobs(("bucket", "chunk"), out)
+        few = np.minimum(s.counts, 255).astype(np.uint8)
+        return route.frames([(b, chunk, pack(np.frombuffer(pack_sorted(s.hashes[x:y]), np.uint8), few[x:y])) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x])
 
     return run
 
 
-def answer_shared(group: pa.Table) -> pa.Table:
-    bucket, chunks = group.column("bucket")[0].as_py(), group.column("chunk").to_pylist()
-    parts = []
-    for blob in group.column("blob").to_pylist():
-        packed, bits = unpack(blob)
-        h = unpack_sorted(packed.tobytes())
-        parts.append((h, np.unpackbits(bits, count=len(h)).astype(bool)))
-    h, several = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(h, kind="stable")
-    s, m = h[order], several[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    of = np.cumsum(new) - 1
-    shared = (np.bincount(of) > 1) | (np.bincount(of, m) > 0)
-    several[order] = shared[of]
-    stop = np.cumsum([0] + [len(p[0]) for p in parts])
-    return blobs(("chunk", "bucket"), [(c, bucket, pack(np.packbits(several[a:b]), np.array([b - a]))) for c, a, b in zip(chunks, stop, stop[1:], strict=False)])
+def answer_often(route: Route):
+    """For each shingle of each chunk, the number of bits of the number of sets beside the first that hold it: 0 for one set."""
+
+    def run(group: pa.Table) -> pa.Table:
+        pieces = pieces_of(group)
+        parts = [unpack(blob) for _, _, blob in pieces]
+        h = np.concatenate([unpack_sorted(p[0].tobytes()) for p in parts])
+        n = np.concatenate([p[1] for p in parts])
+        _, of = np.unique(h, return_inverse=True)
+        often = np.ceil(np.log2(np.maximum(1, np.bincount(of, n)))).astype(np.uint8)[of]
+        stop = np.cumsum([0] + [len(p[1]) for p in parts])
+        return route.frames([(c, b, pack(often[x:y])) for (b, c, _), x, y in zip(pieces, stop, stop[1:], strict=False)])
+
+    return run
 
 
 def describe(group: pa.Table, answers: pa.Table) -> pa.Table:
-    """DOCS; live: the shared shingles of a set that may link."""
+    """DOCS; live: the shared shingles of a set that may link, often: how many sets each stands in (its bits)."""
+    names = [c.split()[0] for c in DOCS.split(", ")]
     if not len(group):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "n_shingles": pa.array([], pa.int64()), "set_id": pa.array([], pa.int64()), "live": pa.array([], pa.binary())})
+        return pa.table({c: pa.array([], pa.int64() if i < 4 else pa.binary()) for i, c in enumerate(names)})
     s = Sets(group)
-    by = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-    shared = [np.unpackbits(bits, count=int(n[0])).astype(bool) for bits, n in (unpack(b) for _, b in by)]
-    shared = np.concatenate(shared) if shared else np.zeros(0, bool)
-    keep = shared[s.of] if len(s.of) else np.zeros(0, bool)
-    end = np.cumsum(s.sizes)
-    total = np.concatenate([[0], np.cumsum(keep)])
-    count = total[end] - total[end - s.sizes]
-    live = [pack_sorted(x[keep[e - len(x) : e]]) if c and 100 * c >= THRESHOLD * len(x) else None for x, e, c in zip(s.sets, end, count, strict=True)]
-    return pa.table({"doc_id": pa.array(s.ids, pa.int64()), "n_shingles": pa.array(s.sizes), "set_id": pa.array(s.names), "live": pa.array(live, pa.binary())})
+    often = [unpack(blob)[0] for _, _, blob in pieces_of(answers)]
+    often = (np.concatenate(often) if often else np.zeros(0, np.uint8))[s.of] if len(s.of) else np.zeros(0, np.uint8)
+    live: list[tuple] = []
+    for x, e in zip(s.sets, np.cumsum(s.sizes), strict=True):
+        own = often[e - len(x) : e]
+        c = np.count_nonzero(own)
+        if c and 100 * c >= THRESHOLD * len(x):
+            live.append((pack_sorted(x[own > 0]), pack(own[own > 0]), sketch(x)))
+        else:
+            live.append((None, None, None))
+    cols = [pa.array(s.ids, pa.int64()), pa.array(s.sizes), pa.array(s.names[:, 0]), pa.array(s.names[:, 1]), *(pa.array(c, pa.binary()) for c in zip(*live, strict=True))]
+    return pa.table(dict(zip(names, cols, strict=True)))
+
+
+def sketch(x: np.ndarray) -> bytes:
+    """The parities of parts of a set, two bits a shingle or more, a power of two of them; two sketches differ in no more bits than their sets in shingles."""
+    bits = max(64, 1 << int(2 * len(x) - 1).bit_length())
+    at = (mix(x ^ np.uint64(0xA5A5A5)) >> np.uint64(32)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, size_a: int, b: bytes, size_b: int) -> bool:
+    """False only for pairs that are too far apart by size or sketch; the longer sketch is folded."""
+    if 100 * min(size_a, size_b) < THRESHOLD * max(size_a, size_b):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    short, long = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    apart = int(np.bitwise_count(short ^ np.bitwise_xor.reduce(long.reshape(-1, len(short)), axis=0)).sum(dtype=np.int64))
+    return (100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (size_a + size_b)
 
 
 def band_edges(largest: int) -> list[int]:
@@ -190,196 +206,186 @@ def band_edges(largest: int) -> list[int]:
     return edges
 
 
-def plan(edges: list[int], counts: dict[int, int]) -> list[tuple[int, int, int]]:
-    """(n1, k2, n2) of each band, n2 = 0 for one-deletion; n1 = 0 if only equal sets link.  For pairs whose larger set is in the band."""
+def most_apart(size: int) -> int:
+    """In how many shingles a set of this size differs at most from a linked one that isn't larger."""
+    return 2 * size * (100 - THRESHOLD) // (100 + THRESHOLD)
+
+
+def plan(edges: list[int]) -> list[int]:
+    """Segments of each band: the fewest, so the largest, at which k + 1 counts are there with few empty ones; 0 if only equal sets link."""
     out = []
-    for b, low in enumerate(edges):
+    for low in edges:
         high = 100 * low // THRESHOLD
-        k = 2 * high * (100 - THRESHOLD) // (100 + THRESHOLD)
-        if not k:
-            out.append((0, 0, 0))
+        need = most_apart(high) + 1
+        if need == 1:
+            out.append(0)
             continue
-        n = counts.get(b, 0) + counts.get(b - 1, 0)
-        least = max(1.0, low * THRESHOLD / 100)
-        best = None
-        for k2, n2 in [*SUBSETS, (1, 0)]:
-            n1 = -(-(k + 1) // (k2 + 1))
-            each = least / n1
-            if n2:
-                sigs, chance = n1 * comb(n2, k2), exp(-each * (n2 - k2) / n2)
-            else:
-                sigs, chance = n1 + high, exp(-each) * (1 + each)
-            pairs = sigs * (chance * n) ** 2 / 2
-            cost = n * sigs + PAIR_COST * pairs
-            if best is None or cost < best[0]:
-                best = (cost, n1, k2, n2)
-        out.append(best[1:])
+        for tenth in range(SEGMENT[0] * 10, SEGMENT[1] * 10 - 1, -5):
+            n = max(-(-need // 2), round(low * 10 / tenth))
+            each = low / n
+            # Two counts from segments of two shingles or more, one from those of one.
+            if n * (2 - exp(-each) * (2 + each)) >= need + 3 * sqrt(n):
+                break
+        out.append(n)
     return out
 
 
-def signatures(tokens: list[np.ndarray], scheme: tuple[int, int, int], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of some sets and the number of the set of each."""
-    n1, k2, n2 = scheme
-    sizes = np.array([len(t) for t in tokens])
-    flat = np.concatenate(tokens)
-    owner = np.repeat(np.arange(len(tokens)), sizes)
+def keys_of(tokens: list[np.ndarray], often: list[np.ndarray], sizes: np.ndarray, n: int, seed: int, looks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of some sets, the set of each, and its kind: 1 for a deletion, 2 for what is looked up; with n segments."""
+    count = len(tokens)
+    length = np.array([len(t) for t in tokens])
+    owner = np.repeat(np.arange(count), length)
     with np.errstate(over="ignore"):
-        h = mix(flat + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15))
-        segment = ((h >> np.uint64(40)) % np.uint64(n1)).astype(np.int64)
-        parts = max(n2, 1)
-        cells = np.zeros(len(tokens) * n1 * parts, np.uint64)
-        part = (h & np.uint64(0xFFFFF)).astype(np.int64) % parts
-        np.add.at(cells, (owner * n1 + segment) * parts + part, mix(h))
-        cells = cells.reshape(len(tokens), n1, parts)
-        place = mix(np.arange(n1, dtype=np.uint64) + np.uint64(seed << 20))
-        who = np.repeat(np.arange(len(tokens)), n1)
-        sigs, owners = [], []
-        if n2:
-            for c, chosen in enumerate(combinations(range(n2), n2 - k2)):
-                sigs.append(mix(cells[:, :, list(chosen)].sum(axis=2, dtype=np.uint64) + place * np.uint64(2 * c + 3)).ravel())
-                owners.append(who)
-        else:
-            whole = cells[:, :, 0]
-            sigs += [mix(whole + place).ravel(), mix(whole[owner, segment] - mix(h) + place[segment])]
-            owners += [who, owner]
-    return np.concatenate(sigs) >> np.uint64(64 - BITS), np.concatenate(owners)
-
-
-def send_signatures(n: int, edges: list[int], schemes: list[tuple[int, int, int]]):
-    """bucket, blob: signatures with sets (numbers, then ids and sizes)."""
+        h = mix(np.concatenate(tokens) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15))
+        cell = owner * n + ((h >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+        value = mix(h)
+        whole = np.zeros(count * n, np.uint64)
+        np.add.at(whole, cell, value)
+        place = mix(np.arange(n, dtype=np.uint64) + np.uint64(seed << 20))
+        exact = mix(whole + np.tile(place, count))
+        less = mix(whole[cell] - value + place[cell % n])
+    kind_exact, kind_less = np.zeros(count * n, np.uint8), np.ones(len(h), np.uint8)
+    if looks:
+        # What a lookup may find at most: the sets that hold the rarest shingle of what is looked up; empty ones come last.
+        f = np.ldexp(1.0, np.concatenate(often).astype(np.int64))
+        order = np.lexsort((f, cell))
+        m = np.bincount(cell, minlength=count * n)
+        start = np.cumsum(m) - m
+        low = np.full(count * n, 1e12)
+        low[m > 0] = f[order][start[m > 0]]
+        second = np.full(count * n, 1e13)
+        second[m > 1] = f[order][start[m > 1] + 1]
+        cost = np.concatenate([low, np.where(m > 0, np.maximum(0, m - 1) * low + second, 1e14)])
+        by = np.tile(np.repeat(np.arange(count), n), 2)
+        ranked = np.lexsort((np.repeat([0, 1], count * n), cost, by))
+        place_in = np.arange(len(ranked)) - np.repeat(np.arange(count) * 2 * n, 2 * n)
+        need = np.array([most_apart(int(x)) + 1 for x in sizes])
+        taken = ranked[place_in < need[by[ranked]]]
+        kind_exact[taken[taken < count * n]] |= 2
+        both = np.zeros(count * n, bool)
+        both[taken[taken >= count * n] - count * n] = True
+        kind_less[both[cell]] |= 2
+    keys, owners = np.concatenate([exact, less]), np.concatenate([np.repeat(np.arange(count), n), owner])
+    return keys >> np.uint64(64 - BITS), owners, np.concatenate([kind_exact, kind_less])
+
+
+def send_keys(n: int, edges: list[int], segments: list[int], route: Route):
+    """FRAME: keys with sets and kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Sets up to SLICE shingles at a time bound what their signatures take.
+            # Sets up to SLICE shingles at a time bound what their keys take.
             cut = np.cumsum(batch.column(1).to_numpy()) // SLICE
             for start in np.flatnonzero(np.diff(cut, prepend=-1)):
                 part = batch.slice(start, int(np.searchsorted(cut, cut[start], side="right")) - start)
-                ids, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
+                nodes, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
                 tokens = [unpack_sorted(b) for b in part.column(2).to_pylist()]
-                drawn = sketches(tokens)
+                often = [unpack(b)[0] for b in part.column(3).to_pylist()]
                 band = np.searchsorted(edges, sizes, side="right") - 1
-                sigs, owners = [], []
+                found: list[tuple] = []
                 for b in np.unique(band):
                     rows = np.flatnonzero(band == b)
                     for scheme in (b, b + 1):
-                        if scheme < len(schemes) and schemes[scheme][0]:
-                            s, o = signatures([tokens[i] for i in rows], schemes[scheme], int(scheme))
-                            sigs.append(s)
-                            owners.append(rows[o])
-                if not sigs:
+                        if scheme < len(segments) and segments[scheme]:
+                            k, o, kind = keys_of([tokens[i] for i in rows], [often[i] for i in rows], sizes[rows], segments[scheme], int(scheme), scheme == b)
+                            found.append((k, rows[o], kind))
+                if not found:
                     continue
-                s, o = np.concatenate(sigs), np.concatenate(owners)
-                order = np.lexsort((o, s))
-                s, o = s[order], o[order].astype(np.uint32)
-                ends = split_at(s, n, BITS)
-                buckets, blobs_ = [], []
+                k, o, kind = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(k, kind="stable")
+                k, o, kind = k[order], o[order], kind[order]
+                ends = split_at(k, n, BITS)
+                pieces = []
+                sender = int(nodes[0]) & 0x7FFFFFFF
                 for b, (x, y) in enumerate(zip(ends, ends[1:], strict=False)):
                     if y > x:
                         used, number = np.unique(o[x:y], return_inverse=True)
-                        buckets.append(b)
-                        blobs_.append(pack(np.frombuffer(pack_sorted(s[x:y]), np.uint8), number.astype(np.uint32), ids[used], sizes[used], drawn[used]))
-                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs_, pa.binary())], names=["bucket", "blob"])
+                        number = number.astype(np.uint8 if len(used) <= 1 << 8 else np.uint16 if len(used) <= 1 << 16 else np.uint32)
+                        pieces.append((b, sender, pack(np.frombuffer(pack_sorted(k[x:y]), np.uint8), number, nodes[used], kind[x:y])))
+                yield from route.frames(pieces).to_batches()
 
     return run
 
 
-def sketches(tokens: list[np.ndarray]) -> np.ndarray:
-    """SKETCH bits for each set, each the parity of a part of its shingles: they differ in no more bits than sets in shingles."""
-    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    bit = (mix(np.concatenate(tokens) ^ np.uint64(0xA5A5A5)) >> np.uint64(32)).astype(np.int64) % SKETCH
-    odd = np.bincount(owner * SKETCH + bit, minlength=len(tokens) * SKETCH).reshape(len(tokens), SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8), axis=1).view("<u8")
-
-
-def may_link(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
-    """False only for pairs that are too far apart by size or sketch."""
-    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
-    fits = 100 * np.minimum(size_a, size_b) >= THRESHOLD * np.maximum(size_a, size_b)
-    return fits & ((100 + THRESHOLD) * apart <= (100 - THRESHOLD) * (size_a + size_b))
-
-
-def split_group(rows: np.ndarray, sketch: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """The parts of a group between which no pair may link; parts of one are left out."""
-    if len(rows) > WHOLE:
-        return [rows]
-    near = may_link(sketch[rows][:, None], size[rows][:, None], sketch[rows][None], size[rows][None])
-    label = np.arange(len(rows))
-    while True:
-        low = np.where(near, label[None], len(rows)).min(axis=1)
-        if (low == label).all():
-            break
-        label = low
-    return [part for k in np.unique(label) if len(part := rows[label == k]) > 1]
-
-
 def groups_of(group: pa.Table) -> pa.Table:
-    """name, members: the distinct groups of two or more sets with one signature that may link, ascending."""
-    sigs, sets, sizes, drawn, start = [], [], [], [], 0
-    at = []
-    for blob in group.column("blob").to_pylist():
-        packed, number, own, size, sketch = unpack(blob)
-        sigs.append(unpack_sorted(packed.tobytes()))
+    """name, members: the distinct groups of two or more sets with one key that is looked up, ascending."""
+    keys, at, nodes, kinds, start = [], [], [], [], 0
+    for _, _, blob in pieces_of(group):
+        packed, number, own, kind = unpack(blob)
+        keys.append(unpack_sorted(packed.tobytes()))
         at.append(number.astype(np.int64) + start)
-        sets.append(own)
-        sizes.append(size)
-        drawn.append(sketch)
+        nodes.append(own)
+        kinds.append(kind)
         start += len(own)
-    ids, first, of = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
-    size, sketch = np.concatenate(sizes)[first], np.concatenate(drawn)[first]
-    s, i = np.concatenate(sigs), of[np.concatenate(at)]
+    ids, of = np.unique(np.concatenate(nodes), return_inverse=True)
+    s, i, kind = np.concatenate(keys), of[np.concatenate(at)], np.concatenate(kinds)
+    # Only keys of several rows can matter; most have one.
+    order = np.argsort(s, kind="stable")
+    s = s[order]
+    same = s[1:] == s[:-1]
+    several = np.zeros(len(s), bool)
+    several[1:] |= same
+    several[:-1] |= same
+    order, s = order[several], s[several]
+    i, kind = i[order], kind[order]
     order = np.lexsort((i, s))
-    s, i = s[order], i[order]
-    keep = np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1])])
+    s, i, kind = s[order], i[order], kind[order]
+    new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+    starts = np.flatnonzero(new)
+    if not len(starts):
+        return pa.table({"name": pa.array([], pa.int64()), "members": pa.array([], pa.list_(pa.int64()))})
+    # A whole segment that is looked up finds all; a deletion that is looked up finds whole segments.
+    any_of = lambda x: np.logical_or.reduceat(x, starts)
+    asked = any_of(kind == 2) | (any_of(kind == 3) & any_of((kind & 1) == 0))
+    keep = np.repeat(asked, np.diff(np.append(starts, len(s))))
+    s, i = s[keep], i[keep]
+    keep = np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1])])[: len(s)]
     s, i = s[keep], i[keep]
-    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])[: len(s)])
     counts = np.diff(np.append(starts, len(s)))
     starts, counts = starts[counts > 1], counts[counts > 1]
     with np.errstate(over="ignore"):
-        mixed = mix(ids.astype(np.uint64))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed[i], dtype=np.uint64)])
-        _, one = np.unique(total[starts + counts] - total[starts], return_index=True)
-        starts, counts = starts[one], counts[one]
-        two = counts == 2
-        a, b = i[starts[two]], i[starts[two] + 1]
-        ok = may_link(sketch[a], size[a], sketch[b], size[b])
-        parts = [np.array(p) for p in zip(a[ok].tolist(), b[ok].tolist(), strict=True)]
-        # A group whose members all may link with its first needs no closer look.
-        more, n = starts[~two], counts[~two]
-        stop = np.cumsum(n)
-        whole = np.ones(len(n), bool)
-        for x in range(0, len(n), 1 << 14):
-            y = min(len(n), x + (1 << 14))
-            begin = np.concatenate([[0], stop[x:y][:-1] - (stop[x] - n[x])])
-            each = i[np.arange(int(n[x:y].sum())) + np.repeat(more[x:y] - begin, n[x:y])]
-            lead = np.repeat(i[more[x:y]], n[x:y])
-            whole[x:y] = np.logical_and.reduceat(may_link(sketch[lead], size[lead], sketch[each], size[each]), begin)
-        for x, k, all_ in zip(more.tolist(), n.tolist(), whole.tolist(), strict=True):
-            parts += [i[x : x + k]] if all_ else split_group(i[x : x + k], sketch, size)
-        names = [int(mixed[p].sum(dtype=np.uint64).view(np.int64)) for p in parts]
-    return pa.table({"name": pa.array(names, pa.int64()), "members": pa.array([ids[p] for p in parts], pa.list_(pa.int64()))})
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(ids[i].astype(np.uint64) + np.uint64(0x77)), dtype=np.uint64)])
+        names, one = np.unique((total[starts + counts] - total[starts]).view(np.int64), return_index=True)
+    starts, counts = starts[one], counts[one]
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    flat = ids[i[np.repeat(starts - offsets[:-1], counts) + np.arange(offsets[-1])]]
+    return pa.table({"name": pa.array(names), "members": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
+
+
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) that neither sizes nor sketches rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [batch.column(k).to_pylist() for k in range(2, 6)]
+            keep = pa.array([may_link(x, p, y, q) for p, x, q, y in zip(*cols, strict=True)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    fits = F.lit(100) * F.least("size_a", "size_b") >= F.lit(THRESHOLD) * F.greatest("size_a", "size_b")
+    left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    near = pairs.join(left.select("a", "size_a"), "a").join(right.select("b", "size_b"), "b").where(fits).select("a", "b")
+    near = near.join(left, "a").join(right, "b").select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b")
+    return near.mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of sets that link."""
-    left = sets.toDF("a", "size_a", "live_a")
-    right = sets.toDF("b", "size_b", "live_b")
+    left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("live").alias("live_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("live").alias("live_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size_a, size_b = batch.column(2).to_pylist(), batch.column(4).to_pylist()
-            live_a, live_b = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            keep, last, x = [], None, None
-            for n, (sa, sb, la, lb) in enumerate(zip(size_a, size_b, live_a, live_b, strict=True)):
-                if la is not last and la != last:
-                    last, x = la, unpack_sorted(la)
-                both = len(np.intersect1d(x, unpack_sorted(lb), assume_unique=True))
-                if 100 * both >= THRESHOLD * (sa + sb - both):
-                    keep.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["a", "b"])
-
-    near = pairs.join(left, "a").join(right, "b").where(
-        (F.lit(100) * F.least("size_a", "size_b") >= F.lit(THRESHOLD) * F.greatest("size_a", "size_b"))
-    )
+            keep, last, y = [], None, None
+            for sa, la, sb, lb in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                if lb is not last and lb != last:
+                    last, y = lb, unpack_sorted(lb)
+                both = len(np.intersect1d(unpack_sorted(la), y, assume_unique=True))
+                keep.append(100 * both >= THRESHOLD * (sa + sb - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    near = possible(pairs, sets).join(left, "a").join(right, "b")
     return near.select("a", "b", "size_a", "live_a", "size_b", "live_b").mapInArrow(run, "a long, b long")
 
 
@@ -403,34 +409,36 @@ def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     d, n = chunks_of(docs.select("doc_id", "text"))
-    shared = d.groupBy("chunk").applyInArrow(send_shingles(n), ROW).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
-    described = materialise(d.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(describe, DOCS))
-    sets = described.where("live IS NOT NULL").groupBy("set_id").agg(F.first("n_shingles").alias("size"), F.first("live").alias("live"), F.count("*").alias("n_docs"))
-    sets = materialise(sets).select("set_id", "size", "live")
-    largest = sets.agg(F.max("size")).first()[0]
-    roots = spark.createDataFrame([], "node long, root long")
-    if largest:
-        roots = linked(sets, n, largest)
-    named = described.join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = named.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "r")
-    out = named.join(least, (F.col("root") == F.col("r")) & (F.col("n_shingles") > 0), "left")
+    route = Route(n)
+    sent = route.forward(d.groupBy("chunk").applyInArrow(send_shingles(n, route), FRAME))
+    often = route.forward(sent.groupBy("node").applyInArrow(answer_often(route), FRAME))
+    described = materialise(d.groupBy("chunk").cogroup(often.groupBy("node")).applyInArrow(describe, DOCS))
+    sets = described.where("live IS NOT NULL").groupBy("s1", "s2").agg(F.first("n_shingles").alias("size"), *[F.first(c).alias(c) for c in ("live", "often", "sketch")])
+    # Numbered once and written, so that the numbers stay.
+    sets = materialise(sets.withColumn("node", F.monotonically_increasing_id()))
+    span = sets.agg(F.max("size"), F.sum("size")).first()
+    roots = linked(sets, *span) if span[0] else spark.createDataFrame([], "node long, root long")
+    root = sets.select("s1", "s2", "node").join(roots, "node").join(sets.select(F.col("node").alias("root"), F.col("s1").alias("r1"), F.col("s2").alias("r2")), "root")
+    named = described.select("doc_id", "n_shingles", "s1", "s2").join(root.select("s1", "s2", "r1", "r2"), ["s1", "s2"], "left")
+    named = named.select("doc_id", "n_shingles", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2"))
+    least = named.where("n_shingles > 0").groupBy("r1", "r2").agg(F.min("doc_id").alias("least")).toDF("l1", "l2", "least")
+    out = named.join(least, (F.col("r1") == F.col("l1")) & (F.col("r2") == F.col("l2")) & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def linked(sets: DataFrame, n: int, largest: int) -> DataFrame:
+def linked(sets: DataFrame, largest: int, shingles: int) -> DataFrame:
+    """node, root of the sets that link with another."""
     edges = band_edges(largest)
-    band = sum((F.when(F.col("size") >= e, 1).otherwise(0) for e in edges), F.lit(0)) - 1
-    counts = {r["band"]: r["count"] for r in sets.groupBy(band.alias("band")).count().collect()}
-    schemes = plan(edges, counts)
-    sent = sets.mapInArrow(send_signatures(n, edges, schemes), "bucket int, blob binary")
-    groups = materialise(sent.groupBy("bucket").applyInArrow(groups_of, "name long, members array<bigint>").dropDuplicates(["name"]))
+    n = max(1, -(-5 * shingles // (2 * BUCKET_KEYS)))
+    route = Route(n)
+    sent = sets.select("node", "size", "live", "often").mapInArrow(send_keys(n, edges, plan(edges), route), FRAME)
+    groups = route.forward(sent).groupBy("node").applyInArrow(groups_of, "name long, members array<bigint>")
+    groups = materialise(groups.dropDuplicates(["name"]))
     stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, 1 << 30)).alias("b")).distinct()
-    first = materialise(verified(stars, sets))
-    roots = components(first)
+    found = materialise(verified(stars, sets))
+    roots = components(found)
 
     # Whoever isn't in a group's largest component meets a few of its members before all of the rest is tried.
-    tried = stars
-    found = first
     m = open_groups(groups, roots)
     few = lambda g: F.slice(F.array_sort(F.transform(g, lambda e: F.struct(F.xxhash64(e["node"], F.col("name")).alias("h"), e["node"].alias("node")))), 1, FEW)
     meet = F.flatten(
@@ -440,8 +448,8 @@ def linked(sets: DataFrame, n: int, largest: int) -> DataFrame:
         )
     )
     more = m.withColumn("some", few(F.filter("m", lambda e: e["root"] == F.col("most")))).select(F.explode(meet).alias("p")).select("p.a", "p.b").distinct()
-    more = materialise(more.join(tried, ["a", "b"], "left_anti"))
-    tried = tried.union(more)
+    more = materialise(more.join(stars, ["a", "b"], "left_anti"))
+    tried = stars.union(more)
     found = found.union(materialise(verified(more, sets)))
     roots = components(found)
 
@@ -468,8 +476,9 @@ def representatives(docs: DataFrame) -> DataFrame:
     Documents without words and rows without a doc_id link with nothing that has one, and stay, equal rows once.
     """
     out = joined(docs).where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
-    out = materialise(out.select(F.col("doc_id").alias("j_id")).distinct())
-    return docs.join(out, F.col("doc_id") == F.col("j_id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone = fresh(docs, "gone_id")
+    out = materialise(out.select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(out, F.col("doc_id") == F.col(gone), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm.jaccard_join import band_edges, joined, plan, signatures
+from tessera.llm.exchange import Route, chunks_of, pack, pack_sorted
+from tessera.llm.jaccard_join import band_edges, groups_of, joined, keys_of, may_link, plan, representatives, sketch
 
 
 def brute(docs):
@@ -57,12 +59,12 @@ def test_empty(spark):
     assert joined(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-@pytest.mark.parametrize("scheme_count", [1, 1000, 10**6, 10**9])
-def test_linked_sets_share_a_signature(scheme_count):
-    rng = np.random.default_rng(scheme_count % 97)
-    edges = band_edges(400)
-    schemes = plan(edges, {b: scheme_count for b in range(len(edges))})
-    for size in (4, 5, 7, 8, 12, 20, 33, 80, 300):
+def test_linked_sets_meet():
+    """Whatever the larger of two linked sets looks up finds the other, also where shingles are common."""
+    rng = np.random.default_rng(4)
+    edges = band_edges(2000)
+    segments = plan(edges)
+    for size in (4, 5, 7, 8, 12, 20, 33, 80, 300, 1500):
         for _ in range(6):
             a = np.unique(rng.integers(1, 1 << 48, size, dtype=np.uint64))
             out = rng.integers(0, len(a) // 4 + 1)
@@ -71,7 +73,57 @@ def test_linked_sets_share_a_signature(scheme_count):
             b = np.unique(np.concatenate([a[out:], rng.integers(1, 1 << 48, extra, dtype=np.uint64)]))
             if 100 * both < 75 * (len(a) + len(b) - both) or both == len(a) == len(b):
                 continue
+            assert may_link(sketch(a), len(a), sketch(b), len(b))
+            a, b = sorted((a, b), key=len)
             bands = [int(np.searchsorted(edges, len(x), side="right")) - 1 for x in (a, b)]
-            s = max(bands)
-            x, y = (signatures([v], schemes[s], s)[0] for v in (a, b))
-            assert np.intersect1d(x, y).size
+            found = []
+            for x, band in zip((a, b), bands):
+                often = rng.integers(1, 9, len(x)).astype(np.uint8)
+                found.append(keys_of([x], [often], np.array([len(x)]), segments[bands[1]], bands[1], band == bands[1]))
+            (ka, _, ta), (kb, _, tb) = found
+            exact = np.isin(kb[tb == 2], ka).any()
+            deleted = np.isin(kb[tb == 3], ka[(ta & 1) == 0]).any()
+            assert exact or deleted
+            table = pa.table({"node": pa.array([0, 0], pa.int64()), "blob": pa.array([frame(k, t, i) for i, (k, _, t) in enumerate(found)], pa.binary())})
+            assert groups_of(table).column("members").to_pylist()[:1] == [[0, 1]]
+
+
+def frame(keys, kinds, node):
+    order = np.argsort(keys, kind="stable")
+    blob = pack(np.frombuffer(pack_sorted(keys[order]), np.uint8), np.zeros(len(keys), np.uint8), np.array([node]), kinds[order])
+    return Route(1).frames([(0, node, blob)]).column("blob")[0].as_py()
+
+
+def test_sets_far_apart_are_ruled_out():
+    rng = np.random.default_rng(1)
+    for size in (50, 400, 5000):
+        a, b = (np.unique(rng.integers(1, 1 << 48, size, dtype=np.uint64)) for _ in range(2))
+        assert not may_link(sketch(a), len(a), sketch(b), len(b))
+        assert not may_link(sketch(a), len(a), sketch(a[: size // 2]), size // 2)
+
+
+def test_representatives_pass_clashing_columns(spark):
+    names = ["doc_id", "text", "set_id", "gone_id", "node", "root", "least"]
+    docs = [(i, t, 1, i, 2, 3, 4) for i, t in make(0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, set_id int, gone_id long, node int, root int, least int")
+    out = representatives(d)
+    assert out.columns == names
+    rows = out.collect()
+    want = {i for i, _, c in brute([x[:2] for x in docs]) if i == c}
+    assert {r.doc_id for r in rows if r.doc_id is not None} == want and all(r.gone_id == r.doc_id for r in rows)
+    assert representatives(d.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("radix", [2, 3])
+def test_pieces_find_their_way(spark, radix, monkeypatch):
+    """Also over several hops, where no task deals out to more than radix nodes."""
+    from tessera.llm import exchange, jaccard_join
+
+    monkeypatch.setattr(exchange, "RADIX", radix)
+    monkeypatch.setattr(exchange, "CHUNK_BYTES", 900)
+    monkeypatch.setattr(jaccard_join, "BUCKET_KEYS", 300)
+    assert Route(100).digit <= radix and Route(100).hops > 2
+    docs = make(3)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert chunks_of(d)[1] > radix
+    assert sorted(map(tuple, joined(d).collect()), key=str) == brute(docs)
