@@ -2,11 +2,15 @@
 
 Every window of LENGTH bytes has an anchor, the least K-byte string in it by a hash, so that equal windows have equal
 anchors.  Consecutive windows with one anchor make a context.  First, chunks send the hashes of their anchors to
-buckets, which answer which stand in two documents.  Then they send the contexts of those, each distinct one once with
-its least document; a bucket collapses equal contexts, and sorts the suffixes that remain, those of anchors with
-several contexts, in blocks of bounded size with a difference cover, long ties by ranks of cover samples.  Suffixes
-that agree on LENGTH bytes are then neighbours, and their least document is known.  The chunks get a bit for each window of
-each context: whether a smaller document than their own least one has it.
+buckets, which answer which stand in two documents, and which in HOT or more.  Then they send the contexts of those, each
+distinct one once with its least document (of a hot anchor window by window, to the buckets of the windows' hashes); a
+bucket collapses equal contexts, and sorts the suffixes that remain, those of anchors with several contexts, in blocks of
+bounded size with a difference cover, long ties by ranks of cover samples.  Suffixes that agree on LENGTH bytes are then
+neighbours, and their least document is known.  The chunks get a bit for each window of each context: whether a smaller
+document than their own least one has it.
+
+So the sort works on the contexts of shared anchors, of at most LENGTH + SPAN - 1 bytes each, not on whole texts: what an
+anchor rules out or equal contexts settle is never sorted, and ties end within LENGTH bytes.
 
 Only hashes of anchors can collide, which costs time, never a result; windows are compared by their bytes.
 
@@ -21,16 +25,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
-from .exchange import PIECE, bytes_of, chunks_of, mix, pack, pack_sorted, split_at, unpack, unpack_sorted
+from .exchange import FRAME, PIECE, Route, bytes_of, chunks_of, mix, pack, pack_sorted, pieces_of, split_at, unpack, unpack_sorted
 from .suffix_sort import SuffixSorter
 
 LENGTH = 50
 K = 24
 SPAN = LENGTH - K + 1
 BITS = 48
+#: Documents from which on an anchor is hot.
+HOT = 20_000
 #: Contexts of one block of a bucket's sort.
 BLOCK = 50_000
 WIDTH = LENGTH + SPAN - 1
@@ -107,31 +115,42 @@ class Chunk:
             h = mix(h * np.uint64(3) + rows[:, k])
         return h >> np.uint64(64 - BITS)
 
-    def several(self) -> np.ndarray:
-        """Whether each of the hashes stands in two documents of the chunk."""
-        low, high = np.full(len(self.hashes), len(self.ids)), np.full(len(self.hashes), -1)
-        np.minimum.at(low, self.where, self.doc)
-        np.maximum.at(high, self.where, self.doc)
-        return high > low
+    def documents(self) -> np.ndarray:
+        """In how many documents of the chunk each of the hashes stands."""
+        pair = np.unique(self.where * len(self.ids) + self.doc)
+        return np.bincount(pair // max(1, len(self.ids)), minlength=len(self.hashes))
 
-    def contexts(self, shared: np.ndarray) -> Contexts:
-        return Contexts(self, np.flatnonzero(shared[self.where]))
+    def contexts(self, spread: np.ndarray) -> Contexts:
+        return Contexts(self, np.flatnonzero(spread[self.where]), spread[self.where] > 1)
 
 
 class Contexts:
-    """The distinct contexts of a chunk's shared anchors, in order of hash, place of the anchor, number of windows and bytes."""
-
-    def __init__(self, c: Chunk, runs: np.ndarray) -> None:
-        self.runs = runs
-        lead, windows = c.anchor[runs] - c.first[runs], c.last[runs] - c.first[runs] + 1
+    """The distinct contexts of a chunk's shared anchors, in order of hash, place of the anchor, number of windows and bytes.
+
+    A hot anchor's context is a context for each of its windows, whose hash is that of the window's bytes, so that no
+    bucket takes all that stands around one string.
+    """
+
+    def __init__(self, c: Chunk, runs: np.ndarray, hot: np.ndarray) -> None:
+        split = hot[runs]
+        some = runs[split]
+        windows = c.last[some] - c.first[some] + 1
+        single = ragged(c.first[some], windows)
+        runs = runs[~split]
+        self.start = np.concatenate([c.first[runs], single])
+        self.doc = np.concatenate([c.doc[runs], np.repeat(c.doc[some], windows)])
+        anchor = np.concatenate([c.anchor[runs], np.repeat(c.anchor[some], windows)])
+        last = np.concatenate([c.last[runs], single])
+        lead, windows = anchor - self.start, last - self.start + 1
         size = windows + LENGTH - 1
-        h1 = np.zeros(len(runs), np.uint64)
-        h2 = np.zeros(len(runs), np.uint64)
+        n = len(self.start)
+        h1 = np.zeros(n, np.uint64)
+        h2 = np.zeros(n, np.uint64)
         padded = np.concatenate([c.data, np.zeros(80, np.uint8)])
         view = np.lib.stride_tricks.sliding_window_view(padded, 80)
-        for s in range(0, len(runs), 1 << 16):
+        for s in range(0, n, 1 << 16):
             part = slice(s, s + (1 << 16))
-            rows = view[c.first[runs[part]]] * (np.arange(80) < size[part, None])
+            rows = view[self.start[part]] * (np.arange(80) < size[part, None])
             w = np.ascontiguousarray(rows.astype(np.uint8)).view("<u8")
             a = np.full(len(w), 11, np.uint64)
             b = np.full(len(w), 13, np.uint64)
@@ -139,18 +158,19 @@ class Contexts:
                 a = mix(a * np.uint64(3) + w[:, k])
                 b = mix(b * np.uint64(5) ^ w[:, k])
             h1[part], h2[part] = a, b
+        key_hash = np.concatenate([c.hash[runs], h1[len(runs) :] >> np.uint64(64 - BITS)])
         shape = (lead * 64 + windows).astype(np.int64)
-        order = np.lexsort((c.doc[runs], h2, h1, shape, c.hash[runs]))
-        key = [x[order] for x in (c.hash[runs], shape, h1, h2)]
+        order = np.lexsort((self.doc, h2, h1, shape, key_hash))
+        key = [x[order] for x in (key_hash, shape, h1, h2)]
         new = np.ones(len(order), bool)
         if len(order):
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
         head = order[new]
         self.of = np.empty(len(order), np.int64)
         self.of[order] = np.cumsum(new) - 1
-        self.hash, self.lead, self.windows, self.size = c.hash[runs[head]], lead[head], windows[head], size[head]
-        self.first = c.first[runs[head]]
-        self.least = c.ids[c.doc[runs[head]]]
+        self.hash, self.lead, self.windows, self.size = key_hash[head], lead[head], windows[head], size[head]
+        self.first = self.start[head]
+        self.least = c.ids[self.doc[head]]
 
 
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -159,67 +179,55 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(stop[-1] if len(stop) else 0) + np.repeat(first - (stop - size), size)
 
 
-ROW = "bucket int, chunk int, blob binary"
-ANSWER = "chunk int, bucket int, blob binary"
+def send_hashes(n: int, route: Route):
+    def run(group: pa.Table) -> pa.Table:
+        c = Chunk(group)
+        chunk = group.column("chunk")[0].as_py()
+        cut, found = split_at(c.hashes, n, BITS), np.minimum(c.documents(), 255).astype(np.uint8)
+        return route.frames([(b, chunk, pack(np.frombuffer(pack_sorted(c.hashes[s:e]), np.uint8), found[s:e])) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s])
 
+    return run
 
-def rows(names: tuple[str, str], items: list[tuple[int, int, bytes]]) -> pa.Table:
-    a, b, c = zip(*items, strict=True) if items else ([], [], [])
-    return pa.table({names[0]: pa.array(a, pa.int32()), names[1]: pa.array(b, pa.int32()), "blob": pa.array(c, pa.binary())})
 
+def answer_spread(route: Route):
+    """For each hash of each chunk 0 if it stands in one document, 1 in several, 2 in HOT or more."""
 
-def send_hashes(n: int):
     def run(group: pa.Table) -> pa.Table:
-        c = Chunk(group)
-        chunk = group.column("chunk")[0].as_py()
-        cut, several = split_at(c.hashes, n, BITS), c.several()
-        out = [(b, chunk, pack(np.frombuffer(pack_sorted(c.hashes[s:e]), np.uint8), np.packbits(several[s:e]))) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
-        return rows(("bucket", "chunk"), out)
+        sent = pieces_of(group)
+        parts = [unpack(blob) for _, _, blob in sent]
+        h = np.concatenate([unpack_sorted(p[0].tobytes()) for p in parts])
+        _, of = np.unique(h, return_inverse=True)
+        total = np.bincount(of, np.concatenate([p[1] for p in parts]))
+        spread = ((total > 1).astype(np.uint8) + (total >= HOT))[of].astype(np.uint8)
+        stop = np.cumsum([0] + [len(p[1]) for p in parts])
+        return route.frames([(c, b, pack(spread[x:y])) for (b, c, _), x, y in zip(sent, stop, stop[1:], strict=False)])
 
     return run
 
 
-def answer_shared(group: pa.Table) -> pa.Table:
-    bucket = group.column("bucket")[0].as_py()
-    chunks = group.column("chunk").to_pylist()
-    parts = []
-    for blob in group.column("blob").to_pylist():
-        packed, bits = unpack(blob)
-        h = unpack_sorted(packed.tobytes())
-        parts.append((h, np.unpackbits(bits, count=len(h)).astype(bool)))
-    h = np.concatenate([p[0] for p in parts])
-    several = np.concatenate([p[1] for p in parts])
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
-    twice = np.zeros(len(h), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    several[order] |= twice
-    starts = np.cumsum([0] + [len(p[0]) for p in parts])
-    # An anchor that is twice in one chunk's document only is in one chunk once; any hash in two chunks is in two documents.
-    return rows(("chunk", "bucket"), [(c, bucket, pack(np.packbits(several[a:b]), np.array([b - a]))) for c, a, b in zip(chunks, starts, starts[1:], strict=False)])
-
-
-def shared_of(c: Chunk, answers: pa.Table) -> np.ndarray:
-    by = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-    out = [np.unpackbits(bits, count=int(n[0])).astype(bool) for bits, n in (unpack(b) for _, b in by)]
+def spread_of(answers: pa.Table) -> np.ndarray:
+    out = [unpack(blob)[0] for _, _, blob in pieces_of(answers)]
+    return np.concatenate(out) if out else np.zeros(0, np.uint8)
+
+
+def bits_of(answers: pa.Table) -> np.ndarray:
+    out = [np.unpackbits(bits, count=int(n[0])).astype(bool) for bits, n in (unpack(blob) for _, _, blob in pieces_of(answers))]
     return np.concatenate(out) if out else np.zeros(0, bool)
 
 
-def send_contexts(n: int):
+def send_contexts(n: int, route: Route):
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(group):
-            return rows(("bucket", "chunk"), [])
+            return route.frames([])
         c = Chunk(group)
         chunk = group.column("chunk")[0].as_py()
-        x = c.contexts(shared_of(c, answers))
+        x = c.contexts(spread_of(answers))
         cut, out = split_at(x.hash, n, BITS), []
         for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
             if e > s:
                 body = c.data[ragged(x.first[s:e], x.size[s:e])]
                 out.append((b, chunk, pack(x.hash[s:e], x.lead[s:e].astype(np.uint8), x.windows[s:e].astype(np.uint8), x.least[s:e], body)))
-        return rows(("bucket", "chunk"), out)
+        return route.frames(out)
 
     return run
 
@@ -252,10 +260,9 @@ def least_documents(text: np.ndarray, first: np.ndarray, lead: np.ndarray, windo
     return out
 
 
-def answer_contexts(group: pa.Table) -> pa.Table:
-    bucket = group.column("bucket")[0].as_py()
-    chunks = group.column("chunk").to_pylist()
-    parts = [unpack(b) for b in group.column("blob").to_pylist()]
+def answer_contexts(sent: list[tuple[int, int, bytes]]) -> list[tuple[int, int, bytes]]:
+    """Pieces back to the chunks: a bit for each window of each of their contexts."""
+    parts = [unpack(blob) for _, _, blob in sent]
     h, lead, windows, least, body = (np.concatenate([p[k] for p in parts]) for k in range(5))
     lead, windows = lead.astype(np.int64), windows.astype(np.int64)
     size = windows + LENGTH - 1
@@ -298,7 +305,7 @@ def answer_contexts(group: pa.Table) -> pa.Table:
     bit = low[ragged(base[of], windows)] < np.repeat(least, windows)
     stop = np.cumsum([0] + [len(p[0]) for p in parts])
     ends = np.concatenate([[0], np.cumsum(windows)])
-    return rows(("chunk", "bucket"), [(c, bucket, pack(np.packbits(bit[ends[a] : ends[b]]), np.array([ends[b] - ends[a]]))) for c, a, b in zip(chunks, stop, stop[1:], strict=False)])
+    return [(c, b, pack(np.packbits(bit[ends[x] : ends[y]]), np.array([ends[y] - ends[x]]))) for (b, c, _), x, y in zip(sent, stop, stop[1:], strict=False)]
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -307,10 +314,10 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def covered(c: Chunk, x: Contexts, bits: np.ndarray) -> np.ndarray:
     """Whether each byte of the chunk goes."""
     base = np.cumsum(x.windows) - x.windows
-    runs, of = x.runs, x.of
+    of = x.of
     windows = x.windows[of]
-    at = ragged(c.first[runs], windows)
-    later = np.repeat(c.ids[c.doc[runs]] > x.least[of], windows)
+    at = ragged(x.start, windows)
+    later = np.repeat(c.ids[x.doc] > x.least[of], windows)
     gone = at[later | bits[ragged(base[of], windows)]]
     edge = np.zeros(len(c.data) + 1, np.int32)
     np.add.at(edge, gone, 1)
@@ -321,8 +328,8 @@ def covered(c: Chunk, x: Contexts, bits: np.ndarray) -> np.ndarray:
 def finish(keep_text: bool):
     def run(group: pa.Table, shared: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(group)
-        x = c.contexts(shared_of(c, shared))
-        mask = covered(c, x, shared_of(c, answers))
+        x = c.contexts(spread_of(shared))
+        mask = covered(c, x, bits_of(answers))
         n = np.diff(c.starts)
         total = np.concatenate([[0], np.cumsum(mask)])
         removed = total[c.starts[1:]] - total[c.starts[:-1]]
@@ -345,20 +352,20 @@ def finish(keep_text: bool):
 def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """RESULT of every row; with keep_text also the remaining bytes (kept)."""
     d, n = chunks_of(docs)
-    hashes = d.groupBy("chunk").applyInArrow(send_hashes(n), ROW)
-    shared = hashes.groupBy("bucket").applyInArrow(answer_shared, ANSWER)
-    contexts = d.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(send_contexts(n), ROW)
-    low = contexts.groupBy("bucket").applyInArrow(answer_contexts, ANSWER)
-    # Both answers travel together: buckets of the second kind are numbered from n.
-    both = shared.unionByName(low.selectExpr("chunk", f"bucket + {n} AS bucket", "blob"))
+    route = Route(n)
+    hashes = route.forward(d.groupBy("chunk").applyInArrow(send_hashes(n, route), FRAME))
+    shared = route.forward(hashes.groupBy("node").applyInArrow(answer_spread(route), FRAME))
+    contexts = route.forward(d.groupBy("chunk").cogroup(shared.groupBy("node")).applyInArrow(send_contexts(n, route), FRAME))
+    low = route.forward(contexts.groupBy("node").applyInArrow(lambda group: route.frames(answer_contexts(pieces_of(group))), FRAME))
+    both = shared.withColumn("second", F.lit(False)).unionByName(low.withColumn("second", F.lit(True)))
 
     def last(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(group):
             return pa.table({k: pa.array([], t) for k, t in (("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *((("kept", pa.binary()),) if keep_text else ()))})
-        second = answers.column("bucket").to_numpy() >= n
-        return finish(keep_text)(group, answers.filter(pa.array(~second)), answers.filter(pa.array(second)))
+        second = answers.column("second")
+        return finish(keep_text)(group, answers.filter(pc.invert(second)), answers.filter(second))
 
-    return d.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(last, RESULT + (", kept binary" if keep_text else ""))
+    return d.groupBy("chunk").cogroup(both.groupBy("node")).applyInArrow(last, RESULT + (", kept binary" if keep_text else ""))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

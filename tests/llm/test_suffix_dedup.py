@@ -58,12 +58,17 @@ def test_many_chunks_and_pieces(spark, monkeypatch):
     assert sorted(got, key=str) == brute([(i, (t or "").encode()) for i, t in docs])
     monkeypatch.setattr(suffix_dedup, "PIECE", 64)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 4)
+    for hot in (2, 5, 1000):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        assert sorted(map(tuple, run_local(docs)), key=str) == brute([(i, (t or "").encode()) for i, t in docs])
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
     assert sorted(map(tuple, run_local(docs)), key=str) == brute([(i, (t or "").encode()) for i, t in docs])
 
 
 def run_local(docs):
     """The stages in this process, so that settings hold."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     from tessera.llm import suffix_dedup as s
 
@@ -71,20 +76,18 @@ def run_local(docs):
     for k, (i, t) in enumerate(docs):
         groups.setdefault(k % 3, []).append((i, t))
     tables = {
-        c: pa.table({"chunk": pa.array([c] * len(g), pa.int32()), "doc_id": pa.array([(1 << 63) - 1 if i is None else i for i, _ in g], pa.int64()), "no_id": [i is None for i, _ in g], "body": pa.array([(t or "").encode() for _, t in g], pa.binary())})
+        c: pa.table({"chunk": pa.array([c] * len(g), pa.int64()), "doc_id": pa.array([(1 << 63) - 1 if i is None else i for i, _ in g], pa.int64()), "no_id": [i is None for i, _ in g], "body": pa.array([(t or "").encode() for _, t in g], pa.binary())})
         for c, g in groups.items()
     }
-    n = 2
+    n, route = 2, s.Route(3)
 
-    def regroup(results, key):
+    def regroup(results):
         whole = pa.concat_tables(results)
-        return {k: whole.filter(pa.compute.equal(whole.column(key), k)) for k in set(whole.column(key).to_pylist())}
+        return {k: whole.filter(pc.equal(whole.column("node"), k)) for k in set(whole.column("node").to_pylist())}
 
-    import pyarrow.compute  # noqa: F401
-
-    shared = regroup([s.answer_shared(g) for g in regroup([s.send_hashes(n)(t) for t in tables.values()], "bucket").values()], "chunk")
-    none = pa.table({"chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "blob": pa.array([], pa.binary())})
-    low = regroup([s.answer_contexts(g) for g in regroup([s.send_contexts(n)(t, shared.get(c, none)) for c, t in tables.items()], "bucket").values()], "chunk")
+    shared = regroup([s.answer_spread(route)(g) for g in regroup([s.send_hashes(n, route)(t) for t in tables.values()]).values()])
+    none = route.frames([])
+    low = regroup([route.frames(s.answer_contexts(s.pieces_of(g))) for g in regroup([s.send_contexts(n, route)(t, shared.get(c, none)) for c, t in tables.items()]).values()])
     return [tuple(r.values()) for c, t in tables.items() for r in s.finish(False)(t, shared.get(c, none), low.get(c, none)).to_pylist()]
 
 
