@@ -1,24 +1,26 @@
 """LM scoring: a gated recurrent language model in numpy.
 
-Words are counted exactly over all training documents: chunks send hashed words with counts to buckets, which answer the
-totals.  The HEAD most frequent words have vectors of their own; others (the tail) fall into TAIL classes by their last
-two bytes.  The output is factored: first a class, of HEAD_CLASSES frequency bands of head words or a tail class, then a
-head word by softmax within its band, or a tail word by its count within its class (one unknown word in each).
-
-Weights start from the unigram shares.  ROUNDS rounds make one pass over all training documents: each takes those of one
-residue of a hash modulo FRACTION.  In a round every task trains on its own documents by truncated backpropagation over windows of STEPS tokens, state carried
-from window to window and reset between documents, with Adagrad; the tasks' weights are averaged by tokens in a tree.
-Scoring runs over every whole document with state carried throughout.
+Texts are read once: rows of numbered words, a chunk of documents each.  Words are counted exactly over all training
+documents: chunks send hashed words with counts to buckets, which answer the totals.  The HEAD most frequent words have
+vectors of their own; others (the tail) fall into TAIL classes by their last two bytes.  The output is factored: first a
+class, of HEAD_CLASSES frequency bands of head words or a tail class, then a head word by softmax within its band, or a
+tail word by its count within its class (one unknown word in each).
+
+Weights start from the unigram shares.  ROUNDS rounds make one pass over all training documents, each taking those of one
+residue of a hash.  In a round every task trains on its own documents by truncated backpropagation over windows of STEPS
+tokens; STREAMS documents run beside each other, and each one's state is carried from window to window through the whole
+document.  Adagrad sets the steps; the tasks' weights are averaged by tokens in a tree, so they depend on how the input is
+split into tasks, and reruns agree for the same split.  Scoring runs over every whole document with state carried throughout.
 
 Defined cases: a null text counts as empty, which is one end; a missing doc_id counts as held out; without training
-documents all words are unknown; rows repeat as given; words are told apart by 64 bits; an empty table gives an empty
-result; other columns are ignored.
+documents all words are unknown; rows repeat as given; words are told apart by 64 bits, of which 5 are the tail class; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
-from .exchange import bytes_of, chunks_of, pack, pack_sorted, split_at, unpack, unpack_sorted
+from .exchange import CHUNK_BYTES, FRAME, Route, pack, pack_sorted, pieces_of, split_at, unpack, unpack_sorted
 
 HEAD, HEAD_CLASSES, TAIL, HIDDEN = 2048, 32, 32, 32
 CLASSES = HEAD_CLASSES + TAIL
-STREAMS, STEPS, RATE, ROUNDS, FRACTION = 64, 16, 0.2, 2, 2
-#: In training, longer documents are segments of this many tokens, each in a stream of its own, so that streams end together.
-SEGMENT = 1024
+STREAMS, STEPS, RATE, ROUNDS = 64, 16, 0.2, 2
+#: Tokens from which on a document trains before the others of its chunk.
+LONG = 1024
 #: First groups of the tree in which weights are averaged.
 LEAVES = 4096
 FOLDS = 10
@@ -112,8 +114,12 @@ class Vocabulary:
         ]
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def shares(x: np.ndarray, scale: np.float32) -> None:
+    """Each row's softmax times scale, in place; logits are shifted only where they are too large for exp."""
+    if x.max(initial=0) > 80 or x.min(initial=0) < -80:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (scale / x.sum(axis=1))[:, None]
 
 
 def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -127,12 +133,6 @@ def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return chosen - top[:, 0] - np.log(np.exp(x - top).sum(axis=1))
 
 
-def softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    x /= x.sum(axis=1, keepdims=True)
-    return x
-
-
 class Network:
     def __init__(self, weights: list[np.ndarray], vocabulary: Vocabulary) -> None:
         self.w, self.v = weights, vocabulary
@@ -155,32 +155,31 @@ class Network:
         return d
 
     def train(self, docs: Iterator[np.ndarray]) -> int:
-        """One pass over documents of word indexes; the number of tokens."""
+        """One pass over documents of word indexes; the number of tokens.  A stream takes one document after the other, and ends when there is none."""
         start, sums = HEAD + TAIL, [np.full_like(w, 1e-3) for w in self.w]
-        queue: list[np.ndarray] = []
-        at, h, tokens, more = [0] * STREAMS, np.zeros((STREAMS, HIDDEN), np.float32), 0, True
-        streams: list[np.ndarray | None] = [None] * STREAMS
-        while True:
-            x = np.full((STEPS, STREAMS), start)
-            y = np.full((STEPS, STREAMS), -1)
-            fresh = np.zeros((STEPS, STREAMS), bool)
-            for s in range(STREAMS):
+        streams: list[np.ndarray] = []
+        at: list[int] = []
+        for d in docs:
+            streams.append(d)
+            at.append(0)
+            if len(streams) == STREAMS:
+                break
+        h, tokens = np.zeros((len(streams), HIDDEN), np.float32), 0
+        while streams:
+            n = len(streams)
+            x = np.full((STEPS, n), start)
+            y = np.full((STEPS, n), -1)
+            fresh = np.zeros((STEPS, n), bool)
+            ended = []
+            for s in range(n):
                 t = 0
                 while t < STEPS:
                     d = streams[s]
-                    if d is None or at[s] >= len(d):
-                        if not queue and more:
-                            for d in docs:
-                                queue += [d[k : k + SEGMENT] for k in range(0, len(d), SEGMENT)]
-                                if len(queue) >= STREAMS:
-                                    break
-                            else:
-                                more = False
-                        if not queue:
-                            streams[s] = None
+                    if at[s] >= len(d):
+                        d = next(docs, None)
+                        if d is None:
                             break
-                        streams[s], at[s] = queue.pop(), 0
-                        continue
+                        streams[s], at[s] = d, 0
                     k = min(STEPS - t, len(d) - at[s])
                     y[t : t + k, s] = d[at[s] : at[s] + k]
                     if at[s]:
@@ -190,79 +189,119 @@ class Network:
                         fresh[t, s] = True
                     at[s] += k
                     t += k
-            live = int((y >= 0).sum())
-            if not live:
-                return tokens
-            tokens += live
+                if t < STEPS:
+                    ended.append(s)
+            tokens += int((y >= 0).sum())
             h = self.window(x, y, fresh, h, sums)
+            if ended:
+                h = np.delete(h, ended, axis=0)
+                for s in reversed(ended):
+                    del streams[s], at[s]
+        return tokens
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
+        """Trains on a window (steps, streams) from the streams' states h, and returns their new states."""
+        # Each token weighs the same, also where few streams are left.
+        grads, used, h = self.gradients(x, y, fresh, h, np.float32(1 / (STEPS * STREAMS)))
+        sums[0][used] += grads[0] * grads[0]
+        self.w[0][used] -= RATE * grads[0] / np.sqrt(sums[0][used])
+        for k in range(1, len(grads)):
+            g = grads[k]
+            sums[k] += g * g
+            g *= RATE
+            g /= np.sqrt(sums[k])
+            self.w[k] -= g
+        return h
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, scale: np.float32) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of scale times the summed loss: of each weight (of the first for the words used only), the words used, and the last states."""
         wx, u, b, wc, bc, wo, bo = self.w
-        steps, streams = x.shape
-        kept = []
-        states = np.empty((steps, streams, HIDDEN), np.float32)
+        steps, n = x.shape
+        inputs = wx[x.ravel()].reshape(steps, n, 3 * HIDDEN)
+        inputs += b
+        before, cand, qn, states = (np.empty((steps, n, HIDDEN), np.float32) for _ in range(4))
+        gates = np.empty((steps, n, 2 * HIDDEN), np.float32)
+        restart = fresh.any(axis=1)
         for t in range(steps):
-            if fresh[t].any():
+            if restart[t]:
                 h = np.where(fresh[t][:, None], np.float32(0), h)
-            a, q = wx[x[t]] + b, h @ u
-            zr = sigmoid(a[:, : 2 * HIDDEN] + q[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            n = np.tanh(a[:, 2 * HIDDEN :] + r * q[:, 2 * HIDDEN :])
-            kept.append((h, z, r, n, q[:, 2 * HIDDEN :]))
-            h = n + z * (h - n)
+            before[t] = h
+            q = h @ u
+            zr, c = gates[t], cand[t]
+            np.add(inputs[t, :, : 2 * HIDDEN], q[:, : 2 * HIDDEN], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            qn[t] = q[:, 2 * HIDDEN :]
+            np.multiply(zr[:, HIDDEN:], qn[t], out=c)
+            c += inputs[t, :, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= zr[:, :HIDDEN]
+            h += c
             states[t] = h
         flat, target = states.reshape(-1, HIDDEN), y.ravel()
         rows = np.flatnonzero(target >= 0)
-        s, index = flat[rows], target[rows]
-        scale = np.float32(1 / (steps * streams))
+        whole = len(rows) == len(target)
+        s, index = (flat, target) if whole else (flat[rows], target[rows])
+        ds, out = self.output_gradients(s, index, scale)
+        dh_all = ds
+        if not whole:
+            dh_all = np.zeros_like(flat)
+            dh_all[rows] = ds
+        dh_all = dh_all.reshape(steps, n, HIDDEN)
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        # What doesn't depend on the gradient that flows back, for all steps at once.
+        by_cand, by_z, by_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), qn * r * (1 - r)
+        das, dus = (np.empty((steps, n, 3 * HIDDEN), np.float32) for _ in range(2))
+        dh, back = np.zeros((n, HIDDEN), np.float32), np.ascontiguousarray(u.T)
+        for t in range(steps - 1, -1, -1):
+            dh = dh + dh_all[t]
+            da, du = das[t], dus[t]
+            dn = da[:, 2 * HIDDEN :]
+            np.multiply(dh, by_z[t], out=da[:, :HIDDEN])
+            np.multiply(dh, by_cand[t], out=dn)
+            np.multiply(dn, by_r[t], out=da[:, HIDDEN : 2 * HIDDEN])
+            du[:, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=du[:, 2 * HIDDEN :])
+            dh = dh * z[t]
+            dh += du @ back
+            if restart[t]:
+                dh = np.where(fresh[t][:, None], np.float32(0), dh)
+        g_u = before.reshape(-1, HIDDEN).T @ dus.reshape(-1, 3 * HIDDEN)
+        das = das.reshape(-1, 3 * HIDDEN)
+        words = x.ravel()
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        return [np.add.reduceat(das[order], starts, axis=0), g_u, das.sum(axis=0), *out], words[starts], h
+
+    def output_gradients(self, s: np.ndarray, index: np.ndarray, scale: np.float32) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Gradients of the states s for the words index, and of the output weights."""
+        _, _, _, wc, bc, wo, bo = self.w
         c = self.v.classes(index)
-        d = softmax(s @ wc + bc)
-        d[np.arange(len(rows)), c] -= 1
-        d *= scale
+        d = s @ wc
+        d += bc
+        shares(d, scale)
+        d[np.arange(len(index)), c] -= scale
         ds = d @ wc.T
-        g_wc, g_bc = s.T @ d, d.sum(axis=0)
         g_wo, g_bo = np.zeros_like(wo), np.zeros_like(bo)
-        head = np.flatnonzero(index < HEAD)
-        order = head[np.argsort(c[head], kind="stable")]
+        order = np.argsort(c, kind="stable")
         cut = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
         for k in range(HEAD_CLASSES):
-            some = order[cut[k] : cut[k + 1]]
-            if len(some):
-                lo, hi = self.v.first[k], self.v.first[k + 1]
-                e = softmax(s[some] @ wo[lo:hi].T + bo[lo:hi])
-                e[np.arange(len(some)), index[some] - lo] -= 1
-                e *= scale
+            lo, hi = self.v.first[k], self.v.first[k + 1]
+            # A band of one word has nothing to learn.
+            if cut[k + 1] > cut[k] and hi - lo > 1:
+                some = order[cut[k] : cut[k + 1]]
+                own = s[some]
+                e = own @ wo[lo:hi].T
+                e += bo[lo:hi]
+                shares(e, scale)
+                e[np.arange(len(some)), index[some] - lo] -= scale
                 ds[some] += e @ wo[lo:hi]
-                g_wo[lo:hi], g_bo[lo:hi] = e.T @ s[some], e.sum(axis=0)
-        dh_all = np.zeros_like(flat)
-        dh_all[rows] = ds
-        dh_all = dh_all.reshape(steps, streams, HIDDEN)
-        dh = np.zeros((streams, HIDDEN), np.float32)
-        g_u, das = np.zeros_like(u), np.empty((steps, streams, 3 * HIDDEN), np.float32)
-        for t in range(steps - 1, -1, -1):
-            dh = dh + dh_all[t]
-            before, z, r, n, q = kept[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            da = das[t]
-            da[:, :HIDDEN] = dh * (before - n) * z * (1 - z)
-            da[:, HIDDEN : 2 * HIDDEN] = dn * q * r * (1 - r)
-            da[:, 2 * HIDDEN :] = dn
-            du = da.copy()
-            du[:, 2 * HIDDEN :] *= r
-            g_u += before.T @ du
-            dh = dh * z + du @ u.T
-            if fresh[t].any():
-                dh = np.where(fresh[t][:, None], np.float32(0), dh)
-        das = das.reshape(-1, 3 * HIDDEN)
-        used, where = np.unique(x.ravel(), return_inverse=True)
-        g_x = np.zeros((len(used), 3 * HIDDEN), np.float32)
-        np.add.at(g_x, where, das)
-        sums[0][used] += g_x * g_x
-        wx[used] -= RATE * g_x / np.sqrt(sums[0][used])
-        for k, g in ((1, g_u), (2, das.sum(axis=0)), (3, g_wc), (4, g_bc), (5, g_wo), (6, g_bo)):
-            sums[k] += g * g
-            self.w[k] -= RATE * g / np.sqrt(sums[k])
-        return h
+                g_wo[lo:hi], g_bo[lo:hi] = e.T @ own, e.sum(axis=0)
+        return ds, [s.T @ d, d.sum(axis=0), g_wo, g_bo]
 
     def log10(self, docs: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of whole documents (word indexes, and counts for the tail's words)."""
@@ -324,67 +363,103 @@ class Network:
         return p
 
 
-class Tokens:
-    """A chunk's documents as numbers of its distinct words."""
+CHUNK = "chunk long, doc_id array<bigint>, size array<int>, words binary, word_keys binary, n binary"
 
-    def __init__(self, group: pa.Table) -> None:
-        self.ids = [None if n else i for i, n in zip(group.column("doc_id").to_pylist(), group.column("no_id").to_pylist(), strict=True)]
-        data, starts = bytes_of(group.column("body"))
-        raw, numbers = data.tobytes(), {}
-        self.docs = []
-        for s, e in zip(starts, starts[1:], strict=False):
-            words = split(raw[s:e])
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CHUNK but for its number, for each CHUNK_BYTES of texts: word numbers, and the words' ascending keys and counts in training."""
+    ids: list[int | None] = []
+    docs: list[np.ndarray] = []
+    numbers: dict[bytes, int] = {}
+    held = 0
+
+    def row() -> pa.RecordBatch:
+        keys, of = np.unique(np.array([key_of(w) for w in numbers], np.uint64), return_inverse=True)
+        flat_, sizes = of[np.concatenate(docs)], [len(d) for d in docs]
+        training = np.repeat([fold(i) != 0 for i in ids], sizes)
+        n = np.bincount(flat_[training], minlength=len(keys))
+        small = np.uint16 if len(keys) <= 1 << 16 else np.uint32
+        return pa.RecordBatch.from_arrays(
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), *(pa.array([x], pa.binary()) for x in (pack(flat_.astype(small)), pack_sorted(keys), pack(n.astype(np.uint32))))],
+            names=["doc_id", "size", "words", "word_keys", "n"],
+        )
+
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            body = (text or "").encode("utf-8", "replace")
+            words = split(body)
             for w in words:
                 if w not in numbers:
                     numbers[w] = len(numbers)
-            self.docs.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-        keys = np.array([key_of(w) for w in numbers], np.uint64)
-        self.keys, self.of = np.unique(keys, return_inverse=True)
-        self.training = [fold(i) != 0 for i in self.ids]
+            ids.append(i)
+            docs.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+            held += len(body) + 64
+            if held >= CHUNK_BYTES:
+                yield row()
+                ids, docs, numbers, held = [], [], {}, 0
+    if ids:
+        yield row()
+
+
+def send(n: int, route: Route):
+    """FRAME: the words' keys and counts, a row of a chunk at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, packed, counts in zip(*(batch.column(k).to_pylist() for k in ("chunk", "word_keys", "n")), strict=True):
+                keys, (c,) = unpack_sorted(packed), unpack(counts)
+                cut = split_at(keys, n, 64)
+                pieces = [(b, chunk, pack(np.frombuffer(pack_sorted(keys[s:e]), np.uint8), c[s:e])) for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > s]
+                yield from route.frames(pieces).to_batches()
 
-    def counts(self) -> np.ndarray:
-        own = [d for d, t in zip(self.docs, self.training, strict=True) if t]
-        n = np.bincount(np.concatenate(own), minlength=len(self.of)) if own else np.zeros(len(self.of), np.int64)
-        return np.bincount(self.of, n, len(self.keys)).astype(np.int64)
+    return run
 
 
-SENT = "bucket int, chunk int, blob binary"
-COUNTED = "kind int, chunk int, bucket int, blob binary, word_key long, n long, v long"
+COUNTED = "kind int, node long, blob binary, word_key long, n long, v long"
 
 
-def send(n: int):
+def total(route: Route):
+    """kind 0: FRAME with the counts for the chunks' words; 1: one of the bucket's most frequent words; 2: sums of a tail class."""
+
     def run(group: pa.Table) -> pa.Table:
-        t = Tokens(group)
-        c, chunk, out = t.counts(), group.column("chunk")[0].as_py(), []
-        cut = split_at(t.keys, n, 64)
-        for b, (s, e) in enumerate(zip(cut, cut[1:], strict=False)):
-            if e > s:
-                out.append((b, chunk, pack(np.frombuffer(pack_sorted(t.keys[s:e]), np.uint8), c[s:e].astype(np.uint32 if c[s:e].max() < 1 << 32 else np.uint64))))
-        b, k, x = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"bucket": pa.array(b, pa.int32()), "chunk": pa.array(k, pa.int32()), "blob": pa.array(x, pa.binary())})
+        sent = pieces_of(group)
+        parts = [unpack(blob) for _, _, blob in sent]
+        keys = [unpack_sorted(p[0].tobytes()) for p in parts]
+        distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(of, np.concatenate([p[1] for p in parts]).astype(np.float64), len(distinct)).astype(np.int64)
+        kind = np.uint32 if n.max() < 1 << 32 else np.uint64
+        stop = np.cumsum([0] + [len(k) for k in keys])
+        back = route.frames([(c, b, pack(n[of[x:y]].astype(kind))) for (b, c, _), x, y in zip(sent, stop, stop[1:], strict=False)])
+        rows: list[tuple] = [(0, k, blob, 0, 0, 0) for k, blob in zip(back.column("node").to_pylist(), back.column("blob").to_pylist(), strict=True)]
+        top = np.lexsort((distinct, -n))[:HEAD]
+        rows += [(1, 0, None, int(distinct[i].view(np.int64)), int(n[i]), 0) for i in top if n[i]]
+        g = (distinct % np.uint64(TAIL)).astype(np.int64)
+        by_n, by_v = np.bincount(g, n.astype(np.float64), TAIL), np.bincount(g, n > 0, TAIL)
+        rows += [(2, 0, None, k, int(by_n[k]), int(by_v[k])) for k in range(TAIL)]
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.table({k.split()[0]: pa.array(c, t) for k, c, t in zip(COUNTED.split(", "), zip(*rows, strict=True), types, strict=True)})
 
     return run
 
 
-def total(group: pa.Table) -> pa.Table:
-    """kind 0: the counts for a chunk's words; 1: one of the bucket's most frequent words; 2: sums of a tail class."""
-    bucket, chunks = group.column("bucket")[0].as_py(), group.column("chunk").to_pylist()
-    parts = [unpack(b) for b in group.column("blob").to_pylist()]
-    keys = [unpack_sorted(p[0].tobytes()) for p in parts]
-    distinct, of = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(of, np.concatenate([p[1] for p in parts]).astype(np.float64), len(distinct)).astype(np.int64)
-    rows: list[tuple] = []
-    stop = np.cumsum([0] + [len(k) for k in keys])
-    for c, a, b in zip(chunks, stop, stop[1:], strict=False):
-        rows.append((0, c, bucket, pack(n[of[a:b]].astype(np.uint32 if n.max() < 1 << 32 else np.uint64)), 0, 0, 0))
-    top = np.lexsort((distinct, -n))[:HEAD]
-    rows += [(1, 0, bucket, None, int(distinct[i].view(np.int64)), int(n[i]), 0) for i in top if n[i]]
-    g = (distinct % np.uint64(TAIL)).astype(np.int64)
-    by_n, by_v = np.bincount(g, n.astype(np.float64), TAIL), np.bincount(g, n > 0, TAIL)
-    rows += [(2, 0, bucket, None, k, int(by_n[k]), int(by_v[k])) for k in range(TAIL)]
-    cols = list(zip(*rows, strict=True))
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.table({k.split()[0]: pa.array(c, t) for k, c, t in zip(COUNTED.split(", "), cols, types, strict=True)})
+READY = "doc_id array<bigint>, size array<int>, words binary, word_index binary, n binary"
+
+
+def ready(v: Vocabulary) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """READY: the chunk with each word's index and count."""
+
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        out = {k.split()[0]: [] for k in READY.split(", ")}
+        answered = pieces_of(answers)
+        for r in group.to_pylist():
+            index = v.index(unpack_sorted(r["word_keys"])).astype(np.uint16)
+            counts = np.concatenate([unpack(blob)[0] for _, _, blob in answered])
+            for k, x in zip(out, (r["doc_id"], r["size"], r["words"], pack(index), pack(counts)), strict=True):
+                out[k].append(x)
+        types = [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table({k: pa.array(x, t) for (k, x), t in zip(out.items(), types, strict=True)})
+
+    return run
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
@@ -428,42 +503,36 @@ def averaged(sent: DataFrame) -> DataFrame:
     return sent
 
 
-def part(docs: DataFrame, turn: int) -> DataFrame:
-    """The documents of a round; as many rounds as FRACTION see every document once."""
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(FRACTION)) == turn % FRACTION) if FRACTION > 1 else docs
+def turn_of(doc_id: int) -> int:
+    return xxhash.xxh32_intdigest(str(doc_id).encode()) % ROUNDS
 
 
-def trained(docs: DataFrame, v: Vocabulary) -> list[np.ndarray]:
-    """docs: doc_id, text."""
-    sc = docs.sparkSession.sparkContext
+def trained(chunks: DataFrame, v: Vocabulary) -> list[np.ndarray]:
+    """chunks: READY."""
+    sc = chunks.sparkSession.sparkContext
     weights = v.start_weights()
     for turn in range(ROUNDS):
         shared = sc.broadcast((flat(weights), v))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             values, v = shared.value
             net = Network([w.copy() for w in shaped(values, v.start_weights())], v)
 
             def read() -> Iterator[np.ndarray]:
-                known: dict[bytes, int] = {}
                 for batch in batches:
-                    for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                        if fold(i):
-                            words = split((text or "").encode("utf-8", "replace"))
-                            new = [w for w in dict.fromkeys(words) if w not in known]
-                            if new:
-                                if len(known) > 200_000:
-                                    known.clear()
-                                    new = list(dict.fromkeys(words))
-                                known.update(zip(new, v.index(np.array([key_of(w) for w in new], np.uint64)).tolist(), strict=True))
-                            yield np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                    for r in batch.to_pylist():
+                        flat_ = unpack(r["word_index"])[0][unpack(r["words"])[0]].astype(np.int64)
+                        stop = np.cumsum(r["size"])
+                        own = [flat_[e - k : e] for i, k, e in zip(r["doc_id"], r["size"], stop, strict=True) if fold(i) and turn_of(i) == turn]
+                        # Long ones first, so that streams end together.
+                        yield from sorted(own, key=lambda d: len(d) < LONG)
 
             n = net.train(read())
             if n:
                 leaf = xxhash.xxh32_intdigest(net.w[1].tobytes()) % LEAVES
                 yield pa.RecordBatch.from_arrays([pa.array([leaf], pa.int32()), pa.array([n], pa.int64()), pa.array([flat(net.w).astype(np.float32).tobytes()], pa.binary())], names=["leaf", "n", "blob"])
 
-        found = averaged(part(docs, turn).mapInArrow(run, "leaf int, n long, blob binary")).collect()
+        found = averaged(chunks.mapInArrow(run, "leaf int, n long, blob binary")).collect()
         if found:
             weights = shaped(np.frombuffer(found[0]["blob"], np.float32), weights)
         shared.unpersist()
@@ -475,32 +544,40 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame) -> DataFrame:
     """RESULT of every row; columns doc_id and text are read."""
-    docs = docs.select("doc_id", "text")
-    d, n = chunks_of(docs)
-    counted = materialise(d.groupBy("chunk").applyInArrow(send(n), SENT).groupBy("bucket").applyInArrow(total, COUNTED))
+    spark = docs.sparkSession
+    unnumbered = CHUNK.split(", ", 1)[1]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(numbered, unnumbered)
+    # Numbered once and written, so that the numbers stay.
+    chunks = materialise(rows.select(F.monotonically_increasing_id().alias("chunk"), "*"))
+    n = max(1, chunks.count())
+    route = Route(n)
+    counted = materialise(route.forward(chunks.select("chunk", "word_keys", "n").mapInArrow(send(n, route), FRAME)).groupBy("node").applyInArrow(total(route), COUNTED))
     v = vocabulary(counted)
-    shared = docs.sparkSession.sparkContext.broadcast((flat(trained(docs, v)), v))
+    answers = route.forward(counted.where("kind = 0").select("node", "blob"))
+    chunks = materialise(chunks.groupBy("chunk").cogroup(answers.groupBy("node")).applyInArrow(ready(v), READY))
+    shared = spark.sparkContext.broadcast((flat(trained(chunks, v)), v))
 
-    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
-        if not len(group):
-            return pa.table({k.split()[0]: pa.array([], t) for k, t in zip(RESULT.split(", "), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, v = shared.value
         net = Network(shaped(values, v.start_weights()), v)
-        t = Tokens(group)
-        by = sorted(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist(), strict=True))
-        count = np.concatenate([unpack(b)[0] for _, b in by]).astype(np.float64)[t.of]
-        index = v.index(t.keys)[t.of]
-        base = np.log10((count + SMOOTH) / (v.total + SMOOTH * (v.distinct + 1)))
-        known = count > 0
-        scores = net.log10([index[x] for x in t.docs], [count[x] for x in t.docs])
-        return pa.table({
-            "doc_id": pa.array(t.ids, pa.int64()), "held_out": pa.array([not x for x in t.training]), "n_tokens": pa.array([len(x) for x in t.docs], pa.int64()),
-            "n_known": pa.array([int(known[x].sum()) for x in t.docs], pa.int64()), "train_tokens": pa.array([v.total] * len(t.docs), pa.int64()),
-            "base_score": pa.array([float(base[x].sum()) for x in t.docs]), "score": pa.array(scores),
-        })
-
-    answers = counted.where("kind = 0").select("chunk", "bucket", "blob")
-    return d.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, RESULT)
+        for batch in batches:
+            for r in batch.to_pylist():
+                words = unpack(r["words"])[0]
+                index, n = unpack(r["word_index"])[0].astype(np.int64), unpack(r["n"])[0].astype(np.float64)
+                stop = np.cumsum(r["size"])
+                docs_ = [words[e - k : e] for k, e in zip(r["size"], stop, strict=True)]
+                first = stop - r["size"]
+                sums = lambda x: np.add.reduceat(x[words], first)  # noqa: E731, B023
+                scores = net.log10([index[d] for d in docs_], [n[d] for d in docs_])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(r["doc_id"], pa.int64()), pa.array([not fold(i) if i is not None else True for i in r["doc_id"]]), pa.array(r["size"], pa.int64()), pa.array(sums((n > 0).astype(np.int64))),
+                        pa.array(np.full(len(docs_), v.total, np.int64)), pa.array(sums(np.log10((n + SMOOTH) / (v.total + SMOOTH * (v.distinct + 1))))), pa.array(scores),
+                    ],
+                    names=[k.split()[0] for k in RESULT.split(", ")],
+                )
+
+    return chunks.mapInArrow(run, RESULT)
 
 
 def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
