@@ -1,6 +1,9 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-The pieces and scores of a SentencePiece model file span a lattice over the text.  A forward Viterbi pass gives every
+The pieces of a SentencePiece model file span a lattice over the text.  Their scores are log probabilities: those of the
+file if it is a unigram model; the file of a BPE model has merge ranks instead, from which Zipf's law gives a piece of rank
+r the probability 1 / (r H), H the sum of all 1 / r.  So nothing is trained, ids are those of the file, and a segmentation
+is the likeliest under these probabilities, not the one that merges in order of rank would make.  A forward Viterbi pass gives every
 position the best score of a path to it; a backward A-star search from the end takes those scores as its heuristic,
 which is exact, so hypotheses come out in order of their full score.  As no piece crosses the start of a word, a text's
 lattice falls into segments, each solved once for all its occurrences (up to CACHE at a time); the text's N best
@@ -10,8 +13,8 @@ Characters that no piece covers fall back to byte pieces, each at UNKNOWN below
 
 Defined cases: a null text counts as empty; an empty text has no pieces and scores 0; text is never normalised, so that
 decoding gives back the text; lone surrogates become "?"; equal texts get equal values; paths of equal score are taken
-in order of their last piece, the longer first; an empty table gives an empty result; ``encoded`` passes all columns
-through.
+in order of their last piece, the longer first; rows repeat as given; an empty table gives an empty result; ``encoded``
+passes all columns through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ import struct
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
@@ -38,13 +43,27 @@ CACHE = 200_000
 N_BEST = 3
 #: Characters of the piece table; segments with others are solved one by one.
 DENSE = 192
-#: Texts that are solved together.
-GROUP = 256
+#: Texts and characters that are solved together.
+GROUP, GROUP_CHARS = 256, 1 << 19
 SPACE = "▁"
 #: Piece types, fixed by the format.
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
+#: Model types, fixed by the format.
+UNIGRAM, BPE = 1, 2
+
+
+def zipf(scores: list[float], types: list[int]) -> list[float]:
+    """ln(1 / (r H)) for the usable pieces, r their rank by falling score, then by id."""
+    ranked = sorted((i for i, t in enumerate(types) if t in (NORMAL, USER)), key=lambda i: (-scores[i], i))
+    whole = math.log(math.fsum(1 / r for r in range(1, len(ranked) + 1)) or 1.0)
+    out = list(scores)
+    for r, i in enumerate(ranked, 1):
+        out[i] = -math.log(r) - whole
+    return out
+
+
 def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
     """The fields of a protocol-buffer message."""
     p = 0
@@ -76,18 +95,22 @@ def fields(b: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Pieces:
-    def __init__(self, path: str) -> None:
+    def __init__(self, data: bytes) -> None:
+        """data: a model file's bytes."""
         self.names: list[str] = []
         self.types: list[int] = []
         scores: list[float] = []
-        with open(path, "rb") as f:
-            data = f.read()
+        kind = UNIGRAM
         for k, v in fields(data):
             if k == 1:
                 d = dict(fields(v))
                 self.names.append(d.get(1, b"").decode())
                 scores.append(struct.unpack("<f", d[2])[0] if 2 in d else 0.0)
                 self.types.append(d.get(3, NORMAL))
+            elif k == 2:
+                kind = dict(fields(v)).get(3, UNIGRAM)
+        if kind != UNIGRAM:
+            scores = zipf(scores, self.types)
         usable = [i for i, t in enumerate(self.types) if t in (NORMAL, USER)]
         self.ids = {self.names[i]: (i, scores[i]) for i in usable}
         self.longest = max(map(len, self.ids), default=1)
@@ -273,10 +296,10 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL) -> None:
-        self.pieces = Pieces(path)
+    def __init__(self, data: bytes) -> None:
+        self.pieces = Pieces(data)
         self.cache: dict[str | None, tuple[bytes, float, float]] = {}
-        self.ranked: dict[tuple[str, int], list[float]] = {}
+        self.ranked: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def segments(self, text: str) -> list[str | None]:
         """A segment None stands for the space mark itself in the text."""
@@ -295,20 +318,20 @@ class Encoder:
             return array("i", [self.pieces.byte_ids.get(x, 0) for x in raw]).tobytes(), self.pieces.byte_score * len(raw), math.inf
         return self.pieces._alone(s)[1:]
 
-    def options(self, s: str, n: int) -> list[float]:
-        """What the n best segmentations of a segment cost more than the first, none or less."""
+    def options(self, s: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a segment: what each costs more than the first, none or less, and its ids."""
         if (s, n) not in self.ranked:
             if len(self.ranked) >= CACHE // 4:
                 self.ranked.clear()
             found = self.pieces.n_best(s, n)
-            self.ranked[s, n] = [x[0] - found[0][0] for x in found]
+            self.ranked[s, n] = [(score - found[0][0], array("i", ids).tobytes()) for score, ids in found]
         return self.ranked[s, n]
 
-    def encode(self, text: str, n: int = N_BEST) -> tuple[bytes, list[float]]:
-        """The ids of the best segmentation (32-bit), and the scores of the n best."""
+    def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
+        """Scores and ids (32-bit) of the n best segmentations, the best first."""
         return self.encode_many([text], n)[0]
 
-    def encode_many(self, texts: list[str], n: int = N_BEST) -> list[tuple[bytes, list[float]]]:
+    def encode_many(self, texts: list[str], n: int = N_BEST) -> list[list[tuple[float, bytes]]]:
         cache, out = self.cache, []
         if len(cache) > CACHE:
             cache.clear()
@@ -322,10 +345,12 @@ class Encoder:
         for segments in split:
             parts = [cache[s] for s in segments]
             if not parts:
-                out.append((b"", [0.0]))
+                out.append([(0.0, b"")])
                 continue
             ids, scores, gaps = zip(*parts, strict=True)
-            sums = [0.0]
+            total, whole = math.fsum(scores), b"".join(ids)
+            #: (what it costs more, ((segment, its path), ..)) of the best so far; segments not named take their first path.
+            sums: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
             if n > 1:
                 # No path of the n best uses a segment whose second path costs more than n - 1 others' do.
                 limit = heapq.nsmallest(n - 1, gaps)[-1]
@@ -333,9 +358,17 @@ class Encoder:
                 if len(near) >= n:
                     near = heapq.nsmallest(n - 1, near, key=gaps.__getitem__)
                 for i in near:
-                    sums = heapq.nlargest(n, (a + b for a in sums for b in self.options(segments[i], n)))
-            total = math.fsum(scores)
-            out.append((b"".join(ids), [total + x for x in sums]))
+                    options = self.options(segments[i], n)
+                    sums = heapq.nlargest(n, ((a + b, (*way, (i, path)) if k else way) for a, way in sums for k, (b, path) in enumerate(options)), key=lambda x: x[0])
+            starts = [0, *accumulate(map(len, ids))] if len(sums) > 1 else []
+            found = []
+            for cost, way in sums:
+                pieces, at = [], 0
+                for i, path in sorted(way):
+                    pieces += (whole[at : starts[i]], path)
+                    at = starts[i + 1]
+                found.append((total + cost, b"".join([*pieces, whole[at:]]) if way else whole))
+            out.append(found)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -344,13 +377,20 @@ class Encoder:
         return text[1:]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[bytes, Encoder] = {}
+
 
+def encoder(data: bytes) -> Encoder:
+    """The worker's encoder of a model file."""
+    key = hashlib.sha256(data).digest()
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(data)
+    return _ENCODERS[key]
 
-def encoder(path: str = MODEL) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+
+def model_file(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """The one file at path, wherever Spark reads it, for all executors."""
+    return spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
 
 
 def clean(text: str | None) -> str:
@@ -358,47 +398,74 @@ def clean(text: str | None) -> str:
 
 
 def encoded(docs: DataFrame, path: str = MODEL, n: int = N_BEST) -> DataFrame:
-    """The documents, all columns, with pieces (ids) and scores (of the n best segmentations)."""
-    types = docs.drop("pieces", "scores")
-    schema = T.StructType([*types.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType())), T.StructField("scores", T.ArrayType(T.DoubleType()))])
-    at = types.columns.index("text")
+    """The documents, all columns, with pieces (ids of the best segmentation), n_best (ids of the others, up to n - 1, by falling score) and scores (of all).
+
+    Columns of these names in the input stay, and the new ones get underscores.
+    """
+    names = [fresh(docs, c) for c in ("pieces", "n_best", "scores")]
+    ids_type = T.ArrayType(T.IntegerType())
+    types = [ids_type, T.ArrayType(ids_type), T.ArrayType(T.DoubleType())]
+    schema = T.StructType([*docs.schema.fields, *map(T.StructField, names, types)])
+    at = docs.columns.index("text")
+    model = model_file(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for batch in batches:
-            texts = [clean(t) for t in batch.column(at).to_pylist()]
-            found = [x for i in range(0, len(texts), GROUP) for x in e.encode_many(texts[i : i + GROUP], n)]
-            ids = pa.array([memoryview(x[0]).cast("i").tolist() for x in found], pa.list_(pa.int32()))
-            scores = pa.array([x[1] for x in found], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, scores], names=[*batch.schema.names, "pieces", "scores"])
+        e = encoder(model.value)
+        for part, texts in parts_of(batches, at):
+            found = e.encode_many(texts, n)
+            best, others = (ids_array([x[1] for f in found for x in f[a:b]]) for a, b in ((0, 1), (1, n)))
+            ends = np.cumsum([0] + [len(f) - 1 for f in found]).astype(np.int32)
+            scores = pa.array([[x[0] for x in f] for f in found], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, best, pa.ListArray.from_arrays(pa.array(ends), others), scores], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of up to GROUP rows and about GROUP_CHARS characters, and their texts, so that what a task holds doesn't follow the batch."""
+    for batch in batches:
+        start = held = 0
+        texts: list[str] = []
+        for k in range(len(batch)):
+            texts.append(clean(batch.column(at)[k].as_py()))
+            held += len(texts[-1])
+            if len(texts) >= GROUP or held >= GROUP_CHARS:
+                yield batch.slice(start, len(texts)), texts
+                start, held, texts = k + 1, 0, []
+        if texts:
+            yield batch.slice(start), texts
+
 
-    return types.mapInArrow(run, schema)
+def ids_array(rows: list[bytes]) -> pa.ListArray:
+    """Lists of 32-bit ids from their bytes."""
+    ends = np.cumsum([0] + [len(r) // 4 for r in rows]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
 
 
-RESULT = "n_chars long, n_pieces long, pieces_sha256 string, scores array<double>, decoded_sha256 string, round_trip boolean"
+RESULT = "n_chars long, n_pieces long, pieces_sha256 string, scores array<double>, n_best_sha256 array<string>, decoded_sha256 string, round_trip boolean"
 
 
-def digests(e: Encoder, texts: list[str | None]) -> list[tuple]:
+def digests(e: Encoder, clear: list[str]) -> list[tuple]:
+    """RESULT of each text; round_trip: every segmentation of the n best decodes to the text."""
     out = []
-    clear = [clean(t) for t in texts]
-    for s, (ids, scores) in zip(clear, e.encode_many(clear), strict=True):
-        back = e.decode(ids)
-        out.append((len(s), len(ids) // 4, hashlib.sha256(ids).hexdigest(), [round(x, 4) for x in scores], hashlib.sha256(back.encode()).hexdigest(), back == s))
+    for s, found in zip(clear, e.encode_many(clear), strict=True):
+        back = [e.decode(ids) for _, ids in found]
+        names = [hashlib.sha256(ids).hexdigest() for _, ids in found]
+        out.append((len(s), len(found[0][1]) // 4, names[0], [round(x, 4) for x, _ in found], names, hashlib.sha256(back[0].encode()).hexdigest(), all(b == s for b in back)))
     return out
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    model = model_file(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.string(), pa.bool_()]
+        e = encoder(model.value)
+        types = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string(), pa.bool_()]
         names = ["doc_id", *(x.split()[0] for x in RESULT.split(", "))]
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            rows = [x for i in range(0, len(texts), GROUP) for x in digests(e, texts[i : i + GROUP])]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+        for part, texts in parts_of(batches, 1):
+            cols = zip(*digests(e, texts), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
 
     return docs.mapInArrow(run, f"doc_id {kind}, {RESULT}")

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from tessera.llm.sentencepiece_lattice import encoder
+from tessera.llm.sentencepiece_lattice import MODEL, encoder
 
 
 def make(spark, folder):
@@ -43,7 +43,8 @@ def test_stages(spark, tmp_path, monkeypatch):
     sizes = {s: sum(len((t or "").split()) for i, t in texts.items() if i < 300 and i % 4 == k) for k, s in enumerate(("s0", "s1", "s2", "s3"))}
     taken = {s: sum(len(r.text.split()) for r in kept[3] if r.source == s) for s in sizes}
     assert taken["s0"] > sizes["s0"] > taken["s2"] and taken["s0"] > taken["s1"]
-    e = encoder()
+    with open(MODEL, "rb") as f:
+        e = encoder(f.read())
     import array
 
     assert len(kept[4]) == len(kept[3])

@@ -2,7 +2,13 @@ import random
 
 import pytest
 
-from tessera.llm.sentencepiece_lattice import SPACE, encoded, encoder
+from tessera.llm import sentencepiece_lattice
+from tessera.llm.sentencepiece_lattice import MODEL, SPACE, digests, encoded
+
+
+def encoder():
+    with open(MODEL, "rb") as f:
+        return sentencepiece_lattice.encoder(f.read())
 
 
 def every(pieces, s):
@@ -47,21 +53,56 @@ def test_batches_agree_with_single_words():
 def test_texts_merge_their_segments(text):
     e = encoder()
     want = every(e.pieces, SPACE + text.replace(" ", SPACE))
-    assert [round(x, 3) for x in e.encode(text, 4)[1]] == [round(x[0], 3) for x in want[:4]]
+    found = e.encode(text, 4)
+    assert [round(x, 3) for x, _ in found] == [round(x[0], 3) for x in want[:4]]
+    # Ties may come in either order.
+    scores = {ids: round(x, 3) for x, ids in want}
+    paths = [tuple(memoryview(ids).cast("i")) for _, ids in found]
+    assert len(set(paths)) == len(paths) and [scores[p] for p in paths] == [round(x, 3) for x, _ in found]
+
+
+def test_whole_words_are_likelier_than_their_parts():
+    e = encoder()
+    names = lambda text: [e.pieces.names[i] for i in memoryview(e.encode(text)[0][1]).cast("i")]
+    assert names("The organizations of the world") == ["▁The", "▁organizations", "▁of", "▁the", "▁world"]
+    total = sum(2.718281828459045**s for _, s in e.pieces.ids.values())
+    assert total == pytest.approx(1)
 
 
 def test_decoding_gives_back_the_text():
     e, rng = encoder(), random.Random(5)
     texts = ["", " ", "  a ", "\n\n", "a\tb", "▁x ▁", "é🎉", "\x00\x7f", "word " * 3000]
     texts += ["".join(rng.choice("ab é▁\n日🎉.") for _ in range(rng.randint(0, 80))) for _ in range(200)]
-    for t, (ids, scores) in zip(texts, e.encode_many(texts), strict=True):
-        assert e.decode(ids) == t
-        assert scores == sorted(scores, reverse=True)
-
+    for t, found in zip(texts, e.encode_many(texts), strict=True):
+        assert all(e.decode(ids) == t for _, ids in found)
+        assert [x for x, _ in found] == sorted((x for x, _ in found), reverse=True)
+    assert all(r[-1] for r in digests(e, texts))
+
+
+def test_columns_pass_through(spark, monkeypatch):
+    docs = [(1, None, "a"), (1, "hi there", "b"), (1, "hi there", "b")] + [(k, f"text {k} é " * k, None) for k in range(30)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, pieces string")
+    out = encoded(d)
+    assert out.columns == ["doc_id", "text", "pieces", "pieces_", "n_best", "scores"]
+    rows = out.collect()
+    assert sorted((r.doc_id, r.text or "", r.pieces or "") for r in rows) == sorted((i, t or "", p or "") for i, t, p in docs)
+    e = encoder()
+    import array
 
-def test_columns_pass_through(spark):
-    d = spark.createDataFrame([(1, None, "a"), (1, "hi there", "b"), (1, "hi there", "b")], "doc_id long, text string, pieces string")
-    rows = sorted(encoded(d).collect(), key=str)
-    assert [r.doc_id for r in rows] == [1, 1, 1] and rows[0].pieces == rows[1].pieces
-    assert [] in [r.pieces for r in rows]
+    for r in rows:
+        found = [r.pieces_, *r.n_best]
+        assert len(found) == len(r.scores)
+        assert all(e.decode(array.array("i", x).tobytes()) == (r.text or "") for x in found)
     assert encoded(d.limit(0)).collect() == []
+
+
+def test_slices_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(sentencepiece_lattice, "GROUP", 3)
+    monkeypatch.setattr(sentencepiece_lattice, "GROUP_CHARS", 10)
+    texts = ["a", "b", "c", "d", "x" * 50, None, "", "e" * 10, "f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    parts = list(sentencepiece_lattice.parts_of(iter([batch]), 1))
+    assert [t for _, some in parts for t in some] == [t or "" for t in texts]
+    assert [len(p) for p, _ in parts] == [3, 2, 3, 1] and all(len(p) == len(t) for p, t in parts)
