@@ -12,9 +12,9 @@ A document's set holds its distinct N-word shingles.  Sets link at a Jaccard sim
    pigeonhole principle a lookup finds every linked set.  The allocation takes the k + 1 cheapest counts, by the number of
    sets that a segment's rarest shingles stand in, so empty and common segments are passed over and no link is lost.
 3. Buckets group sets by key.  The least set of a group is paired with the others.  Pairs that sizes or sketches (parities
-   of two bits a shingle) don't rule out are verified exactly.  Components of the links are found, and sets outside a
-   group's largest one meet a few of its members; then every pair of a group that still lies in two components is verified
-   as well.  So no link between two components is lost, and no group is expanded into all its pairs unless its sets turn
+   of two bits a shingle) don't rule out are verified exactly.  Components of the links are found, and sets meet those of
+   other components in their groups that are nearest by sketch; then every pair of a group that still lies in two components is held
+   against sketches where its group is, and verified if they allow it.  So no link between two components is lost, and no group is expanded into all its pairs unless its sets turn
    out not to belong together.
 
 Shingles are told apart by 48 bits, sets by 128.
@@ -41,10 +41,12 @@ from .exchange import FRAME, PIECE, Route, bytes_of, chunks_of, mix, pack, pack_
 N = 5
 THRESHOLD = 75
 BITS = 48
-#: Members of its largest component that others of a group meet first.
+#: Nearest members of a group's other components that a set meets first.
 FEW = 4
 #: Shingles whose keys are made at once, and keys that a bucket holds.
 SLICE, BUCKET_KEYS = 400_000, 4_000_000
+#: Members of a group that are compared with each other at once.
+BLOCK = 4096
 #: Segments are tried at mean sizes from the first of these to the second.
 SEGMENT = (7, 2)
 
@@ -438,36 +440,70 @@ def linked(sets: DataFrame, largest: int, shingles: int) -> DataFrame:
     found = materialise(verified(stars, sets))
     roots = components(found)
 
-    # Whoever isn't in a group's largest component meets a few of its members before all of the rest is tried.
-    m = open_groups(groups, roots)
-    few = lambda g: F.slice(F.array_sort(F.transform(g, lambda e: F.struct(F.xxhash64(e["node"], F.col("name")).alias("h"), e["node"].alias("node")))), 1, FEW)
-    meet = F.flatten(
-        F.transform(
-            F.filter("m", lambda e: e["root"] != F.col("most")),
-            lambda e: F.transform("some", lambda g: F.struct(F.least(e["node"], g["node"]).alias("a"), F.greatest(e["node"], g["node"]).alias("b"))),
-        )
-    )
-    more = m.withColumn("some", few(F.filter("m", lambda e: e["root"] == F.col("most")))).select(F.explode(meet).alias("p")).select("p.a", "p.b").distinct()
-    more = materialise(more.join(stars, ["a", "b"], "left_anti"))
+    # Each set first meets those of other components that are nearest by sketch; most that link do so here.
+    more = materialise(apart(groups, roots, sets, FEW).join(stars, ["a", "b"], "left_anti"))
     tried = stars.union(more)
     found = found.union(materialise(verified(more, sets)))
     roots = components(found)
 
-    later = lambda s: F.flatten(
-        F.transform(s, lambda e, i: F.transform(F.filter(F.slice(s, i + 2, F.size(s)), lambda g: g["root"] != e["root"]), lambda g: F.struct(e["node"].alias("a"), g["node"].alias("b"))))
-    )
-    pairs = open_groups(groups, roots).select(F.explode(later(F.col("m"))).alias("p")).select("p.a", "p.b").distinct()
-    second = materialise(verified(pairs.join(tried, ["a", "b"], "left_anti"), sets))
+    second = materialise(verified(apart(groups, roots, sets).join(tried, ["a", "b"], "left_anti"), sets))
     if not second.take(1):
         return roots
     return components(found.union(second))
 
 
-def open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
-    """name, m (node and root of the members, by node), most (the root of most) of groups in several components."""
-    d = groups.select("name", F.explode("members").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    d = d.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("node", "root"))).alias("m"), F.mode("root", True).alias("most"), F.min("root").alias("x"), F.max("root").alias("y"))
-    return d.where("x <> y").select("name", "m", "most")
+def apart(groups: DataFrame, roots: DataFrame, sets: DataFrame, few: int | None = None) -> DataFrame:
+    """The distinct pairs (a, b) of a group's members in different components that sizes and sketches don't rule out; with few, only the nearest of a member.
+
+    Sketches go to the groups, a row for each pair of blocks of BLOCK members, and pairs are made there; only those left leave.
+    """
+    d = groups.select("name", F.ceil(F.size("members") / BLOCK).cast("int").alias("blocks"), F.explode("members").alias("node"))
+    d = d.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = d.groupBy("name").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("name")
+    d = d.join(several, "name").join(sets.select("node", "size", "sketch"), "node")
+    d = d.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.select("name", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "size", "sketch")
+    d = d.groupBy("name", "low", "high").agg(F.collect_list(F.struct("node", "root", "size", "sketch")).alias("m")).select("m")
+    return d.mapInArrow(lambda batches: members_apart(batches, few), "a long, b long").distinct()
+
+
+def members_apart(batches: Iterator[pa.RecordBatch], few: int | None) -> Iterator[pa.RecordBatch]:
+    """m: members.  Pairs within a block come up in each of its rows, which costs little beside those between blocks."""
+    for batch in batches:
+        m = batch.column(0)
+        for k in range(len(m)):
+            rows = m[k].values
+            node, root, size = (rows.field(c).to_numpy() for c in ("node", "root", "size"))
+            order = np.argsort(node)
+            node, root, size = node[order], root[order], size[order]
+            sketches = rows.field("sketch").take(pa.array(order)).to_pylist()
+            # All at the length of the shortest, which is at most a few times shorter where sizes fit.
+            for low in sorted({len(x) for x in sketches}):
+                at = np.array([i for i, x in enumerate(sketches) if low <= len(x) <= 4 * low])
+                first = np.array([len(sketches[i]) == low for i in at])
+                bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, low // 8), axis=0) for i in at])
+                # Pairs of the shortest length once, and all with longer ones; some rows of the matrix of pairs at a time.
+                mine = np.flatnonzero(first)
+                step = max(1, (1 << 19) // max(1, bits.size))
+                for start in range(0, len(mine), step):
+                    i = mine[start : start + step, None]
+                    x = at[i]
+                    near = (~first | (np.arange(len(at)) > i)) & (root[at] != root[x])
+                    near &= 100 * np.minimum(size[at], size[x]) >= THRESHOLD * np.maximum(size[at], size[x])
+                    if not near.any():
+                        continue
+                    differ = np.bitwise_count(bits ^ bits[i]).sum(axis=2, dtype=np.int64)
+                    near &= (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (size[at] + size[x])
+                    if few and near.shape[1] > few:
+                        ranked = np.argpartition(np.where(near, differ, 1 << 40), few, axis=1)[:, :few]
+                        rows_, cols = np.repeat(np.arange(len(near)), few), ranked.ravel()
+                        some = near[rows_, cols]
+                        rows_, cols = rows_[some], cols[some]
+                    else:
+                        rows_, cols = np.nonzero(near)
+                    if len(rows_):
+                        p, q = node[x[rows_, 0]], node[at[cols]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ class, of HEAD_CLASSES frequency bands of head words or a tail class, then a hea
 tail word by its count within its class (one unknown word in each).
 
 Weights start from the unigram shares.  ROUNDS rounds make one pass over all training documents, each taking those of one
-residue of a hash.  In a round every task trains on its own documents by truncated backpropagation over windows of STEPS
+residue of a hash, if there are several.  In a round every task trains on its own documents by truncated backpropagation over windows of STEPS
 tokens; STREAMS documents run beside each other, and each one's state is carried from window to window through the whole
 document.  Adagrad sets the steps; the tasks' weights are averaged by tokens in a tree, so they depend on how the input is
 split into tasks, and reruns agree for the same split.  Scoring runs over every whole document with state carried throughout.
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .exchange import CHUNK_BYTES, FRAME, Route, pack, pack_sorted, pieces_of, split_at, unpack, unpack_sorted
 
-HEAD, HEAD_CLASSES, TAIL, HIDDEN = 2048, 32, 32, 32
+HEAD, HEAD_CLASSES, TAIL, HIDDEN = 2048, 32, 32, 16
 CLASSES = HEAD_CLASSES + TAIL
-STREAMS, STEPS, RATE, ROUNDS = 64, 16, 0.2, 2
-#: Tokens from which on a document trains before the others of its chunk.
-LONG = 1024
+STREAMS, STEPS, RATE, ROUNDS = 96, 16, 0.25, 1
+#: Tokens from which on a document trains before the others, and tokens of which a task knows the lengths ahead.
+LONG, HELD = 1024, 1 << 24
 #: First groups of the tree in which weights are averaged.
 LEAVES = 4096
 FOLDS = 10
@@ -507,6 +507,11 @@ def turn_of(doc_id: int) -> int:
     return xxhash.xxh32_intdigest(str(doc_id).encode()) % ROUNDS
 
 
+def long_first(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """So that streams end together."""
+    return sorted(docs, key=lambda d: -len(d) if len(d) >= LONG else 0)
+
+
 def trained(chunks: DataFrame, v: Vocabulary) -> list[np.ndarray]:
     """chunks: READY."""
     sc = chunks.sparkSession.sparkContext
@@ -519,13 +524,18 @@ def trained(chunks: DataFrame, v: Vocabulary) -> list[np.ndarray]:
             net = Network([w.copy() for w in shaped(values, v.start_weights())], v)
 
             def read() -> Iterator[np.ndarray]:
+                held: list[np.ndarray] = []
+                n = 0
                 for batch in batches:
                     for r in batch.to_pylist():
-                        flat_ = unpack(r["word_index"])[0][unpack(r["words"])[0]].astype(np.int64)
+                        flat_ = unpack(r["word_index"])[0][unpack(r["words"])[0]]
                         stop = np.cumsum(r["size"])
-                        own = [flat_[e - k : e] for i, k, e in zip(r["doc_id"], r["size"], stop, strict=True) if fold(i) and turn_of(i) == turn]
-                        # Long ones first, so that streams end together.
-                        yield from sorted(own, key=lambda d: len(d) < LONG)
+                        held += [flat_[e - k : e] for i, k, e in zip(r["doc_id"], r["size"], stop, strict=True) if fold(i) and turn_of(i) == turn]
+                        n += len(flat_)
+                        if n >= HELD:
+                            yield from long_first(held)
+                            held, n = [], 0
+                yield from long_first(held)
 
             n = net.train(read())
             if n:

@@ -102,6 +102,25 @@ def test_sets_far_apart_are_ruled_out():
         assert not may_link(sketch(a), len(a), sketch(a[: size // 2]), size // 2)
 
 
+@pytest.mark.parametrize("block", [2, 3, 4096])
+def test_groups_in_blocks(spark, block, monkeypatch):
+    """Every pair of a group that may link and lies in two components comes up, once."""
+    from tessera.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(1, 1 << 48, 90, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(1, 1 << 48, int(rng.choice([0, 3, 9, 200])), dtype=np.uint64)])) for _ in range(14)]
+    root = [i // 2 * 2 for i in range(14)]
+    table = spark.createDataFrame([(i, len(x), bytearray(sketch(x))) for i, x in enumerate(sets)], "node long, size long, sketch binary")
+    groups = spark.createDataFrame([(1, list(range(9))), (2, [0, 1]), (3, [5, 9, 13])], "name long, members array<long>")
+    roots = spark.createDataFrame(list(enumerate(root)), "node long, root long")
+    got = sorted(map(tuple, jaccard_join.apart(groups, roots, table).collect()))
+    ask = lambda a, b: root[a] != root[b] and may_link(sketch(sets[a]), len(sets[a]), sketch(sets[b]), len(sets[b]))
+    want = {(a, b) for g in (range(9), (0, 1), (5, 9, 13)) for a in g for b in g if a < b and ask(a, b)}
+    assert want and got == sorted(want)
+
+
 def test_representatives_pass_clashing_columns(spark):
     names = ["doc_id", "text", "set_id", "gone_id", "node", "root", "least"]
     docs = [(i, t, 1, i, 2, 3, 4) for i, t in make(0)]
