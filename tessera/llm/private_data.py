@@ -1,15 +1,21 @@
 """PII: spans of personal data, and information-theoretic sanitisation around them, in DataFrame operations only.
 
-Base kinds (email, ip, card, phone) are found by pattern.  Every distinct value found is a protected entity.  Corpus
-co-occurrence then says how strongly the terms (runs of letters, lower-cased) of the texts that hold an entity reveal
-it: with D distinct texts, IC(e) = log2(D / df(e)) and PMI(e; t) = log2(D df(e, t) / (df(e) df(t))).  All four count
-distinct texts, so that copies count once, and a term may stand anywhere in a text.  A term that shares at least
-MIN_CONTEXTS texts with an entity and whose PMI reaches DISCLOSURE of the entity's IC discloses it: wherever it stands in
-a document that holds the entity it is a span of kind ``term``, and the sanitised text has a general word in its place.
+Base kinds (email, ip, card, phone) are found by pattern.  A secret is a run of SECRET_CHARS or more letters and digits
+whose characters carry at least SECRET_BITS bits each (their Shannon entropy).  Every distinct value found is a protected
+entity, and so is every kind as such.  Corpus co-occurrence then says how strongly a term (a run of letters, lower-cased)
+reveals an entity: with D distinct texts, IC(e) = log2(D / df(e)) and PMI(e; t) = log2(D df(e, t) / (df(e) df(t))).  All four
+count distinct texts, so that copies count once.  With a value a term may stand anywhere in its text; with a kind it is one
+of the NEAR terms before a value of that kind, as labels are.  A term that shares at least MIN_CONTEXTS texts with an
+entity and whose PMI reaches DISCLOSURE of the entity's IC discloses it: wherever it stands in a document that holds the
+entity it is a span of kind ``term``.
+
+In the sanitised text, values give way to their kind, and a term to the most special word of the hierarchy above its entity
+(kind, group of kinds, private data) whose own IC is below DISCLOSURE of the entity's; if there is none, it is removed.
 
 Defined cases: a null text counts as empty and has no spans; equal texts get equal values; rows repeat as given; an
-empty table gives an empty result; columns besides doc_id and text are ignored or passed through by ``sanitise``; spans
-that start together are ordered by kind as listed, then by end.
+empty table gives an empty result; other columns are ignored by the query, and passed through by ``with_spans`` and
+``sanitise``, whatever their names (new columns get underscores); spans that start together are ordered by kind as listed,
+then by end.
 """
 
 from __future__ import annotations
@@ -17,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import content_key, let, materialise, prefix_sums, table
+from .common import content_key, fresh, let, materialise, prefix_sums, table
 
-KINDS = ["email", "ip", "card", "phone", "term"]
+KINDS = ["email", "ip", "card", "phone", "secret", "term"]
+#: What stands above the kinds but terms; above all of these is private data.
+GROUPS = ["contact", "network", "payment", "contact", "credential"]
 #: The patterns.  Possessive where nothing that follows could use what was taken; the look-behinds only skip starts inside a
 #: run of the same class, from which a match would have begun earlier, so that long runs take linear time.
 PATTERNS = {
@@ -28,10 +36,12 @@ PATTERNS = {
     "card": "[0-9](?:[\\x20-]?[0-9])++",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
 }
+SECRET = "(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+"
+SECRET_CHARS, SECRET_BITS = 20, 3.0
+NEAR, NEAR_CHARS = 3, 80
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.75
-REPLACEMENT = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
-SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string,general:string>>"
 
 
 def digits(value: Column) -> Column:
@@ -69,7 +79,7 @@ def located(text: Column, pattern: str, kind: int) -> Column:
         return F.zip_with(
             m,
             prefix_sums(steps),
-            lambda x, end: F.struct((end - F.length(x)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("value")),
+            lambda x, end: F.struct((end - F.length(x)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x.alias("value"), F.lit(general(KINDS[kind])).alias("general")),
         )
 
     return let(
@@ -88,64 +98,122 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
+def general(name: str) -> str:
+    return f"[{name.upper()}]"
+
+
+def bits_a_character(value: Column) -> Column:
+    """The Shannon entropy of a value's characters."""
+    n = F.length(value)
+    share = lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n
+    return F.aggregate(F.array_distinct(F.split(value, "", -1)), F.lit(0.0), lambda acc, c: acc - F.when(c == "", 0.0).otherwise(let(share(c), lambda p: p * F.log2(p))))
+
+
+def secret_spans(text: Column) -> Column:
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (bits_a_character(v) >= SECRET_BITS)
+    found = F.filter(located(text, SECRET, KINDS.index("secret")), lambda s: mixed(s["value"]))
+    return F.when(text.rlike(f"[A-Za-z0-9_]{{{SECRET_CHARS}}}"), found).otherwise(F.array().cast(SPAN))
+
+
 def entity(span: Column) -> Column:
     """The protected value, apart from how it is written."""
-    return F.concat(
-        span["kind"].cast("string"), F.lit(":"), F.when(span["kind"] == 0, F.lower(span["value"])).otherwise(F.when(span["kind"] == 1, span["value"]).otherwise(digits(span["value"])))
-    )
+    written = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"].isin(1, 4), span["value"]).otherwise(digits(span["value"]))
+    return F.concat(span["kind"].cast("string"), F.lit(":"), written)
+
 
+def kind_of(span: Column) -> Column:
+    """The protected kind; no value is written so."""
+    return F.concat(F.lit("kind:"), span["kind"].cast("string"))
 
-def terms_of(text: Column) -> Column:
+
+def letters_of(text: Column) -> Column:
     """The distinct terms of a text, apart from words with digits or @."""
     words = F.array_distinct(F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+", -1), lambda w: ~w.rlike("[0-9@]")))
     runs = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit("\\p{L}+"), F.lit(0))))
     return F.array_distinct(F.filter(runs, lambda t: F.length(t) > 1))
 
 
+def labels_of(text: Column, spans: Column) -> Column:
+    """(entity, term) for the kinds of a text's spans and the last NEAR terms before each."""
+
+    def before(s: Column) -> Column:
+        low = F.greatest(F.lit(0).cast("bigint"), s["start"] - NEAR_CHARS)
+        runs = F.filter(F.split(F.lower(text.substr((low + 1).cast("int"), (s["start"] - low).cast("int"))), "\\P{L}+", -1), lambda t: F.length(t) > 1)
+        return F.transform(F.slice(F.reverse(runs), 1, NEAR), lambda t: F.struct(kind_of(s).alias("entity"), t.alias("term")))
+
+    return F.array_distinct(F.flatten(F.transform(spans, before)))
+
+
 def risky_terms(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """entity, term: what discloses which entity.  spans: h1, h2, text, spans of the distinct texts that have any."""
+    """entity, term, general: what discloses which entity, and what takes its place.  spans: h1, h2, text, spans of the distinct texts that have any."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    n_texts = F.lit(float(max(1, docs.select(*content_key(text)).distinct().count())))
+    n_texts = float(max(1, docs.select(*content_key(text)).distinct().count()))
     letters = F.array_distinct(F.split(F.lower(text), "\\P{L}+", -1))
     once = docs.select(*content_key(text), letters.alias("terms")).groupBy("h1", "h2").agg(F.first("terms").alias("terms"))
     df_term = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
+
     held = spans.select("h1", "h2", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
     # An entity of fewer texts can't share MIN_CONTEXTS with any term.
-    df_entity = materialise(held.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= MIN_CONTEXTS))
-    near = held.join(df_entity, "entity").groupBy("h1", "h2").agg(F.collect_list("entity").alias("entities"))
-    near = spans.join(near, ["h1", "h2"]).select("entities", F.explode(terms_of(F.col("text"))).alias("term"))
-    pairs = near.select("term", F.explode("entities").alias("entity")).groupBy("entity", "term").agg(F.count("*").alias("df_both"))
-    d = pairs.where(F.col("df_both") >= MIN_CONTEXTS).join(df_term, "term").join(df_entity, "entity")
-    ic = F.log2(n_texts / F.col("df_entity"))
-    pmi = F.log2(n_texts * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
-    return d.where((ic > 0) & (pmi >= DISCLOSURE * ic)).select("entity", "term")
+    df_value = materialise(held.groupBy("entity").agg(F.count("*").alias("df_entity")).where(F.col("df_entity") >= MIN_CONTEXTS))
+    near = held.join(df_value, "entity").groupBy("h1", "h2").agg(F.collect_list("entity").alias("entities"))
+    near = spans.join(near, ["h1", "h2"]).select("entities", F.explode(letters_of(F.col("text"))).alias("term"))
+    pairs = near.select(F.explode("entities").alias("entity"), "term")
+    pairs = pairs.unionByName(spans.select(F.explode(labels_of(F.col("text"), F.col("spans"))).alias("p")).select("p.entity", "p.term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_both")).where(F.col("df_both") >= MIN_CONTEXTS)
+
+    kinds = range(len(GROUPS))
+
+    def texts_with(some: list[int]) -> Column:
+        return F.count(F.when(F.exists("spans", lambda s: s["kind"].isin(some)), 1))
+
+    counts = spans.agg(
+        *[texts_with([k]).alias(f"k{k}") for k in kinds],
+        *[texts_with([k for k in kinds if GROUPS[k] == g]).alias(f"g_{g}") for g in dict.fromkeys(GROUPS)],
+        F.count("*").alias("any"),
+    ).first()
+    information = lambda n: F.log2(F.lit(n_texts / n)) if n else F.lit(float("inf"))
+    df_kind = docs.sparkSession.createDataFrame([(f"kind:{k}", counts[f"k{k}"]) for k in kinds if counts[f"k{k}"]], "entity string, df_entity long")
+    d = pairs.join(df_term, "term").join(df_value.unionByName(df_kind), "entity")
+    ic = F.log2(F.lit(n_texts) / F.col("df_entity"))
+    pmi = F.log2(F.lit(n_texts) * F.col("df_both") / (F.col("df_entity") * F.col("df_term")))
+    word: Column = F.lit("")
+    for k in kinds:
+        above = [(general(KINDS[k]), counts[f"k{k}"]), (general(GROUPS[k]), counts[f"g_{GROUPS[k]}"]), (general("private"), counts["any"])]
+        own: Column = F.lit("")
+        for name, n in reversed(above):
+            own = F.when(information(n) < DISCLOSURE * ic, F.lit(name)).otherwise(own)
+        word = F.when(F.col("entity").startswith(f"{k}:") | (F.col("entity") == f"kind:{k}"), own).otherwise(word)
+    return d.where((ic > 0) & (pmi >= DISCLOSURE * ic)).select("entity", "term", word.alias("general"))
 
 
 def term_spans(text: Column, terms: Column) -> Column:
+    """terms: term and general."""
     runs = located(text, "\\p{L}+", KINDS.index("term"))
-    return F.filter(runs, lambda s: F.array_contains(terms, F.lower(s["value"])))
+    known = F.map_from_entries(terms)
+    return let(
+        known,
+        lambda m: F.transform(
+            F.filter(runs, lambda s: F.map_contains_key(m, F.lower(s["value"]))),
+            lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"), F.element_at(m, F.lower(s["value"])).alias("general")),
+        ),
+    )
 
 
-def spans_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with h1, h2 and their base spans, and h1, h2, extra: the term spans of the texts that have any."""
+def with_spans(docs: DataFrame) -> DataFrame:
+    """The documents with spans (of the base kinds) and all_spans: see SPAN."""
+    spans, every, extra, h1, h2, x1, x2 = (fresh(docs, c) for c in ("spans", "all_spans", "extra", "h1", "h2", "x1", "x2"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("*", *content_key(text), base_spans(text).alias("spans"))
-    held = own.where(F.size("spans") > 0).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    a, b = content_key(text)
+    own = docs.select("*", a.alias(h1), b.alias(h2), base_spans(text).alias(spans), F.sort_array(F.concat(base_spans(text), secret_spans(text))).alias(every))
+    held = own.where(F.size(every) > 0).groupBy(F.col(h1).alias("h1"), F.col(h2).alias("h2")).agg(F.first("text").alias("text"), F.first(every).alias("spans"))
     held = materialise(held)
     risky = risky_terms(docs, held)
-    mine = held.select("h1", "h2", F.explode(F.array_distinct(F.transform("spans", entity))).alias("entity"))
-    lists = mine.join(risky, "entity").groupBy("h1", "h2").agg(F.collect_set("term").alias("terms"))
-    extra = held.join(lists, ["h1", "h2"]).select("h1", "h2", term_spans(F.col("text"), F.col("terms")).alias("extra"))
-    return own, extra
-
-
-def with_spans(docs: DataFrame) -> DataFrame:
-    """The documents with base (array), all_spans (array): see SPAN."""
-    own, extra = spans_of(docs)
-    extra = extra.select(F.col("h1").alias("x1"), F.col("h2").alias("x2"), "extra")
-    d = own.join(extra, (own["h1"] == extra["x1"]) & (own["h2"] == extra["x2"]), "left").drop("h1", "h2", "x1", "x2")
-    every = F.when(F.col("extra").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "extra")))
-    return d.withColumn("all_spans", every).drop("extra")
+    mine = held.select("h1", "h2", F.explode(F.array_distinct(F.concat(F.transform("spans", entity), F.transform("spans", kind_of)))).alias("entity"))
+    lists = mine.join(risky, "entity").groupBy("h1", "h2", "term").agg(F.min("general").alias("general"))
+    lists = lists.groupBy("h1", "h2").agg(F.collect_list(F.struct("term", "general")).alias("terms"))
+    more = held.join(lists, ["h1", "h2"]).select(F.col("h1").alias(x1), F.col("h2").alias(x2), term_spans(F.col("text"), F.col("terms")).alias(extra))
+    d = own.join(more, (F.col(h1) == F.col(x1)) & (F.col(h2) == F.col(x2)), "left")
+    return d.withColumn(every, F.when(F.col(extra).isNull(), F.col(every)).otherwise(F.sort_array(F.concat(every, extra)))).select(*docs.columns, spans, every)
 
 
 def joined(spans: Column) -> Column:
@@ -155,12 +223,11 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each run of overlapping spans replaced by the general word of its first."""
-    names = F.array(*[F.lit(REPLACEMENT[k]) for k in KINDS])
     zero = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["parts"], F.array(gap, F.get(names, s["kind"]))).alias("parts"), s["end"].alias("at"))).otherwise(
+        return F.when(s["start"] >= acc["at"], F.struct(F.concat(acc["parts"], F.array(gap, s["general"])).alias("parts"), s["end"].alias("at"))).otherwise(
             F.struct(acc["parts"].alias("parts"), F.greatest(acc["at"], s["end"]).alias("at"))
         )
 
@@ -170,15 +237,14 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with personal data in text replaced; a null text stays null."""
-    d = with_spans(docs)
-    return d.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("all_spans")))).select(*docs.columns)
+    text = F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col(fresh(docs, "all_spans"))))
+    return with_spans(docs).withColumn("text", text).select(*docs.columns)
 
 
 def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = with_spans(docs)
-    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
+    d = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    number = lambda k: F.size(F.filter("all_spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return d.select(
         "doc_id", *[number(k) for k in PATTERNS], F.sha2(joined(F.col("spans")), 256).alias("base_sha256"), joined(F.col("all_spans")).alias("spans"),
-        F.size(F.filter("all_spans", lambda s: s["kind"] == KINDS.index("term"))).cast("long").alias("n_term"),
+        number("secret"), number("term"), F.size("all_spans").cast("long").alias("n_private"),
     )
