@@ -6,7 +6,8 @@ square root, 0 to 1.  Both have a minimum length, below which they do not vote.
 
 Defined cases: a null text counts as empty; an empty text has no words and fails the base rule; repeated rows and
 equal texts get equal values; an empty table gives an empty result; columns besides doc_id, text and lang are ignored;
-equally frequent common words are taken in code-point order.
+equally frequent common words are taken in code-point order.  The common words of all languages are broadcast while they
+are at most MAX_BROADCAST rows, else joined by word.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import content_key, let, materialise, table, words
+from .common import let, materialise, table, words
 
 SYMBOLS = "[#*$%&|<>]"
 #: What is deleted to leave each class of characters; symbols and white space are counted anyway, the rest are other letters.
 CLASSES = {"upper": "[^\\p{Lu}]+", "digit": "[^0-9]+", "point": "[^.,;:!?'\"()-]+"}
 N_COMMON = 32
-COMMON_CHARS = 4
+MAX_BROADCAST = 200_000
 MIN_WORDS = 50
 MIN_CHARS = 200
 MAX_CHAR_DISTANCE = 0.30
@@ -71,15 +72,14 @@ def distance(doubled: Column) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, lang, text and common, the common words of the language; p: how often each stands in the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", "lang", *content_key(text), text.alias("text"))
+    d = docs.select("doc_id", "lang", "common", text.alias("text"))
     d = d.select("*", words(F.col("text")).alias("w"))
     count = lambda drop: F.length(F.regexp_replace("text", drop, "")).cast("long")
     d = d.select(
         "doc_id",
         "lang",
-        "h1",
-        "h2",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "w")).cast("long").alias("word_chars"),
         F.length("text").cast("long").alias("n_chars"),
@@ -87,7 +87,7 @@ def features(docs: DataFrame) -> DataFrame:
         duplicate_lines(F.col("text")).cast("long").alias("n_dup_lines"),
         let(F.col("w"), repeated_words).cast("long").alias("n_repeat_words"),
         *[count(drop).alias(f"c_{k}") for k, drop in CLASSES.items()],
-        F.filter("w", lambda x: F.length(x) <= COMMON_CHARS).alias("short"),
+        let(F.transform(F.filter(F.transform("w", F.lower), lambda x: F.array_contains("common", x)), lambda x: F.array_position("common", x)), occurrences_of).alias("p"),
     )
     return d.withColumn("c_space", F.col("n_chars") - F.col("word_chars")).withColumn(
         "c_lower", F.col("word_chars") - F.col("n_symbols") - sum((F.col(f"c_{k}") for k in CLASSES), F.lit(0))
@@ -97,15 +97,16 @@ def features(docs: DataFrame) -> DataFrame:
 BINS = ["c_lower", "c_space", "n_symbols", *[f"c_{k}" for k in CLASSES]]
 
 
-def short_words(f: DataFrame) -> DataFrame:
-    """A row for each occurrence of a word that may be a common one."""
-    return f.select("lang", "h1", "h2", F.explode("short").alias("word")).withColumn("word", F.lower("word"))
+def occurrences_of(ranks: Column) -> Column:
+    """How often each of 1 to N_COMMON stands in an array."""
+    return F.transform(F.sequence(F.lit(1), F.lit(N_COMMON)), lambda k: F.size(F.filter(ranks, lambda r: r == k)))
 
 
-def common_words(f: DataFrame, n: int = N_COMMON) -> DataFrame:
-    """lang, word, k, n: the n most frequent words of each language of up to COMMON_CHARS characters."""
+def common_words(docs: DataFrame, n: int = N_COMMON) -> DataFrame:
+    """lang, word, k, n: the n most frequent words of each language, lower-cased."""
     by = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    counts = short_words(f).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    each = docs.select("lang", F.explode(words(F.lower(F.coalesce(F.col("text"), F.lit(""))))).alias("word"))
+    counts = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
     return counts.withColumn("k", F.row_number().over(by)).where(F.col("k") <= n)
 
 
@@ -116,25 +117,24 @@ def histogram_distance(p: Column, q: Column) -> Column:
 
 def assess(docs: DataFrame) -> DataFrame:
     """The documents' counts, distances and verdict; see the module's text."""
-    f = materialise(features(docs))
     same_lang = lambda a, b: a["lang"].eqNullSafe(b["lang"])
     ranks = range(1, N_COMMON + 1)
-
+    common = materialise(common_words(docs))
+    by_lang = common.groupBy("lang").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("common"),
+        F.array(*[F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)) for i in ranks]).alias("q"),
+    )
+    hint = F.broadcast if by_lang.count() <= MAX_BROADCAST // N_COMMON else lambda d: d
+    spread = hint(by_lang)
+    d = docs.select("doc_id", "lang", "text")
+    d = d.join(spread.select("lang", "common"), same_lang(d, spread), "left").drop(spread["lang"])
+    f = materialise(features(d.withColumn("common", F.coalesce("common", F.array().cast("array<string>")))))
     sums = f.groupBy("lang").agg(
         F.sum("n_words").alias("lang_words"), F.sum("n_chars").alias("lang_chars"), F.array(*[F.sum(c) for c in BINS]).alias("r")
     )
-    common = common_words(f)
-    spread = common.groupBy("lang").agg(F.array(*[F.sum(F.when(F.col("k") == i, F.col("n")).otherwise(0)) for i in ranks]).alias("q"))
-    reference = sums.join(spread, same_lang(sums, spread), "left").drop(spread["lang"])
-
-    found = short_words(f)
-    found = found.join(common, same_lang(found, common) & (found["word"] == common["word"])).drop(common["lang"])
-    hist = found.groupBy("h1", "h2", "lang").agg(F.array(*[F.count(F.when(F.col("k") == i, 1)) for i in ranks]).alias("p"))
-    copies = f.groupBy("h1", "h2", "lang").agg(F.count("*").alias("copies")).toDF("c1", "c2", "c_lang", "copies")
-    hist = hist.join(copies, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("lang").eqNullSafe(F.col("c_lang")))
-    hist = hist.select("c1", "c2", "c_lang", F.transform("p", lambda x: x / F.col("copies")).alias("p"))
-    d = f.join(hist, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & F.col("lang").eqNullSafe(F.col("c_lang")), "left")
-    d = d.join(reference, same_lang(d, reference), "left").drop(reference["lang"])
+    spread = by_lang.select("lang", "q")
+    reference = hint(sums.join(spread, same_lang(sums, spread), "left").drop(spread["lang"]))
+    d = f.join(reference, same_lang(f, reference), "left").drop(reference["lang"])
 
     zeros = F.array(*[F.lit(0.0) for _ in ranks])
     with_rest = lambda a: let(
