@@ -45,8 +45,8 @@ BITS = 48
 FEW = 4
 #: Shingles whose keys are made at once, and keys that a bucket holds.
 SLICE, BUCKET_KEYS = 400_000, 4_000_000
-#: Members of a group that are compared with each other at once.
-BLOCK = 4096
+#: Members of a group that are compared with each other at once, and of groups that a task takes together.
+BLOCK, TOGETHER = 4096, 100_000
 #: Segments are tried at mean sizes from the first of these to the second.
 SEGMENT = (7, 2)
 
@@ -455,55 +455,72 @@ def linked(sets: DataFrame, largest: int, shingles: int) -> DataFrame:
 def apart(groups: DataFrame, roots: DataFrame, sets: DataFrame, few: int | None = None) -> DataFrame:
     """The distinct pairs (a, b) of a group's members in different components that sizes and sketches don't rule out; with few, only the nearest of a member.
 
-    Sketches go to the groups, a row for each pair of blocks of BLOCK members, and pairs are made there; only those left leave.
+    Sketches go to the groups, a pair of blocks of BLOCK members at a time, and pairs are made there; only those left leave.
+    Groups with the same least component, which have pairs in common, meet in tasks of about TOGETHER members.
     """
     d = groups.select("name", F.ceil(F.size("members") / BLOCK).cast("int").alias("blocks"), F.explode("members").alias("node"))
     d = d.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = d.groupBy("name").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("name")
+    several = d.groupBy("name").agg(F.min("root").alias("least"), F.max("root").alias("y"), F.count("*").alias("n")).where("least <> y").drop("y")
+    tasks = several.groupBy("least").agg(F.ceil(F.sum("n") / TOGETHER).alias("tasks"))
+    several = several.join(tasks, "least").select("name", "least", F.pmod(F.xxhash64("name"), F.col("tasks")).alias("task"))
     d = d.join(several, "name").join(sets.select("node", "size", "sketch"), "node")
     d = d.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    d = d.select("name", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "size", "sketch")
-    d = d.groupBy("name", "low", "high").agg(F.collect_list(F.struct("node", "root", "size", "sketch")).alias("m")).select("m")
-    return d.mapInArrow(lambda batches: members_apart(batches, few), "a long, b long").distinct()
-
-
-def members_apart(batches: Iterator[pa.RecordBatch], few: int | None) -> Iterator[pa.RecordBatch]:
-    """m: members.  Pairs within a block come up in each of its rows, which costs little beside those between blocks."""
-    for batch in batches:
-        m = batch.column(0)
-        for k in range(len(m)):
-            rows = m[k].values
-            node, root, size = (rows.field(c).to_numpy() for c in ("node", "root", "size"))
-            order = np.argsort(node)
-            node, root, size = node[order], root[order], size[order]
-            sketches = rows.field("sketch").take(pa.array(order)).to_pylist()
-            # All at the length of the shortest, which is at most a few times shorter where sizes fit.
-            for low in sorted({len(x) for x in sketches}):
-                at = np.array([i for i, x in enumerate(sketches) if low <= len(x) <= 4 * low])
-                first = np.array([len(sketches[i]) == low for i in at])
-                bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, low // 8), axis=0) for i in at])
-                # Pairs of the shortest length once, and all with longer ones; some rows of the matrix of pairs at a time.
-                mine = np.flatnonzero(first)
-                step = max(1, (1 << 19) // max(1, bits.size))
-                for start in range(0, len(mine), step):
-                    i = mine[start : start + step, None]
-                    x = at[i]
-                    near = (~first | (np.arange(len(at)) > i)) & (root[at] != root[x])
-                    near &= 100 * np.minimum(size[at], size[x]) >= THRESHOLD * np.maximum(size[at], size[x])
-                    if not near.any():
-                        continue
-                    differ = np.bitwise_count(bits ^ bits[i]).sum(axis=2, dtype=np.int64)
-                    near &= (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (size[at] + size[x])
-                    if few and near.shape[1] > few:
-                        ranked = np.argpartition(np.where(near, differ, 1 << 40), few, axis=1)[:, :few]
-                        rows_, cols = np.repeat(np.arange(len(near)), few), ranked.ravel()
-                        some = near[rows_, cols]
-                        rows_, cols = rows_[some], cols[some]
-                    else:
-                        rows_, cols = np.nonzero(near)
-                    if len(rows_):
-                        p, q = node[x[rows_, 0]], node[at[cols]]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
+    d = d.select("least", "task", "name", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "root", "size", "sketch")
+    return d.groupBy("least", "task").applyInArrow(members_apart(few), "a long, b long").distinct()
+
+
+def members_apart(few: int | None):
+    """The distinct pairs of some groups' members.  Pairs within a block come up in each of its rows, which costs little beside those between blocks."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("name", "ascending"), ("low", "ascending"), ("high", "ascending"), ("node", "ascending")])
+        name, low, high = (group.column(c).to_numpy() for c in ("name", "low", "high"))
+        starts = np.flatnonzero(np.concatenate([[True], (name[1:] != name[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        found = np.zeros((0, 2), np.int64)
+        held: list[np.ndarray] = []
+        for s, e in zip(starts, np.append(starts[1:], len(name)), strict=True):
+            held += pairs_apart(group.slice(s, e - s), few)
+            if sum(map(len, held)) > 1 << 20:
+                found, held = np.unique(np.concatenate([found, *held]), axis=0), []
+        found = np.unique(np.concatenate([found, *held]), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return run
+
+
+def pairs_apart(rows: pa.Table, few: int | None) -> list[np.ndarray]:
+    """The pairs of one group's members, a row each."""
+    node, root, size = (rows.column(c).to_numpy() for c in ("node", "root", "size"))
+    sketches = rows.column("sketch").to_pylist()
+    out = []
+    # All at the length of the shortest, which is at most a few times shorter where sizes fit.
+    for low in sorted({len(x) for x in sketches}):
+        at = np.array([i for i, x in enumerate(sketches) if low <= len(x) <= 4 * low])
+        first = np.array([len(sketches[i]) == low for i in at])
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, low // 8), axis=0) for i in at])
+        # Pairs of the shortest length once, and all with longer ones; some rows of the matrix of pairs at a time.
+        mine = np.flatnonzero(first)
+        step = max(1, (1 << 19) // max(1, bits.size))
+        for start in range(0, len(mine), step):
+            i = mine[start : start + step, None]
+            x = at[i]
+            near = (~first | (np.arange(len(at)) > i)) & (root[at] != root[x])
+            near &= 100 * np.minimum(size[at], size[x]) >= THRESHOLD * np.maximum(size[at], size[x])
+            if not near.any():
+                continue
+            differ = np.bitwise_count(bits ^ bits[i]).sum(axis=2, dtype=np.int64)
+            near &= (100 + THRESHOLD) * differ <= (100 - THRESHOLD) * (size[at] + size[x])
+            if few and near.shape[1] > few:
+                ranked = np.argpartition(np.where(near, differ, 1 << 40), few, axis=1)[:, :few]
+                which, cols = np.repeat(np.arange(len(near)), few), ranked.ravel()
+                some = near[which, cols]
+                which, cols = which[some], cols[some]
+            else:
+                which, cols = np.nonzero(near)
+            if len(which):
+                p, q = node[x[which, 0]], node[at[cols]]
+                out.append(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1))
+    return out
 
 
 def representatives(docs: DataFrame) -> DataFrame:
