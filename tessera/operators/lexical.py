@@ -68,29 +68,40 @@ def plainly(doc: Column, compact: Column, w: str) -> Column:
     return found | has(doc, w[:4]) if len(w) > 3 else found
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def alike(docs: pd.Series, wanted: pd.Series) -> pd.Series:
-    """Which of the words some word of the document is like."""
-    out = []
-    for doc, ws in zip(docs, wanted, strict=True):
-        have = {x for x in lx.words(doc or "") if len(x) > 2} if ws is not None and len(ws) else set()
-        out.append([w for w in (ws if ws is not None else []) if len(w) > 2 and any(SequenceMatcher(None, w, x).ratio() >= lx.FUZZY for x in have)])
-    return pd.Series(out)
-
-
-def keyword_scored(docs: DataFrame, q: Question, terms: list[str], fuzzy: bool = True) -> DataFrame:
-    """docs (text) with keyword and core_matches for one question."""
-    doc = t.matchable(t.text("text"))
-    d = docs.withColumn("_doc", doc).withColumn("_compact", F.replace(F.col("_doc"), F.lit(" "), F.lit("")))
-    used = list(dict.fromkeys(w for w in [*terms, *q.core] if len(w) > 1))
-    d = d.withColumn("_found", F.array_compact(F.array(*[F.when(plainly(F.col("_doc"), F.col("_compact"), w), F.lit(w)) for w in used])) if used else F.array().cast("array<string>"))
-    if fuzzy and used:
-        d = d.withColumn("_found", F.concat("_found", alike("text", F.array_except(F.array(*map(F.lit, used)), "_found"))))
-    core = {w for w in terms if len(w) > 2 and w not in lx.STOP}
-    score = sum((F.array_contains("_found", w).cast("double") * (5.0 if w in core else 3.0) for w in terms if len(w) > 1), F.lit(0.0))
-    ordered = [w for w in terms if w in core]
-    if len(ordered) > 1:
-        phrase = " ".join(ordered[:5])
-        score = score + F.when(has(F.col("_doc"), phrase), 8.0).otherwise(0.0) + F.when(has(F.col("_compact"), phrase.replace(" ", "")), 6.0).otherwise(0.0)
-    matched = sum((F.array_contains("_found", w).cast("int") for w in q.core), F.lit(0))
-    return d.withColumn("keyword", score).withColumn("core_matches", matched).drop("_doc", "_compact", "_found")
+@F.pandas_udf(T.BooleanType())
+def alike(token: pd.Series, wanted: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, w, x).ratio() >= lx.FUZZY for x, w in zip(token, wanted, strict=True)], dtype=bool)
+
+
+def likenesses(docs: DataFrame, wanted: list[str]) -> DataFrame:
+    """l_id, alike: for each document (doc_id, text) the wanted words that some word of it is like.
+
+    Likeness is measured once for each distinct word, and only where the lengths allow it: it is at most twice the
+    shorter length over the sum of both.
+    """
+    tokens = docs.select(F.col("doc_id").alias("l_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(t.text("text")), F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)))).alias("token")).where(F.length("token") > 2)
+    asked = sorted({w for w in wanted if len(w) > 2})
+    pairs = tokens.select("token").distinct().select("token", F.explode(F.array(*map(F.lit, asked)) if asked else F.array().cast("array<string>")).alias("w"))
+    pairs = pairs.where(2 * F.least(F.length("token"), F.length("w")) >= lx.FUZZY * (F.length("token") + F.length("w")))
+    return tokens.join(pairs.where(alike("token", "w")), "token").groupBy("l_id").agg(F.collect_set("w").alias("alike"))
+
+
+def keyword_scored(docs: DataFrame, questions: list[tuple[int, Question, list[str]]], fuzzy: bool = True) -> DataFrame:
+    """doc_id, question, score, core_matches of every document (doc_id, text) for each (number, question, terms); texts are read once."""
+    d = docs.select("doc_id", "text", t.matchable(t.text("text")).alias("_doc")).withColumn("_compact", F.replace(F.col("_doc"), F.lit(" "), F.lit("")))
+    used = {k: list(dict.fromkeys(w for w in [*terms, *q.core] if len(w) > 1)) for k, q, terms in questions}
+    if fuzzy:
+        near = likenesses(docs, [w for ws in used.values() for w in ws])
+        d = d.join(near, F.col("doc_id") == F.col("l_id"), "left").withColumn("alike", F.coalesce("alike", F.array().cast("array<string>")))
+    rows = []
+    for k, q, terms in questions:
+        found = {w: plainly(F.col("_doc"), F.col("_compact"), w) | (F.array_contains("alike", w) if fuzzy else F.lit(False)) for w in used[k]}
+        core = {w for w in terms if len(w) > 2 and w not in lx.STOP}
+        score = sum((F.when(found[w], 5.0 if w in core else 3.0).otherwise(0.0) for w in terms if len(w) > 1), F.lit(0.0))
+        ordered = [w for w in terms if w in core]
+        if len(ordered) > 1:
+            phrase = " ".join(ordered[:5])
+            score = score + F.when(has(F.col("_doc"), phrase), 8.0).otherwise(0.0) + F.when(has(F.col("_compact"), phrase.replace(" ", "")), 6.0).otherwise(0.0)
+        matched = sum((F.when(found[w], 1).otherwise(0) for w in q.core), F.lit(0))
+        rows.append(F.struct(F.lit(k).alias("question"), score.alias("score"), matched.alias("core_matches")))
+    return d.select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*")

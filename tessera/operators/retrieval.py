@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,48 +14,120 @@ from tessera.functions import scoring
 
 #: Queries scored in one block; more are taken block by block, each with its own scan.
 QUERY_BLOCK = 4096
+#: Characters of the phrases that one scan looks for.
+PHRASE_CHARS = 16_000_000
 
 
-def nearest(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int, per_file: bool = False) -> DataFrame:
+def stated_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a stated query set (query_id, embedding), by id; it goes to the driver as Arrow, so it is to be a bounded one."""
+    t = queries.select("query_id", "embedding").orderBy("query_id").toArrow()
+    return t.column(0).to_numpy(), matrix(t.column(1), len(t))
+
+
+def matrix(column: pa.ChunkedArray | pa.ListArray, rows: int) -> np.ndarray:
+    """A list column as rows of length 1, from the values' buffer."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    v = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+
+def similarities(q: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    return np.round(np.maximum(0.0, q @ matrix(batch.column("embedding"), len(batch)).T), 9)
+
+
+def blocks(queries: DataFrame, one) -> DataFrame:
+    """What ``one`` makes of (ids, vectors) of each block of the stated queries, together."""
+    ids, q = stated_queries(queries)
+    parts = [one(ids[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK]) for i in range(0, max(1, len(ids)), QUERY_BLOCK)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, per_file: bool = False) -> DataFrame:
     """query_id, id, file_id, semantic: the k chunks (id, file_id, embedding) most similar to each stated query, by cosine.
 
     Every task keeps its own k best per query (and file), so that only those are shuffled; ties go to the least id.
     """
-    parts = [_block(chunks, queries[i : i + QUERY_BLOCK], k, per_file) for i in range(0, len(queries), QUERY_BLOCK)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
     keys = ["query_id", "file_id"] if per_file else ["query_id"]
     best = Window.partitionBy(*keys).orderBy(F.desc("semantic"), "id")
+    out = blocks(queries, lambda ids, q: _block(chunks, ids, q, k, per_file))
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _block(chunks: DataFrame, queries: list[tuple[int, list[float]]], k: int, per_file: bool) -> DataFrame:
-    ids = np.array([i for i, _ in queries], np.int64)
-    q = np.array([v for _, v in queries], np.float64)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+def _block(chunks: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, per_file: bool) -> DataFrame:
+    def best(s: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The k best columns of one row of similarities; ties at the edge by id."""
+        if len(s) > k:
+            some = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+        else:
+            some = np.arange(len(s))
+        return some[np.lexsort((key[some], -s[some]))[:k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = np.array(batch.column(2).to_pylist(), np.float64).reshape(len(batch), -1)
-            if not len(v):
+            if not len(batch) or not len(ids):
                 continue
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            s = np.round(np.maximum(0.0, q @ v.T), 9)
+            s = similarities(q, batch)
             key, file = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            groups = [np.flatnonzero(file == f) for f in np.unique(file)] if per_file else [np.arange(len(v))]
-            rows, cols = [], []
-            for g in groups:
-                for i in range(len(q)):
-                    top = g[np.lexsort((key[g], -s[i, g]))[:k]]
-                    rows.append(np.full(len(top), i))
-                    cols.append(top)
-            r, c = np.concatenate(rows), np.concatenate(cols)
+            groups = [np.flatnonzero(file == f) for f in np.unique(file)] if per_file else [np.arange(len(batch))]
+            found = [(i, g[best(s[i, g], key[g])]) for g in groups for i in range(len(q))]
+            r, c = np.concatenate([np.full(len(top), i) for i, top in found]), np.concatenate([top for _, top in found])
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(key[c]), pa.array(file[c].astype(np.int32)), pa.array(s[r, c])], names=["query_id", "id", "file_id", "semantic"])
 
     return chunks.select("id", "file_id", "embedding").mapInArrow(run, "query_id long, id long, file_id int, semantic double")
 
 
+def best_of_queries(chunks: DataFrame, queries: DataFrame, floor: float) -> DataFrame:
+    """id, best, first_query: of each chunk the greatest similarity to a stated query, and the least query that reaches the floor; made where the chunk is."""
+
+    def one(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch) and len(ids):
+                    s = similarities(q, batch)
+                    first = np.where(s >= floor, ids[:, None], np.iinfo(np.int64).max).min(axis=0)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s.max(axis=0)), pa.array(first, mask=first == np.iinfo(np.int64).max)], names=["id", "best", "first_query"])
+
+        return chunks.select("id", "embedding").mapInArrow(run, "id long, best double, first_query long")
+
+    return blocks(queries, one).groupBy("id").agg(F.max("best").alias("best"), F.min("first_query").alias("first_query"))
+
+
+def containing(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """item_id, doc_id: which documents (doc_id, text) hold which stated phrases (item_id, phrase) as they are.
+
+    An automaton of at most PHRASE_CHARS characters of phrases goes to the tasks; more phrases take more scans.
+    """
+    import ahocorasick
+
+    stated = [(r["item_id"], r["phrase"]) for r in phrases.where(F.length("phrase") > 0).orderBy("item_id").toLocalIterator()]
+    parts, held = [[]], 0
+    for i, p in stated:
+        if held + len(p) > PHRASE_CHARS and parts[-1]:
+            parts.append([])
+            held = 0
+        parts[-1].append((i, p))
+        held += len(p)
+
+    def one(some: list[tuple[int, str]]) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(some)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[str, list[int]] = {}
+            for i, p in shared.value:
+                found.setdefault(p, []).append(i)
+            machine = ahocorasick.Automaton()
+            for p, items in found.items():
+                machine.add_word(p, items)
+            machine.make_automaton()
+            for batch in batches:
+                rows = [(i, d) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text and found for i in {i for _, items in machine.iter(text) for i in items}]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["item_id", "doc_id"])
+
+        return docs.select("doc_id", "text").mapInArrow(run, "item_id long, doc_id long")
+
+    return reduce(DataFrame.unionByName, map(one, parts))
+
+
 def fused(hits: DataFrame) -> DataFrame:
     """rrf: the sum over the semantic and the keyword ranking of 1 / (60 + rank)."""
     by = Window.partitionBy("query_id")

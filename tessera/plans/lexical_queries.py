@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
@@ -36,9 +34,10 @@ compiled("enrich_query", lambda q: [q.enriched])
 
 
 def per_question(spark, sf_dir, column):
+    """Every document's text is made matchable once, for all questions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", t.matchable(t.text("text")).alias("doc"))
-    parts = [docs.select("doc_id", F.lit(i).alias("question"), column(F.col("doc"), Question.of(q)).alias("score")) for i, q in enumerate(WORDED)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    rows = [F.struct(F.lit(i).alias("question"), column(F.col("doc"), Question.of(q)).alias("score")) for i, q in enumerate(WORDED)]
+    return docs.select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*")
 
 
 def worded_sql(expression) -> str:
@@ -78,8 +77,8 @@ def phrase_score(spark, sf_dir):
 
 def keyword(spark, sf_dir, fuzzy):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = [lexical.keyword_scored(docs, q := Question.of(w), list(q.words), fuzzy).select("doc_id", F.lit(i).alias("question"), F.col("keyword").alias("score"), "core_matches") for i, w in enumerate(WORDED)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    asked = [(i, q, list(q.words)) for i, q in enumerate(map(Question.of, WORDED))]
+    return lexical.keyword_scored(docs, asked, fuzzy)
 
 
 def keyword_sql() -> str:

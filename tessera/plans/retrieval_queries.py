@@ -10,7 +10,7 @@ from tessera.functions import scoring
 from tessera.operators import retrieval as r
 from tessera.plans.common import table
 
-EVERY = 50
+EVERY = 20
 SIM_SQL = f"""q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % {EVERY} = 0),
 sim AS (SELECT query_id, v.vec_id AS id, label AS file_id, round(greatest(0.0, list_cosine_similarity(q.e, CAST(v.embedding AS DOUBLE[]))), 9) AS semantic FROM q, embeddings v)"""
 #: Stand-ins for word evidence, from the ids.
@@ -29,8 +29,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, CAS
 
 
 def stated(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where(f"vec_id % {EVERY} = 0").select("vec_id", "embedding").orderBy("vec_id").collect()
-    return [(x["vec_id"], x["embedding"]) for x in rows]
+    """The rows whose number is divisible by EVERY, against all rows."""
+    return table(spark, sf_dir, "embeddings").where(f"vec_id % {EVERY} = 0").selectExpr("vec_id AS query_id", "embedding")
 
 
 def vectors(spark, sf_dir):
@@ -54,9 +54,7 @@ def knn_per_group(spark, sf_dir):
 
 @query("semantic_max_merge", "WITH " + SIM_SQL + " SELECT id, max(semantic) AS best, min(query_id) FILTER (WHERE semantic >= 0.42) AS first_query FROM sim GROUP BY id")
 def semantic_max_merge(spark, sf_dir):
-    n = table(spark, sf_dir, "embeddings").count()
-    d = r.nearest(vectors(spark, sf_dir), stated(spark, sf_dir), n)
-    return d.groupBy("id").agg(F.max("semantic").alias("best"), F.min(F.when(F.col("semantic") >= 0.42, F.col("query_id"))).alias("first_query"))
+    return r.best_of_queries(vectors(spark, sf_dir), stated(spark, sf_dir), 0.42)
 
 
 @query("combined_score_grid", "SELECT l_orderkey, l_linenumber, round(" + scoring.combined() + ", 6) AS score FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS semantic, l_quantity / 2.5 AS keyword, CAST(l_linenumber AS INT) AS core_matches, CAST(5 AS INT) AS n_core, l_tax * 1000 AS phrase FROM lineitem)")
@@ -115,13 +113,12 @@ def adaptive_k(spark, sf_dir):
 
 @query(
     "substring_candidates",
-    "SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n FROM (SELECT item_id, substr(text, 1, 40) AS p FROM benchmark WHERE length(text) >= 40) b, documents d WHERE contains(d.text, p)) WHERE n <= 15",
+    "SELECT item_id, doc_id FROM (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS n FROM benchmark b, documents d WHERE length(b.text) > 0 AND contains(d.text, b.text)) WHERE n <= 15",
 )
 def substring_candidates(spark, sf_dir):
-    """Stated phrases (one row each) against all documents, 15 hits per phrase."""
-    phrases = table(spark, sf_dir, "benchmark").where(F.length("text") >= 40).select("item_id", F.substring("text", 1, 40).alias("p")).collect()
-    test = F.array(*[F.when(F.contains("text", F.lit(x["p"])), F.lit(x["item_id"])) for x in phrases]) if phrases else F.array().cast("array<bigint>")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(test)).alias("item_id"))
+    """Whole benchmark texts against all documents, 15 hits for each."""
+    phrases = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    d = r.containing(table(spark, sf_dir, "documents"), phrases)
     return d.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).where("n <= 15").select("item_id", "doc_id")
 
 
@@ -134,7 +131,7 @@ def candidate_merge(spark, sf_dir):
     """Two candidate lists in one grouping in place of a full outer join."""
     queries = stated(spark, sf_dir)
     near = r.nearest(vectors(spark, sf_dir), queries, 20).select("query_id", "id", "semantic", F.lit(0.0).alias("keyword"))
-    ids = F.array(*[F.lit(i) for i, _ in queries])
+    ids = F.array(*[F.lit(x["query_id"]) for x in queries.select("query_id").orderBy("query_id").collect()])
     words = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.explode(ids).alias("query_id")).where("(id * 31 + query_id) % 17 = 0")
     words = words.select("query_id", "id", F.lit(0.0).alias("semantic"), F.expr("CAST(id % 9 AS DOUBLE)").alias("keyword"))
     return near.unionByName(words).groupBy("query_id", "id").agg(F.max("semantic").alias("semantic"), F.max("keyword").alias("keyword"))

@@ -69,10 +69,10 @@ def test_scores(spark):
             assert r.doc == lx.matchable(DOCS[r.doc_id] if r.doc_id < len(DOCS) else "")
             assert r.p == phrase(q, r.doc), (text, r.doc)
             assert r.s == sum(lx.stem(w) in r.doc for w in q.core if len(w) > 2)
-        for r in lexical.keyword_scored(d, q, list(q.words)).collect():
-            doc = lx.matchable(r.text or "")
+        for r in lexical.keyword_scored(d, [(0, q, list(q.words))]).collect():
+            doc = lx.matchable(DOCS[r.doc_id] if r.doc_id < len(DOCS) else "")
             want = sum(5.0 if len(w) > 2 and w not in lx.STOP else 3.0 for w in dict.fromkeys(q.words) if len(w) > 1 and word_found(w, doc))
             ordered = [w for w in q.words if len(w) > 2 and w not in lx.STOP][:5]
             want += 8.0 * (" ".join(ordered) in doc) + 6.0 * ("".join(ordered) in doc.replace(" ", ""))
-            assert r.keyword == want, (text, doc)
+            assert r.score == want, (text, doc)
             assert r.core_matches == sum(word_found(w, doc) for w in q.core)
