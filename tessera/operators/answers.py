@@ -1,0 +1,43 @@
+"""Answers of a service to text: the first of the known fields that has some, however it is wrapped."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions import text as t
+
+#: Fields in the order in which they are tried, fixed values.
+FIELDS = ["answer", "response", "output", "text", "message", "result", "reply", "content", "body"]
+LISTS = ["choices", "candidates"]
+WRAPPERS = ["json", "data"]
+BLANK = ["", "[]", "{}", "null", '""']
+OBJECT = "[object Object]"
+#: How deep answers may be wrapped.
+DEPTH = 4
+
+
+def first_child(node: Column) -> Column:
+    """Of a list its first element, of an object the first of its fields that holds something; null if there is none."""
+    inner = [F.try_variant_get(node, f"$.{k}", "variant") for k in FIELDS]
+    inner += [F.try_variant_get(node, f"$.{k}[0]", "variant") for k in LISTS] + [F.try_variant_get(node, f"$.{k}", "variant") for k in WRAPPERS]
+    full = lambda x: F.when(~t.strip(F.try_variant_get(x, "$", "string")).isin(BLANK), x)
+    return F.coalesce(F.try_variant_get(node, "$[0]", "variant"), *map(full, inner))
+
+
+def text_of(payload: Column) -> Column:
+    """The text that a JSON payload wraps; null if it isn't JSON or has none."""
+    node = F.try_parse_json(payload)
+    for _ in range(DEPTH):
+        # Each level is evaluated once.
+        node = F.transform(F.array(node), lambda x: F.when(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), first_child(x)).otherwise(x))[0]
+    text = t.strip(F.try_variant_get(node, "$", "string"))
+    return F.when(~F.schema_of_variant(node).rlike("^(OBJECT|ARRAY)") & ~text.isin(BLANK), text)
+
+
+def extracted(payloads: DataFrame) -> DataFrame:
+    """id, kind (empty, object, answer, plain or unknown), answer of every payload."""
+    raw = t.strip(t.text("payload"))
+    d = payloads.select("id", raw.alias("raw"), text_of(raw).alias("found"), F.try_parse_json(raw).isNull().alias("plain"))
+    kind = F.when(F.col("raw").isin(BLANK), "empty").when((F.col("raw") == OBJECT) | (F.col("found") == OBJECT), "object").when(F.col("found").isNotNull(), "answer").when(F.col("plain"), "plain").otherwise("unknown")
+    return d.select("id", kind.alias("kind"), F.when(kind == "answer", F.col("found")).when(kind == "plain", F.col("raw")).alias("answer"))

@@ -30,6 +30,10 @@ CLAUSES = {
     "изменение и расторжение": ["изменение договора", "расторжен", "прекращен"],
     "заключительные положения": ["заключительные положения", "заключительн"],
 }
+#: What shows a public owner, burdens on the right, and a signature; fixed values.
+PUBLIC = ["россий", "фгуп", "муницип", "росимущ", "государ"]
+BURDENS = ["арест", "запрет", "ограничение права", "обременен"]
+SIGNED = ["подпис", "директор", "руководител", "утвержда", "согласован"]
 AREA_TOLERANCE = 0.05
 PENALTY = {"critical": 12, "error": 8, "warning": 3}
 
@@ -51,6 +55,39 @@ def auction_issues(docs: DataFrame) -> DataFrame:
     return docs.select("case_id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("case_id", "i.*")
 
 
+def register_issues(docs: DataFrame, as_of: str, max_days: int) -> DataFrame:
+    """case_id, text of extracts from the register -> issues; an extract may be max_days old on the day as_of."""
+    raw = t.text("text")
+    latest = F.array_max(f.dates(raw))
+    blank, owner, cadastral = t.strip(raw) == "", f.owner(raw), f.cadastral(raw)
+    found = [
+        issue(F.size(cadastral) == 0, "error", "cadastral", "major"),
+        issue(f.address(raw) == "", "warning", "address", "minor"),
+        issue((owner == "") | ~f.has_any(F.lower(owner), PUBLIC), "warning", "owner", "minor"),
+        issue(f.has_any(F.lower(raw), BURDENS), "warning", "encumbrances", "minor"),
+        issue(F.coalesce(latest < F.date_sub(F.to_date(F.lit(as_of)), max_days), F.lit(False)), "error", "extract_date", "major"),
+        issue(latest.isNull(), "warning", "extract_date", "minor"),
+    ]
+    return issue_rows(docs, blank, found)
+
+
+def approval_issues(docs: DataFrame) -> DataFrame:
+    """case_id, text of approvals -> issues."""
+    raw = t.text("text")
+    found = [
+        issue(F.size(f.dates(raw)) == 0, "warning", "date", "minor"),
+        issue((F.size(f.cadastral(raw)) == 0) & (f.address(raw) == ""), "error", "object", "major"),
+        issue(~f.has_any(t.normal(raw), SIGNED), "warning", "signature", "minor"),
+    ]
+    return issue_rows(docs, t.strip(raw) == "", found)
+
+
+def issue_rows(docs: DataFrame, blank: Column, found: list[Column]) -> DataFrame:
+    """A document without text has that one issue."""
+    every = F.when(blank, F.array(issue(F.lit(True), "error", "text", "major"))).otherwise(F.array_compact(F.array(*found)))
+    return docs.select("case_id", F.explode(every).alias("i")).select("case_id", "i.*")
+
+
 def verdict(cases: DataFrame, issues: DataFrame) -> DataFrame:
     """case_id, score, status, n_errors, n_warnings of every case."""
     error, critical = F.col("level") == "error", F.col("severity") == "critical"

@@ -135,8 +135,17 @@ def edit_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.concat(base, mark).alias("url"))
 
 
-@query("broken_decimals")
+DECIMALS = [(-1, "26.\n07.\n2006"), (-2, "статьей\n17.1 и 3.\n текст"), (-3, "1.\n2.\n3.\n4")]
+#: Lookarounds spelt out: a number may end one pair and begin the next.
+PAIR_SQL = "regexp_replace({}, '(\\d)\\.\\s*\\n\\s*(\\d)', '\\1.\\2', 'g')"
+
+
+@query(
+    "broken_decimals",
+    "SELECT doc_id, regexp_replace(" + PAIR_SQL.format(PAIR_SQL.format("text")) + ", '(\\p{L})\\s*\\n\\s*(\\d+\\.\\d+)', '\\1 \\2', 'g') AS text FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES "
+    + ", ".join(f"({i}, '{x}')" for i, x in DECIMALS) + ") v(doc_id, text))",
+)
 def broken_decimals(spark, sf_dir):
-    d = spark.createDataFrame([(1, "26.\n07.\n2006"), (2, "статьей\n17.1 и 3.\n текст")], "id int, text string")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(DECIMALS, "doc_id long, text string"))
     joined = F.regexp_replace("text", "(?<=\\d)\\.\\s*\\n\\s*(?=\\d)", ".")
-    return d.select("id", F.regexp_replace(joined, "(\\p{L})\\s*\\n\\s*(\\d+\\.\\d+)", "$1 $2").alias("text"))
+    return d.select("doc_id", F.regexp_replace(joined, "(\\p{L})\\s*\\n\\s*(\\d+\\.\\d+)", "$1 $2").alias("text"))

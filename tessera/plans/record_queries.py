@@ -12,6 +12,7 @@ from tessera.functions import fields as f
 from tessera.functions import text as t
 from tessera.operators import records, rules, sections, state
 from tessera.plans.common import table
+from tessera.plans.text_queries import STRIP
 
 AS_OF = "2024-01-20 00:00:00"
 
@@ -40,11 +41,13 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names}))"
 
 
-def papers(spark):
-    return spark.createDataFrame(PAPERS, "case_id int, text string")
+def papers(spark, sf_dir):
+    """All documents, and the papers of our own."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("case_id"), t.text("text").alias("text"))
+    return docs.unionByName(spark.createDataFrame(PAPERS, "case_id long, text string"))
 
 
-PAPERS_SQL = values(PAPERS, "case_id, text")
+PAPERS_SQL = f"(SELECT doc_id + 1000 AS case_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT * FROM {values(PAPERS, 'case_id, text')})"
 EDGE = "(?:$|[^\\p{L}\\p{N}_])"
 BEFORE = "(?:^|[^\\p{L}\\p{N}_])"
 DOUBLES = "list_filter(list_transform(regexp_extract_all(text, '{}', 1), lambda x: TRY_CAST(replace(replace(replace(x, ' ', ''), chr(160), ''), ',', '.') AS DOUBLE)), lambda x: x IS NOT NULL)"
@@ -56,25 +59,28 @@ MONEY_SQL = DOUBLES.format("(?i)(\\d+(?:[ \u00a0.,]\\d+)*)\\s*(?:руб\\.?|ру
 @query("extract_cadastral", f"SELECT case_id, {CADASTRAL_SQL} AS found, {CADASTRAL_SQL}[1] AS first FROM {PAPERS_SQL}")
 def extract_cadastral(spark, sf_dir):
     found = f.cadastral(F.col("text"))
-    return papers(spark).select("case_id", found.alias("found"), F.try_element_at(found, F.lit(1)).alias("first"))
+    return papers(spark, sf_dir).select("case_id", found.alias("found"), F.try_element_at(found, F.lit(1)).alias("first"))
 
 
 @query("extract_areas", f"SELECT case_id, {AREAS_SQL} AS found FROM {PAPERS_SQL}")
 def extract_areas(spark, sf_dir):
-    return papers(spark).select("case_id", f.areas(F.col("text")).alias("found"))
+    return papers(spark, sf_dir).select("case_id", f.areas(F.col("text")).alias("found"))
 
 
 @query("extract_money", f"SELECT case_id, {MONEY_SQL} AS found FROM {PAPERS_SQL}")
 def extract_money(spark, sf_dir):
-    return papers(spark).select("case_id", f.money(F.col("text")).alias("found"))
+    return papers(spark, sf_dir).select("case_id", f.money(F.col("text")).alias("found"))
+
+
+TERM_PATTERN = f"(?i)(\\d+)\\s*(лет|года|год|месяц(?:ев|а)?|мес\\.?){EDGE}"
 
 
 @query(
     "extract_terms",
-    f"SELECT case_id, unnest(regexp_extract_all(text, '(?i)(\\d+)\\s*(?:лет|года|год|месяц(?:ев|а)?|мес\\.?){EDGE}', 1)) AS n FROM {PAPERS_SQL}",
+    f"SELECT case_id, unnest(regexp_extract_all(text, '{TERM_PATTERN}', 1)) AS n, lower(unnest(regexp_extract_all(text, '{TERM_PATTERN}', 2))) AS unit FROM {PAPERS_SQL}",
 )
 def extract_terms(spark, sf_dir):
-    return papers(spark).select("case_id", F.explode(f.terms(F.col("text"))).alias("x")).select("case_id", F.col("x.n").cast("string").alias("n"))
+    return papers(spark, sf_dir).select("case_id", F.explode(f.terms(F.col("text"))).alias("x")).select("case_id", F.col("x.n").cast("string").alias("n"), "x.unit")
 
 
 DATES_SQL = "regexp_extract_all(text, '(\\d{1,2}[./]\\d{1,2}[./]\\d{2,4})', 1)"
@@ -86,13 +92,13 @@ DATES_SQL = "regexp_extract_all(text, '(\\d{1,2}[./]\\d{1,2}[./]\\d{2,4})', 1)"
 FROM (SELECT case_id, string_split(replace(x, '/', '.'), '.') AS p FROM (SELECT case_id, unnest({DATES_SQL}) AS x FROM {PAPERS_SQL}))) WHERE d IS NOT NULL GROUP BY case_id""",
 )
 def extract_dates(spark, sf_dir):
-    d = papers(spark).select("case_id", f.dates(F.col("text")).alias("d")).where(F.size("d") > 0)
+    d = papers(spark, sf_dir).select("case_id", f.dates(F.col("text")).alias("d")).where(F.size("d") > 0)
     return d.select("case_id", F.array_max("d").cast("timestamp_ntz").alias("latest"), F.size("d").cast("long").alias("n"))
 
 
 @query("extract_hints")
 def extract_hints(spark, sf_dir):
-    return papers(spark).select("case_id", f.address(F.col("text")).alias("address"), f.owner(F.col("text")).alias("owner"))
+    return papers(spark, sf_dir).select("case_id", f.address(F.col("text")).alias("address"), f.owner(F.col("text")).alias("owner"))
 
 
 ISSUES_SQL = "SELECT case_id, level, field, severity FROM (" + " UNION ALL ".join(
@@ -112,7 +118,7 @@ CASES_SQL = f"p AS (SELECT case_id, text, {LOW_SQL.format('text')} AS low, {LOW_
 
 @query("keyword_rules", f"WITH {CASES_SQL} {ISSUES_SQL}")
 def keyword_rules(spark, sf_dir):
-    return rules.auction_issues(papers(spark))
+    return rules.auction_issues(papers(spark, sf_dir))
 
 
 VERDICT_SQL = """SELECT c.case_id, CAST(greatest(0, least(100, 100 - coalesce(cost, 0))) AS INT) AS score, CASE WHEN coalesce(e, 0) > 0 THEN 'failed' WHEN coalesce(w, 0) > 0 THEN 'warnings' ELSE 'passed' END AS status,
@@ -122,7 +128,7 @@ count(*) FILTER (WHERE level = 'error') AS e, count(*) FILTER (WHERE level <> 'e
 
 @query("validation_score", f"WITH {CASES_SQL}, issues AS ({ISSUES_SQL}), cases AS (SELECT case_id FROM p) {VERDICT_SQL}")
 def validation_score(spark, sf_dir):
-    return rules.verdict(papers(spark), rules.auction_issues(papers(spark)))
+    return rules.verdict(papers(spark, sf_dir), rules.auction_issues(papers(spark, sf_dir)))
 
 
 @query(
@@ -148,15 +154,35 @@ def cross_validate_3way(spark, sf_dir):
     return rules.cross_issues(d.select(F.col("o_orderkey").alias("case_id"), keys.alias("keys"), F.abs("c_acctbal").alias("area_a"), F.abs("s_acctbal").alias("area_b")))
 
 
-@query("split_sections")
+def books(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    return docs.unionByName(spark.createDataFrame(BOOKS, "doc_id long, text string"))
+
+
+HEAD_SQL = sections.HEADER.replace("(?iu)", "(?i)")
+NAMES_SQL = "CASE number " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in sections.KEYS.items()) + " END"
+SECTIONS_SQL = f"""books AS (SELECT doc_id + 1000 AS doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT * FROM {values(BOOKS, "doc_id, text")}),
+l AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS line, unnest(x) AS body FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS x FROM books)),
+h AS (SELECT *, CASE WHEN NOT ends_with(rtrim(body), ';') AND regexp_matches(body, '{HEAD_SQL}') THEN CAST(regexp_extract(body, '{HEAD_SQL}', 1) AS INT) END AS found FROM l),
+m AS (SELECT *, CASE WHEN found IS NOT NULL AND line = max(CASE WHEN found IS NOT NULL THEN line END) OVER (PARTITION BY doc_id, found) THEN found END AS head FROM h),
+o AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS number FROM m),
+g AS (SELECT doc_id, number, {STRIP.format("max(CASE WHEN head IS NOT NULL THEN regexp_extract(body, '" + HEAD_SQL + "', 2) END)")} AS title, {STRIP.format("string_agg(body, chr(10) ORDER BY line)")} AS text FROM o WHERE number IS NOT NULL GROUP BY doc_id, number),
+s AS (SELECT doc_id, number, {NAMES_SQL} AS section, title, CAST(length(text) AS INT) AS chars, text FROM g)"""
+
+
+@query("split_sections", f"WITH {SECTIONS_SQL} SELECT * FROM s")
 def split_sections(spark, sf_dir):
-    return sections.split(spark.createDataFrame(BOOKS, "doc_id int, text string"))
+    return sections.split(books(spark, sf_dir))
 
 
-@query("required_minus_found")
+@query(
+    "required_minus_found",
+    f"""WITH {SECTIONS_SQL}, d AS (SELECT books.doc_id, coalesce(list_sort(list_distinct(list(section) FILTER (WHERE section IS NOT NULL))), []) AS detected FROM books LEFT JOIN s USING (doc_id) GROUP BY books.doc_id),
+r AS (SELECT *, list_filter({list(sections.KEYS.values())}, lambda k: NOT list_contains(detected, k)) AS missing FROM d)
+SELECT doc_id, array_to_string(detected, ',') AS detected, array_to_string(missing, ',') AS missing, len(missing) = 0 AS structure_ok FROM r""",
+)
 def required_minus_found(spark, sf_dir):
-    books = spark.createDataFrame(BOOKS, "doc_id int, text string")
-    d = sections.missing(books, sections.split(books))
+    d = sections.missing(books(spark, sf_dir), sections.split(books(spark, sf_dir)))
     return d.select("doc_id", F.array_join("detected", ",").alias("detected"), F.array_join("missing", ",").alias("missing"), "structure_ok")
 
 
