@@ -1,6 +1,6 @@
 """HTML extraction: boosted trees over DOM nodes, decoded so that ancestors and descendants agree.
 
-Every element has features: depth, tag, attribute tokens, length, links, punctuation and tags of its subtree, and how it
+Every element has features: depth, tag, attribute tokens (hashed, and by two lists of telling ones), length, links, punctuation and tags of its subtree, and how it
 stands among its siblings.  The trees are trained here, on at most TRAIN_PAGES pages (the least by a hash of their html,
 of at most TRAIN_CHARS characters) that mark their article by its tag, on the same pages with their tell-tale tags made
 plain, and on pages made up from templates.  Decoding takes the best set of elements that holds the parent of each
@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,16 @@ BAD = frozenset(
 NEVER = frozenset(("script", "style", "noscript", "template", "iframe", "head", "title", "button", "select", "textarea", "input"))
 MARKED = frozenset(("nav", "header", "footer", "aside", "form", "dialog")) | NEVER
 N_FEATURES = 22
+#: Features for the attribute tokens by their hashes.
+HASHED = 48
 SPACES = re.compile(r"\s+")
 
 
+@lru_cache(1 << 16)
+def bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % HASHED
+
+
 def features(page: Page) -> np.ndarray:
     n = len(page.tag)
     tag, parent = page.tag, page.parent
@@ -71,7 +80,7 @@ def features(page: Page) -> np.ndarray:
         marks[p] += marks[i]
         tags[p] += tags[i]
         words[p] += words[i]
-    out = np.empty((n, N_FEATURES))
+    out = np.zeros((n, N_FEATURES + HASHED))
     total = max(1, size[0])
     before = 0
     for i in range(n):
@@ -79,11 +88,13 @@ def features(page: Page) -> np.ndarray:
         s, k = size[i], max(1, count[p] if i else 1)
         t = page.tokens[i]
         up = p if p > 0 else 0
-        out[i] = (
+        out[i, :N_FEATURES] = (
             depth[i], TAG_INDEX.get(tag[i], len(TAGS)), TAG_INDEX.get(tag[up], len(TAGS)), tag[i] in ("article", "main"), tag[i] in MARKED,
             bool(t) and not GOOD.isdisjoint(t), bool(t) and not BAD.isdisjoint(t), inside_good[i], inside_bad[i], s, own[i], links[i] / (s + 1), marks[i] / (s + 1),
             tags[i] / (s + 1), words[i], s / total, order[i] / k, k, s / (size[up] + 1), (size[up] - s) / k, before / total, links[up] / (size[up] + 1),
         )
+        for x in t:
+            out[i, N_FEATURES + bucket(x)] = 1
         before += own[i]
     return out
 

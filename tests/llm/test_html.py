@@ -52,3 +52,45 @@ def test_odd_pages(spark):
     rows = {r.page_id: r for r in extracted(d).collect()}
     assert rows[1].text == "" and rows[1].n_chars == 0 and rows[2].n_chars == len(rows[2].text)
     assert extracted(d.limit(0)).collect() == []
+
+
+def whole(html):
+    page = parse(html)
+    return text_of(page, [True] * len(page.tag))
+
+
+def test_quotes_count_only_where_values_begin():
+    assert whole("<p title=it's>Hello one.</p><p>second don't stop > here</p>") == "Hello one.\nsecond don't stop > here"
+    assert whole("""<p a='x>y' b="p'q>" c = z>one</p><p d=">">two</p>""") == "one\ntwo"
+    assert whole('<p>a < b, 1<2 and x<=y</p><!-- <p>no</p> --><!doctype x><?php y ?>end') == "a < b, 1<2 and x<=y\nend"
+    assert whole("<p>kept<b cut") == "kept" and whole('<p>kept<a href="open') == "kept"
+    assert whole("<br/>a<br />b<p/>c") == "a b\nc"
+    page = parse("""<div class="Post main" ID=x-y role='nav'>t</div>""")
+    assert page.tokens[1] == ("post", "main", "x", "y", "nav")
+
+
+def test_damaged_pages_take_linear_time():
+    import time
+
+    for piece in ('<a "', "<div><b>x", "<p><button><b><div>", "<script>", "</script ", "<td><tr>x", "</x>", "<b>", "<!--", "<a b='", "&amp", "<ul><li><ul>", "<title>a"):
+        times = []
+        for n in (20_000, 80_000):
+            began = time.process_time()
+            parse(piece * n)
+            times.append(time.process_time() - began)
+        assert times[1] < 4 * 3 * max(times[0], 0.05), (piece, times)
+
+
+def test_tokens_are_told_apart_without_lists():
+    """A model sees the tokens themselves: pages whose article bears a word of no list."""
+    from tessera.llm.html_extraction import features
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 8)))
+    line = lambda: " ".join(word() for _ in range(12))
+    page = lambda: parse("".join(f'<div class="{c}"><p>{line()}</p></div>' for c in rng.sample(["zorb", "quax", "quax"], 3)))
+    train_, test = [page() for _ in range(60)], [page() for _ in range(30)]
+    label = lambda p: np.array([float(t == ("zorb",)) for t in p.tokens])
+    model = Boosted().fit(np.concatenate([features(p) for p in train_]), np.concatenate([label(p) for p in train_]))
+    for p in test:
+        assert ((model.log_odds(features(p)) > 0) == (label(p) > 0)).all()
