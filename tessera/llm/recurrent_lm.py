@@ -8,7 +8,7 @@ tail word by its count within its class (one unknown word in each).
 
 Weights start from the unigram shares.  ROUNDS rounds make one pass over all training documents, each taking those of one
 residue of a hash, if there are several.  In a round every task trains on its own documents by truncated backpropagation over windows of STEPS
-tokens; STREAMS documents run beside each other, and each one's state is carried from window to window through the whole
+tokens (more where few streams are left); STREAMS documents run beside each other, and each one's state is carried from window to window through the whole
 document.  Adagrad sets the steps; the tasks' weights are averaged by tokens in a tree, so they depend on how the input is
 split into tasks, and reruns agree for the same split.  Scoring runs over every whole document with state carried throughout.
 
@@ -34,6 +34,8 @@ from .exchange import CHUNK_BYTES, FRAME, Route, pack, pack_sorted, pieces_of, s
 HEAD, HEAD_CLASSES, TAIL, HIDDEN = 2048, 32, 32, 16
 CLASSES = HEAD_CLASSES + TAIL
 STREAMS, STEPS, RATE, ROUNDS = 96, 16, 0.25, 1
+#: How many times STEPS a window may have.
+LONGER = 16
 #: Tokens from which on a document trains before the others, and tokens of which a task knows the lengths ahead.
 LONG, HELD = 1024, 1 << 24
 #: First groups of the tree in which weights are averaged.
@@ -167,20 +169,22 @@ class Network:
         h, tokens = np.zeros((len(streams), HIDDEN), np.float32), 0
         while streams:
             n = len(streams)
-            x = np.full((STEPS, n), start)
-            y = np.full((STEPS, n), -1)
-            fresh = np.zeros((STEPS, n), bool)
+            # Windows grow where few streams are left, so that long documents don't take a step of the optimiser for a few tokens.
+            steps = STEPS * min(LONGER, max(1, STREAMS // n))
+            x = np.full((steps, n), start)
+            y = np.full((steps, n), -1)
+            fresh = np.zeros((steps, n), bool)
             ended = []
             for s in range(n):
                 t = 0
-                while t < STEPS:
+                while t < steps:
                     d = streams[s]
                     if at[s] >= len(d):
                         d = next(docs, None)
                         if d is None:
                             break
                         streams[s], at[s] = d, 0
-                    k = min(STEPS - t, len(d) - at[s])
+                    k = min(steps - t, len(d) - at[s])
                     y[t : t + k, s] = d[at[s] : at[s] + k]
                     if at[s]:
                         x[t : t + k, s] = d[at[s] - 1 : at[s] + k - 1]
@@ -189,7 +193,7 @@ class Network:
                         fresh[t, s] = True
                     at[s] += k
                     t += k
-                if t < STEPS:
+                if t < steps:
                     ended.append(s)
             tokens += int((y >= 0).sum())
             h = self.window(x, y, fresh, h, sums)
