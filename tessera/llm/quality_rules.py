@@ -12,6 +12,8 @@ are at most MAX_BROADCAST rows, else joined by word.
 
 from __future__ import annotations
 
+from string import ascii_letters
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ SYMBOLS = "[#*$%&|<>]"
 #: What is deleted to leave each class of characters; symbols and white space are counted anyway, the rest are other letters.
 CLASSES = {"upper": "[^\\p{Lu}]+", "digit": "[^0-9]+", "point": "[^.,;:!?'\"()-]+"}
 N_COMMON = 32
+LETTERS = ascii_letters[:N_COMMON]
 MAX_BROADCAST = 200_000
 MIN_WORDS = 50
 MIN_CHARS = 200
@@ -87,7 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
         duplicate_lines(F.col("text")).cast("long").alias("n_dup_lines"),
         let(F.col("w"), repeated_words).cast("long").alias("n_repeat_words"),
         *[count(drop).alias(f"c_{k}") for k, drop in CLASSES.items()],
-        let(F.transform(F.filter(F.transform("w", F.lower), lambda x: F.array_contains("common", x)), lambda x: F.array_position("common", x)), occurrences_of).alias("p"),
+        let(marks(F.col("w"), F.col("common")), occurrences_of).alias("p"),
     )
     return d.withColumn("c_space", F.col("n_chars") - F.col("word_chars")).withColumn(
         "c_lower", F.col("word_chars") - F.col("n_symbols") - sum((F.col(f"c_{k}") for k in CLASSES), F.lit(0))
@@ -97,9 +100,14 @@ def features(docs: DataFrame) -> DataFrame:
 BINS = ["c_lower", "c_space", "n_symbols", *[f"c_{k}" for k in CLASSES]]
 
 
-def occurrences_of(ranks: Column) -> Column:
-    """How often each of 1 to N_COMMON stands in an array."""
-    return F.transform(F.sequence(F.lit(1), F.lit(N_COMMON)), lambda k: F.size(F.filter(ranks, lambda r: r == k)))
+def marks(w: Column, common: Column) -> Column:
+    """A letter for each word: which of the common ones it is, or a dot."""
+    return F.array_join(F.transform(w, lambda x: F.substring(F.lit("." + LETTERS), F.array_position(common, F.lower(x)).cast("int") + 1, 1)), "")
+
+
+def occurrences_of(found: Column) -> Column:
+    """How often each letter stands in marks."""
+    return F.array(*[F.length(found) - F.length(F.replace(found, F.lit(c), F.lit(""))) for c in LETTERS])
 
 
 def common_words(docs: DataFrame, n: int = N_COMMON) -> DataFrame:

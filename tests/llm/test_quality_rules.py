@@ -44,3 +44,19 @@ def test_what_is_unlike_its_language_goes(spark):
 
 def test_empty(spark):
     assert assess(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def test_common_words_are_counted(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from tessera.llm.quality_rules import LETTERS, marks, occurrences_of, words
+
+    rng = random.Random(8)
+    common = [f"w{i}" for i in range(len(LETTERS))]
+    texts = [" ".join(rng.choice([*common, "W3", "other", "."]) for _ in range(rng.randint(0, 300))) for _ in range(20)] + [""]
+    d = spark.createDataFrame([(t, common[: 5 + k % 28]) for k, t in enumerate(texts)], "text string, common array<string>")
+    for r in d.select("text", "common", occurrences_of(marks(words(F.col("text")), F.col("common"))).alias("p")).collect():
+        c = Counter(r.text.lower().split())
+        assert r.p == [c[x] for x in r.common] + [0] * (len(LETTERS) - len(r.common))
