@@ -102,7 +102,10 @@ BINS = ["c_lower", "c_space", "n_symbols", *[f"c_{k}" for k in CLASSES]]
 
 def marks(w: Column, common: Column) -> Column:
     """A letter for each word: which of the common ones it is, or a dot."""
-    return F.array_join(F.transform(w, lambda x: F.substring(F.lit("." + LETTERS), F.array_position(common, F.lower(x)).cast("int") + 1, 1)), "")
+    mark = lambda x: F.substring(F.lit("." + LETTERS), F.array_position(common, x).cast("int") + 1, 1)
+    # Words longer than any common one needn't be looked up.
+    longest = F.coalesce(F.array_max(F.transform(common, F.octet_length)), F.lit(0))
+    return let(longest, lambda n: F.array_join(F.transform(F.transform(w, F.lower), lambda x: F.when(F.octet_length(x) <= n, mark(x)).otherwise(".")), ""))
 
 
 def occurrences_of(found: Column) -> Column:
