@@ -18,12 +18,18 @@ QUERIES = {
     "op8_jaccard_join": "jaccard_join",
     "op9_quality_classifier": "kneser_ney",
     "op10_suffix_dedup": "suffix_dedup",
+    "op11_simhash": "simhash",
+    "op12_spelling": "spelling",
+    "op13_filter_audit": "filter_audit",
 }
 
+#: Those that SQL can express; their modules state it.
+WITH_SQL = ["op13_filter_audit"]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: import_module(f"{__package__}.{QUERIES[name]}").SQL for name in WITH_SQL}
