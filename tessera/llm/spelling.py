@@ -6,7 +6,8 @@
    order, equal ones by place) one stands in both and is untouched by the edit.
 3. The limit on places: the edit lies on one side of the bigram, so either all up to it is equal, at equal places from the
    start, or all from it on, at equal places from the end.  Words join only on the piece up to a rare bigram or from
-   it on; lengths and edits are verified in the join, so that only near pairs leave it.
+   it on and on their length; parities of letters, which an edit changes in two places at most, and then the words are
+   compared in the join, so that only near pairs leave it.
 4. A word's form is the near word of largest n; roots are found by doubling the steps along forms.
 
 The number of bigrams is bounded by the alphabet (90 letters, so 8,100), which is what the driver and tasks hold.
@@ -97,30 +98,42 @@ def bigram_order(words: DataFrame) -> dict[str, int]:
     return {r["bigram"]: k for k, r in enumerate(sorted(counts, key=lambda r: (r["n"], r["bigram"])))}
 
 
+def parities(word: str) -> int:
+    """Which letters stand in a word an odd number of times; an edit changes at most two of them."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << (ord(c) & 63)
+    return bits - (bits >> 63 << 64)
+
+
 def rare_pieces(words: DataFrame, order: dict[str, int]) -> DataFrame:
-    """piece, word, n: what stands up to each of a word's rarest bigrams, and from it on."""
+    """piece, size, parity, word, n: what stands up to each of a word's rarest bigrams, and from it on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, pieces = [], []
-            for i, w in enumerate(batch.column(0).to_pylist()):
+            at, pieces, own_words = [], [], batch.column(0).to_pylist()
+            for i, w in enumerate(own_words):
                 first = sorted((order[w[k : k + 2]], k) for k in range(len(w) - 1))[:PREFIX]
                 own = {p for _, k in first for p in ("<" + w[: k + 2], w[k:] + ">")}
                 pieces += own
                 at += [i] * len(own)
-            own = batch.take(pa.array(at, pa.int64()))
-            yield pa.record_batch([pa.array(pieces, pa.string()), own.column(0), own.column(1)], names=["piece", "word", "n"])
+            cols = [pa.array([len(w) for w in own_words], pa.int32()), pa.array(map(parities, own_words), pa.int64()), batch.column(0), batch.column(1)]
+            named = pa.record_batch(cols, names=["size", "parity", "word", "n"]).take(pa.array(at, pa.int64()))
+            yield pa.record_batch([pa.array(pieces, pa.string()), *named.columns], names=["piece", *named.schema.names])
 
-    return words.select("word", "n").mapInArrow(run, "piece string, word string, n long")
+    return words.select("word", "n").mapInArrow(run, "piece string, size int, parity long, word string, n long")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """a, n_a, b, n_b: the distinct pairs of near words, a < b in code-point order."""
+    """a, n_a, b, n_b: the distinct pairs of near words, each once."""
     pieces = rare_pieces(words, bigram_order(words))
-    left, right = (pieces.select(F.col("piece").alias(f"p_{s}"), F.col("word").alias(s), F.col("n").alias(f"n_{s}")) for s in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)
+    left = pieces.toDF("piece", "size", "parity_a", "a", "n_a")
+    # Words of one length meet once, those of two as the shorter and the longer.
+    right = pieces.select(F.col("piece").alias("p"), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("s"), F.col("size").alias("size_b"), F.col("parity").alias("parity_b"), F.col("word").alias("b"), F.col("n").alias("n_b"))
+    fits = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2
+    fits &= (F.col("size_b") > F.col("size")) | (F.col("a") < F.col("b"))
     fits &= F.levenshtein("a", "b", 1) == 1
-    both = left.join(right, (F.col("p_a") == F.col("p_b")) & fits)
+    both = left.join(right, (F.col("piece") == F.col("p")) & (F.col("size") == F.col("s")) & fits)
     return both.select("a", "n_a", "b", "n_b").distinct()
 
 
