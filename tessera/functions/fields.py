@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import bind, strip
+
 #: Patterns, fixed values.  A word ends where no letter, digit or underscore follows.
 END = "(?![\\p{L}\\p{N}_])"
 START = "(?<![\\p{L}\\p{N}_])"
 CADASTRAL = START + "\\d{2}:\\d{2}:\\d{6,7}:\\d+" + END
 AREA = "(?iu)(\\d+(?:[.,]\\d+)?)\\s*(?:кв\\.?\\s*м|м²|м2)" + END
 MONEY = "(?iu)(\\d+(?:[ \u00a0.,]\\d+)*)\\s*(?:руб\\.?|рублей|₽)"
-TERM = "(?iu)(\\d+)\\s*(лет|года|год|месяц(?:ев|а)?|мес\\.?)" + END
+TERM = "(?iu)(\\d+)\\s*(лет|года|год|мес\\.?|месяц(?:ев|а)?)(?U:\\b)"
 DATE = START + "(\\d{1,2})[./](\\d{1,2})[./](\\d{2,4})" + END
 
 
@@ -37,35 +39,47 @@ def money(c: Column) -> Column:
 
 
 def terms(c: Column) -> Column:
-    return F.zip_with(matches(c, TERM, 1), matches(c, TERM, 2), lambda n, u: F.struct(n.cast("int").alias("n"), F.lower(u).alias("unit")))
+    one = lambda x: F.struct(F.regexp_extract(x, "^\\d+", 0).cast("int").alias("n"), F.lower(F.regexp_extract(x, "^\\d+\\s*(.*)$", 1)).alias("unit"))
+    return F.transform(matches(c, TERM), one)
 
 
 def dates(c: Column) -> Column:
     """Day, month, year; years of two digits are of this century; days that don't exist are left out."""
-    parts = F.zip_with(F.arrays_zip(matches(c, DATE, 1).alias("d"), matches(c, DATE, 2).alias("m")), matches(c, DATE, 3), lambda dm, y: F.struct(dm.alias("dm"), y.alias("y")))
 
-    def day(p: Column) -> Column:
-        y = p["y"].cast("int")
+    def day(parts: Column) -> Column:
+        y = F.get(parts, F.lit(2)).cast("int")
         y = F.when(y < 100, y + 2000).otherwise(y)
-        return F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(p["dm"]["d"], 2, "0"), F.lpad(p["dm"]["m"], 2, "0")), "yyyy-dd-MM")
+        two = lambda k: F.lpad(F.get(parts, F.lit(k)), 2, "0")
+        return F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), two(0), two(1)), "yyyy-dd-MM")
+
+    return F.array_compact(F.transform(matches(c, DATE), lambda x: bind(F.split(x, "[./]"), day)))
+
+
+#: What ends a line, and what shows a line with an address or an owner; fixed values.
+LINE = "\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
+PLACE = "(?iu)адрес|местоположен|расположен"
+PART = "(?iu)" + START + "(?:(?:ул|пр|пер|г|обл)\\.(?=[\\p{L}\\p{N}_])|район" + END + ")"
+OWNER = "(?iu)собственник|правообладатель"
+BODY = "(?iu)росимущество|фгуп|муницип|российск"
+
 
-    return F.array_compact(F.transform(parts, day))
+def first_line(c: Column, *tests) -> Column:
+    """The first line that passes, stripped, of the first test that a line passes; empty without one."""
 
+    def found(lines: Column) -> Column:
+        return F.coalesce(*[strip(F.get(F.filter(lines, test), F.lit(0))) for test in tests], F.lit(""))
 
-def first_line(c: Column, test) -> Column:
-    """The first line that passes, stripped; empty without one."""
-    lines = F.filter(F.split(c, "\\r\\n|[\\n\\r\\f\\x0b\\x{2028}\\x{2029}]", -1), test)
-    return F.coalesce(F.regexp_replace(F.get(lines, F.lit(0)), "(?U)^\\s+|\\s+$", ""), F.lit(""))
+    return bind(F.split(c, LINE, -1), found)
 
 
 def address(c: Column) -> Column:
-    named = first_line(c, lambda x: F.lower(x).rlike("адрес|местоположен|расположен") & (F.length(F.trim(x)) > 15))
-    part = first_line(c, lambda x: x.rlike("(?iu)" + START + "(ул\\.|пр\\.|пер\\.|г\\.|обл\\.|район)"))
-    return F.when(named != "", named).otherwise(part)
+    found = first_line(c, lambda x: x.rlike(PLACE) & (F.length(strip(x)) > 15), lambda x: x.rlike(PART))
+    return F.when(c.rlike(PLACE) | c.rlike(PART), found).otherwise(F.lit(""))
 
 
 def owner(c: Column) -> Column:
-    return first_line(c, lambda x: F.lower(x).rlike("собственник|правообладатель") | (F.lower(x).rlike("росимущество|фгуп|муницип|российск") & (F.length(x) > 20)))
+    found = first_line(c, lambda x: x.rlike(OWNER) | (x.rlike(BODY) & (F.length(x) > 20)))
+    return F.when(c.rlike(OWNER + "|" + BODY[5:]), found).otherwise(F.lit(""))
 
 
 def has_any(low: Column, keywords: list[str]) -> Column:

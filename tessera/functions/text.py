@@ -12,6 +12,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once a row and hand it to ``body``, however often that uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, of any script."""
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")

@@ -82,7 +82,12 @@ def with_best_of_files(pool: DataFrame, candidates: DataFrame, limit: int, floor
     return d.where((F.col("files") > 1) | (F.col("part") == 1)).where(F.col("position") <= F.greatest(F.lit(limit * 3), F.col("files") * 4)).select("query_id", "file_id", "id", "part", "position")
 
 
-def capped(issues: DataFrame, most: int) -> DataFrame:
-    """The first issues of each case and level, in order."""
+#: How many issues of a level a report shows, fixed values.
+CAPS = {"error": 20, "warning": 15}
+
+
+def capped(issues: DataFrame) -> DataFrame:
+    """The first issues of each case and level (case_id, level, position), in order; tasks cut their own rows before they meet."""
     w = Window.partitionBy("case_id", "level").orderBy("position")
-    return issues.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("n")
+    d = issues.withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(CAPS.values()))
+    return d.where(F.col("n") <= F.when(F.col("level") == "error", CAPS["error"]).otherwise(CAPS["warning"])).drop("n")

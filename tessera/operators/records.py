@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Marker keys of an article record, fixed values.
-MARKERS = ["Приоритет", "Код статьи", "Наименование статьи", "Годовой лимит", "Текущий период", "Текущий лимит", "Факт"]
+from tessera.operators import jsonwalk
+
 EMPTY = ["", "[]", "{}", "null", '""', "[object Object]"]
 
 
@@ -15,18 +15,8 @@ def is_empty(payload: Column) -> Column:
 
 
 def articles(payloads: DataFrame) -> DataFrame:
-    """id, payload (JSON) -> id, place and the fields of every article: objects or lists of them, bare or under ``output``."""
-    kind = "array<map<string,string>>"
-    wrapped = F.from_json("payload", f"array<struct<output:{kind}>>")
-    single = F.from_json("payload", "array<struct<output:map<string,string>>>")
-    plain = F.from_json("payload", kind)
-    lists = F.flatten(F.transform(wrapped, lambda x: F.coalesce(x["output"], F.array().cast(kind))))
-    ones = F.array_compact(F.transform(single, lambda x: x["output"]))
-    markers = F.array(*[F.lit(m) for m in MARKERS])
-    real = lambda a: F.filter(F.coalesce(a, F.array().cast(kind)), lambda m: F.size(F.array_intersect(F.map_keys(m), markers)) >= 2)
-    d = payloads.where(~is_empty(F.col("payload"))).select("id", real(lists).alias("l"), real(ones).alias("o"), real(plain).alias("p"))
-    rows = F.when(F.size("l") > 0, F.col("l")).when(F.size("o") > 0, F.col("o")).otherwise(F.col("p"))
-    d = d.select("id", F.posexplode(rows).alias("place", "m"))
+    """id, payload (JSON) -> id, place and the fields of every article, wherever the payload wraps it."""
+    d = jsonwalk.walked(payloads).select("id", F.posexplode("records").alias("place", "m"))
     get = lambda k: F.try_element_at("m", F.lit(k))
     return d.select(
         "id", "place", get("Приоритет").alias("priority"), get("Код статьи").alias("code"), get("Наименование статьи").alias("name"),
@@ -41,7 +31,9 @@ def first_of_each(rows: DataFrame) -> DataFrame:
 
 
 def with_remainder(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("remainder", F.col("current_limit") - F.col("fact"))
+    """What is left of the current limit, where some row of a payload has both a limit and a fact."""
+    shown = F.bool_or(F.col("current_limit").isNotNull() & F.col("fact").isNotNull()).over(Window.partitionBy("id"))
+    return rows.withColumn("remainder", F.when(shown, F.col("current_limit") - F.col("fact")))
 
 
 def filled_columns(rows: DataFrame) -> list[str]:
@@ -52,3 +44,8 @@ def filled_columns(rows: DataFrame) -> list[str]:
 
 def grouped_number(c: Column, digits: int = 2) -> Column:
     return F.replace(F.format_number(c, digits), F.lit(","), F.lit("\u00a0"))
+
+
+def shown_number(c: Column) -> Column:
+    """Whole numbers without decimals, others with two; thousands apart."""
+    return F.when(c == F.floor(c), grouped_number(c, 0)).otherwise(grouped_number(c, 2))

@@ -42,60 +42,102 @@ def issue(test: Column, level: str, field: str, severity: str) -> Column:
     return F.when(test, F.struct(F.lit(level).alias("level"), F.lit(field).alias("field"), F.lit(severity).alias("severity")))
 
 
-def auction_issues(docs: DataFrame) -> DataFrame:
-    """case_id, text -> case_id, level, field, severity."""
-    raw = t.text("text")
-    low = t.normal(raw)
+def as_array(found: list[Column]) -> Column:
+    return F.array_compact(F.array(*found))
+
+
+def auction_checks(raw: Column) -> Column:
+    """The issues of an auction's papers as an array; the text is made ready once for all of them."""
     at = F.instr(F.lower(raw), "проект договора")
-    contract = t.normal(F.when(at > 0, F.substring(raw, at, F.length(raw))).otherwise(raw))
-    found = [issue(~f.has_any(low, words), "error", name, "major") for name, words in SECTIONS.items()]
-    found += [issue(~f.has_any(contract, words), "warning", name, "minor") for name, words in CLAUSES.items()]
-    found += [issue(F.size(f.cadastral(raw)) == 0, "error", "cadastral", "critical"), issue(f.address(raw) == "", "warning", "address", "minor")]
-    found += [issue(F.size(x(raw)) == 0, "warning", name, "minor") for name, x in (("area", f.areas), ("price", f.money), ("lease_term", f.terms))]
-    return docs.select("case_id", F.explode(F.array_compact(F.array(*found))).alias("i")).select("case_id", "i.*")
 
+    def found(x: Column) -> Column:
+        out = [issue(~f.has_any(x["low"], words), "error", name, "major") for name, words in SECTIONS.items()]
+        out += [issue(~f.has_any(x["contract"], words), "warning", name, "minor") for name, words in CLAUSES.items()]
+        out += [issue(F.size(f.cadastral(x["raw"])) == 0, "error", "cadastral", "critical"), issue(f.address(x["raw"]) == "", "warning", "address", "minor")]
+        return as_array(out + [issue(F.size(of(x["raw"])) == 0, "warning", name, "minor") for name, of in (("area", f.areas), ("price", f.money), ("lease_term", f.terms))])
 
-def register_issues(docs: DataFrame, as_of: str, max_days: int) -> DataFrame:
-    """case_id, text of extracts from the register -> issues; an extract may be max_days old on the day as_of."""
-    raw = t.text("text")
-    latest = F.array_max(f.dates(raw))
-    blank, owner, cadastral = t.strip(raw) == "", f.owner(raw), f.cadastral(raw)
-    found = [
-        issue(F.size(cadastral) == 0, "error", "cadastral", "major"),
-        issue(f.address(raw) == "", "warning", "address", "minor"),
-        issue((owner == "") | ~f.has_any(F.lower(owner), PUBLIC), "warning", "owner", "minor"),
-        issue(f.has_any(F.lower(raw), BURDENS), "warning", "encumbrances", "minor"),
-        issue(F.coalesce(latest < F.date_sub(F.to_date(F.lit(as_of)), max_days), F.lit(False)), "error", "extract_date", "major"),
-        issue(latest.isNull(), "warning", "extract_date", "minor"),
-    ]
-    return issue_rows(docs, blank, found)
+    def prepared(low: Column) -> Column:
+        contract = F.when(at > 0, t.normal(F.substring(raw, at, F.length(raw)))).otherwise(low)
+        return t.bind(F.struct(raw.alias("raw"), low.alias("low"), contract.alias("contract")), found)
 
+    return t.bind(t.normal(raw), prepared)
 
-def approval_issues(docs: DataFrame) -> DataFrame:
-    """case_id, text of approvals -> issues."""
-    raw = t.text("text")
+
+def register_checks(raw: Column, as_of: str, max_days: int) -> Column:
+    """The issues of an extract from the register as an array; it may be max_days old on the day as_of."""
+
+    def found(x: Column) -> Column:
+        old = F.coalesce(x["latest"] < F.date_sub(F.to_date(F.lit(as_of)), max_days), F.lit(False))
+        return as_array([
+            issue(F.size(f.cadastral(x["raw"])) == 0, "error", "cadastral", "critical"),
+            issue(f.address(x["raw"]) == "", "warning", "address", "minor"),
+            issue((x["owner"] == "") | ~f.has_any(F.lower(x["owner"]), PUBLIC), "warning", "owner", "minor"),
+            issue(f.has_any(F.lower(x["raw"]), BURDENS), "warning", "encumbrances", "minor"),
+            issue(old, "error", "extract_date", "critical"),
+            issue(x["latest"].isNull(), "warning", "extract_date", "minor"),
+        ])
+
+    return unless_blank(raw, t.bind(F.struct(raw.alias("raw"), F.array_max(f.dates(raw)).alias("latest"), f.owner(raw).alias("owner")), found))
+
+
+def approval_checks(raw: Column) -> Column:
+    """The issues of an approval as an array."""
     found = [
         issue(F.size(f.dates(raw)) == 0, "warning", "date", "minor"),
-        issue((F.size(f.cadastral(raw)) == 0) & (f.address(raw) == ""), "error", "object", "major"),
+        issue((F.size(f.cadastral(raw)) == 0) & (f.address(raw) == ""), "error", "object", "critical"),
         issue(~f.has_any(t.normal(raw), SIGNED), "warning", "signature", "minor"),
     ]
-    return issue_rows(docs, t.strip(raw) == "", found)
+    return unless_blank(raw, as_array(found))
 
 
-def issue_rows(docs: DataFrame, blank: Column, found: list[Column]) -> DataFrame:
+def unless_blank(raw: Column, found: Column) -> Column:
     """A document without text has that one issue."""
-    every = F.when(blank, F.array(issue(F.lit(True), "error", "text", "major"))).otherwise(F.array_compact(F.array(*found)))
-    return docs.select("case_id", F.explode(every).alias("i")).select("case_id", "i.*")
+    return F.when(~raw.rlike("(?U)\\S"), F.array(issue(F.lit(True), "error", "text", "critical"))).otherwise(found)
 
 
-def verdict(cases: DataFrame, issues: DataFrame) -> DataFrame:
-    """case_id, score, status, n_errors, n_warnings of every case."""
-    error, critical = F.col("level") == "error", F.col("severity") == "critical"
-    cost = F.when(error & critical, PENALTY["critical"]).when(error, PENALTY["error"]).otherwise(PENALTY["warning"])
-    by = issues.groupBy("case_id").agg(F.sum(cost).alias("cost"), F.count_if(error).alias("n_errors"), F.count_if(~error).alias("n_warnings"))
-    d = cases.select("case_id").join(by, "case_id", "left").na.fill(0)
+def rows(docs: DataFrame, checks: Column) -> DataFrame:
+    return docs.select("case_id", F.explode(checks).alias("i")).select("case_id", "i.*")
+
+
+def auction_issues(docs: DataFrame) -> DataFrame:
+    """case_id, text -> case_id, level, field, severity."""
+    return rows(docs, auction_checks(t.text("text")))
+
+
+def register_issues(docs: DataFrame, as_of: str, max_days: int) -> DataFrame:
+    """case_id, text of extracts from the register -> issues; an extract may be max_days old on the day as_of."""
+    return rows(docs, register_checks(t.text("text"), as_of, max_days))
+
+
+def approval_issues(docs: DataFrame) -> DataFrame:
+    """case_id, text of approvals -> issues."""
+    return rows(docs, approval_checks(t.text("text")))
+
+
+def cost(level: Column, severity: Column) -> Column:
+    error = level == "error"
+    return F.when(error & (severity == "critical"), PENALTY["critical"]).when(error, PENALTY["error"]).otherwise(PENALTY["warning"])
+
+
+def verdict_of(by: DataFrame) -> DataFrame:
+    """case_id, cost, n_errors, n_warnings -> case_id, score, status, n_errors, n_warnings."""
     status = F.when(F.col("n_errors") > 0, "failed").when(F.col("n_warnings") > 0, "warnings").otherwise("passed")
-    return d.select("case_id", F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("cost"))).cast("int").alias("score"), status.alias("status"), "n_errors", "n_warnings")
+    return by.select("case_id", F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("cost"))).cast("int").alias("score"), status.alias("status"), "n_errors", "n_warnings")
+
+
+def verdict(cases: DataFrame, issues: DataFrame) -> DataFrame:
+    """The verdict of every case from rows of issues."""
+    error = F.col("level") == "error"
+    by = issues.groupBy("case_id").agg(F.sum(cost(F.col("level"), F.col("severity"))).alias("cost"), F.count_if(error).alias("n_errors"), F.count_if(~error).alias("n_warnings"))
+    return verdict_of(cases.select("case_id").join(by, "case_id", "left").na.fill(0))
+
+
+def scored(docs: DataFrame, checks: Column) -> DataFrame:
+    """The verdict of every document (case_id) with its issues as an array: one pass, no rows of issues."""
+    d = docs.select("case_id", checks.alias("i"))
+    errors = F.size(F.filter("i", lambda x: x["level"] == "error"))
+    total = F.aggregate("i", F.lit(0), lambda acc, x: acc + cost(x["level"], x["severity"]))
+    return verdict_of(d.select("case_id", total.alias("cost"), errors.cast("long").alias("n_errors"), (F.size("i") - errors).cast("long").alias("n_warnings")))
 
 
 def cross_issues(cases: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from tessera.operators import policy, rules
 from tessera.plans import record_queries as records
 from tessera.plans import retrieval_queries as retrieval
 from tessera.plans.common import table
-from tessera.plans.record_queries import AS_OF, AREAS_SQL, CADASTRAL_SQL, DATES_SQL, EDGE, MONEY_SQL, PAPERS, values
+from tessera.plans.record_queries import ADDRESS_SQL, AREAS_SQL, AS_OF, CADASTRAL_SQL, DATES_SQL, MONEY_SQL, OWNER_SQL, PAPERS, values
 from tessera.plans.text_queries import STRIP
 
 NOTES = [
@@ -143,55 +143,59 @@ def strong_promotion(spark, sf_dir):
     return retrieval.r.ranked(retrieval.hits(spark, sf_dir)).where("tier = 1").select("query_id", "id", "any_strong", strong.alias("strong"))
 
 
-SIGNED = ["подпис", "директор", "руководител", "утвержда", "согласован"]
-DATED_SQL = f"""dated AS (SELECT doc_id, max(d) AS latest, count(d) AS n_dates FROM (SELECT doc_id, TRY_CAST((CASE WHEN CAST(p[3] AS INT) < 100 THEN CAST(p[3] AS INT) + 2000 ELSE CAST(p[3] AS INT) END) || '-' || p[2] || '-' || p[1] AS DATE) AS d
-FROM (SELECT doc_id, string_split(replace(x, '/', '.'), '.') AS p FROM (SELECT doc_id, unnest({DATES_SQL}) AS x FROM texts WHERE doc_id < 0))) GROUP BY doc_id)"""
+DATED_SQL = f"""dated AS (SELECT doc_id, max(d) AS latest FROM (SELECT doc_id, TRY_CAST((CASE WHEN CAST(p[3] AS INT) < 100 THEN CAST(p[3] AS INT) + 2000 ELSE CAST(p[3] AS INT) END) || '-' || p[2] || '-' || p[1] AS DATE) AS d
+FROM (SELECT doc_id, string_split(replace(x, '/', '.'), '.') AS p FROM (SELECT doc_id, unnest({DATES_SQL}) AS x FROM texts))) GROUP BY doc_id)"""
+FIELDS_SQL = f"""WITH {TEXTS_SQL}, {DATED_SQL}, fielded AS (SELECT doc_id, text, {CADASTRAL_SQL} AS keys, {AREAS_SQL} AS areas, {MONEY_SQL} AS prices, len(regexp_extract_all(text, '{records.TERM_PATTERN}')) AS n_terms,
+{ADDRESS_SQL} AS address, {OWNER_SQL} AS owner, latest, {any_sql(rules.SIGNED, "replace(lower(text), 'ё', 'е')")} AS signed FROM texts LEFT JOIN dated USING (doc_id))"""
 
 
 @query(
     "field_bundles",
-    f"""WITH {TEXTS_SQL} SELECT doc_id, coalesce({CADASTRAL_SQL}[1], '') AS cadastral, CAST(len({CADASTRAL_SQL}) AS INT) AS n_cadastral, {AREAS_SQL}[1] AS area, CAST(len({AREAS_SQL}) AS INT) AS n_areas, CAST(len({MONEY_SQL}) AS INT) AS n_prices,
-CAST(len(regexp_extract_all(text, '(?i)(\\d+)\\s*(?:лет|года|год|месяц(?:ев|а)?|мес\\.?){EDGE}', 1)) AS INT) AS n_terms, {any_sql(SIGNED, "replace(lower(text), 'ё', 'е')")} AS signed FROM texts""",
+    FIELDS_SQL + """ SELECT doc_id, coalesce(keys[1], '') AS cadastral, CAST(len(keys) AS INT) AS n_cadastral, address, owner, areas[1] AS area, CAST(len(areas) AS INT) AS n_areas, CAST(len(prices) AS INT) AS n_prices,
+CAST(n_terms AS INT) AS n_terms, CAST(latest AS TIMESTAMP) AS latest, signed FROM fielded""",
 )
 def field_bundles(spark, sf_dir):
     """The fields of auction papers, registers and approvals in one pass over the texts."""
     c = F.col("text")
-    first = lambda a, blank: F.coalesce(F.get(a, F.lit(0)), blank)
-    return texts(spark, sf_dir).select(
-        "doc_id", first(f.cadastral(c), F.lit("")).alias("cadastral"), F.size(f.cadastral(c)).alias("n_cadastral"), F.get(f.areas(c), F.lit(0)).alias("area"), F.size(f.areas(c)).alias("n_areas"),
-        F.size(f.money(c)).alias("n_prices"), F.size(f.terms(c)).alias("n_terms"), f.has_any(t.normal(c), SIGNED).alias("signed"),
+    lists = F.struct(f.cadastral(c).alias("keys"), f.areas(c).alias("areas"), F.size(f.money(c)).alias("n_prices"), F.size(f.terms(c)).alias("n_terms"), F.array_max(f.dates(c)).alias("latest"))
+    d = texts(spark, sf_dir).select("doc_id", "text", t.bind(lists, lambda x: x).alias("x"))
+    return d.select(
+        "doc_id", F.coalesce(F.get("x.keys", F.lit(0)), F.lit("")).alias("cadastral"), F.size("x.keys").alias("n_cadastral"), f.address(c).alias("address"), f.owner(c).alias("owner"), F.get("x.areas", F.lit(0)).alias("area"),
+        F.size("x.areas").alias("n_areas"), "x.n_prices", "x.n_terms", F.col("x.latest").cast("timestamp_ntz").alias("latest"), f.has_any(F.replace(F.lower(c), F.lit("ё"), F.lit("е")), rules.SIGNED).alias("signed"),
     )
 
 
-@query("register_issues")
+def issues_sql(checks: list[tuple[str, str, str, str]]) -> str:
+    """Rows of the checks (test, level, field, severity), or one for a text that is blank."""
+    every = " UNION ALL ".join(f"SELECT doc_id AS case_id, '{level}' AS level, '{field}' AS field, '{severity}' AS severity, {test} AS bad, text FROM fielded" for test, level, field, severity in checks)
+    blank = f"{STRIP.format('text')} = ''"
+    return f"{FIELDS_SQL} SELECT case_id, level, field, severity FROM ({every}) WHERE bad AND NOT {blank} UNION ALL SELECT doc_id, 'error', 'text', 'critical' FROM fielded WHERE {blank}"
+
+
+REGISTER_SQL = issues_sql([
+    ("len(keys) = 0", "error", "cadastral", "critical"), ("address = ''", "warning", "address", "minor"), (f"(owner = '' OR NOT {any_sql(rules.PUBLIC, 'lower(owner)')})", "warning", "owner", "minor"),
+    (any_sql(rules.BURDENS), "warning", "encumbrances", "minor"), (f"coalesce(latest < DATE '{AS_OF[:10]}' - 30, false)", "error", "extract_date", "critical"), ("latest IS NULL", "warning", "extract_date", "minor"),
+])
+APPROVAL_SQL = issues_sql([("latest IS NULL", "warning", "date", "minor"), ("(len(keys) = 0 AND address = '')", "error", "object", "critical"), ("NOT signed", "warning", "signature", "minor")])
+
+
+@query("register_issues", REGISTER_SQL)
 def register_issues(spark, sf_dir):
     return rules.register_issues(texts(spark, sf_dir).withColumnRenamed("doc_id", "case_id"), AS_OF[:10], 30)
 
 
-@query("approval_issues")
+@query("approval_issues", APPROVAL_SQL)
 def approval_issues(spark, sf_dir):
     return rules.approval_issues(texts(spark, sf_dir).withColumnRenamed("doc_id", "case_id"))
 
 
-@query(
-    "issue_caps",
-    f"WITH {records.CASES_SQL}, i AS ({records.ISSUES_SQL}) SELECT case_id, level, field FROM (SELECT *, row_number() OVER (PARTITION BY case_id, level ORDER BY field) AS n FROM i) WHERE n <= 3",
-)
-def issue_caps(spark, sf_dir):
-    d = rules.auction_issues(records.papers(spark, sf_dir)).withColumn("position", F.col("field"))
-    return policy.capped(d, 3).select("case_id", "level", "field")
-
-
-ANSWERS = [
-    (1, '{"answer": "да"}'), (2, '[{"output": {"text": " нет "}}]'), (3, '{"choices": [{"message": {"content": "выбор"}}]}'), (4, '{"json": {"reply": "r"}}'), (5, '{"data": {"x": 1}}'), (6, "[]"), (7, "null"), (8, ""), (9, "просто текст"),
-    (10, '{"answer": "", "result": "итог"}'), (11, '"[object Object]"'), (12, '{"candidates": [{"body": "c"}]}'),
-]
-
+FOUND_SQL = "SELECT d.source AS case_id, doc_id, CASE WHEN l.quality = 0 THEN 'error' ELSE 'warning' END AS level FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0 OR l.toxic = 1"
+CAPS_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in policy.CAPS.items())
 
-@query("answer_extraction")
-def answer_extraction(spark, sf_dir):
-    """The text and class of each answer, of stated ones and of all turns."""
-    from tessera.operators import answers
 
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 100).alias("id"), F.concat(F.lit('{"output": {"text": '), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit("}}")).alias("payload"))
-    return answers.extracted(spark.createDataFrame(ANSWERS, "id long, payload string").unionByName(turns))
+@query("issue_caps", f"SELECT case_id, level, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id, level ORDER BY doc_id) AS n FROM ({FOUND_SQL})) WHERE n <= CASE level {CAPS_SQL} END")
+def issue_caps(spark, sf_dir):
+    """The issues that a report of each source shows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("case_id")).join(table(spark, sf_dir, "labels"), "doc_id").where("quality = 0 OR toxic = 1")
+    d = d.select("case_id", "doc_id", F.when(F.col("quality") == 0, "error").otherwise("warning").alias("level"), F.col("doc_id").alias("position"))
+    return policy.capped(d).select("case_id", "level", "doc_id")

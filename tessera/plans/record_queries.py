@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions import charsets
 from tessera.functions import fields as f
 from tessera.functions import text as t
-from tessera.operators import records, rules, sections, state
+from tessera.operators import rules, sections, state
 from tessera.plans.common import table
 from tessera.plans.text_queries import STRIP
 
@@ -28,14 +26,6 @@ BOOKS = [
     (2, "см. (РАЗДЕЛ № 3)\nраздел 3: ТЗ\nописание\r\nраздел 4 Проект\nдоговор\nраздел 5 Формы\nраздел 6 НМЦ\nраздел 1\nраздел 2"),
     (3, "без разделов"),
 ]
-REPORTS = [
-    (1, json.dumps([{"output": [{"Приоритет": "1", "Код статьи": "10", "Наименование статьи": "А", "Годовой лимит": "1200.5", "Текущий лимит": "100", "Факт": "40"}, {"Приоритет": "1", "Код статьи": "10", "Наименование статьи": "Б", "Текущий лимит": "7"}, {"x": "y"}]}], ensure_ascii=False)),
-    (2, json.dumps([{"output": {"Приоритет": "2", "Код статьи": "11", "Годовой лимит": "5"}}], ensure_ascii=False)),
-    (3, json.dumps([{"Приоритет": "3", "Код статьи": "12", "Факт": "1"}, {"Код статьи": "12"}], ensure_ascii=False)),
-    (4, "[]"), (5, "[object Object]"), (6, "null"), (7, ""),
-]
-
-
 def values(rows: list[tuple], names: str) -> str:
     lit = lambda v: "NULL" if v is None else (str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''") + "'")
     return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) v({names}))"
@@ -72,23 +62,26 @@ def extract_money(spark, sf_dir):
     return papers(spark, sf_dir).select("case_id", f.money(F.col("text")).alias("found"))
 
 
-TERM_PATTERN = f"(?i)(\\d+)\\s*(лет|года|год|месяц(?:ев|а)?|мес\\.?){EDGE}"
+#: A unit's point counts only where a letter follows it; what ends a unit is read with it.
+TERM_PATTERN = f"(?i)\\d+\\s*(?:мес\\.[\\p{{L}}\\p{{N}}_]|(?:лет|года|год|мес|месяц(?:ев|а)?){EDGE})"
+UNIT_SQL = "CASE WHEN regexp_matches(x, '(?i)мес\\.[\\p{L}\\p{N}_]$') THEN 'мес.' ELSE lower(regexp_extract(x, '(?i)(лет|года|год|месяц(?:ев|а)?|мес)', 1)) END"
 
 
 @query(
     "extract_terms",
-    f"SELECT case_id, unnest(regexp_extract_all(text, '{TERM_PATTERN}', 1)) AS n, lower(unnest(regexp_extract_all(text, '{TERM_PATTERN}', 2))) AS unit FROM {PAPERS_SQL}",
+    f"SELECT case_id, regexp_extract(x, '^\\d+') AS n, {UNIT_SQL} AS unit FROM (SELECT case_id, unnest(regexp_extract_all(text, '{TERM_PATTERN}')) AS x FROM {PAPERS_SQL})",
 )
 def extract_terms(spark, sf_dir):
     return papers(spark, sf_dir).select("case_id", F.explode(f.terms(F.col("text"))).alias("x")).select("case_id", F.col("x.n").cast("string").alias("n"), "x.unit")
 
 
-DATES_SQL = "regexp_extract_all(text, '(\\d{1,2}[./]\\d{1,2}[./]\\d{2,4})', 1)"
+#: All letters as x, so that the ends of words are those of ASCII.
+DATES_SQL = "regexp_extract_all(regexp_replace(text, '[\\p{L}\\p{Nl}\\p{No}]', 'x', 'g'), '\\b\\d{1,2}[./]\\d{1,2}[./]\\d{2,4}\\b')"
 
 
 @query(
     "extract_dates",
-    f"""SELECT case_id, max(d) AS latest, count(d) AS n FROM (SELECT case_id, TRY_CAST((CASE WHEN CAST(p[3] AS INT) < 100 THEN CAST(p[3] AS INT) + 2000 ELSE CAST(p[3] AS INT) END) || '-' || p[2] || '-' || p[1] AS DATE) AS d
+    f"""SELECT case_id, CAST(max(d) AS TIMESTAMP) AS latest, count(d) AS n FROM (SELECT case_id, TRY_CAST((CASE WHEN CAST(p[3] AS INT) < 100 THEN CAST(p[3] AS INT) + 2000 ELSE CAST(p[3] AS INT) END) || '-' || p[2] || '-' || p[1] AS DATE) AS d
 FROM (SELECT case_id, string_split(replace(x, '/', '.'), '.') AS p FROM (SELECT case_id, unnest({DATES_SQL}) AS x FROM {PAPERS_SQL}))) WHERE d IS NOT NULL GROUP BY case_id""",
 )
 def extract_dates(spark, sf_dir):
@@ -96,7 +89,16 @@ def extract_dates(spark, sf_dir):
     return d.select("case_id", F.array_max("d").cast("timestamp_ntz").alias("latest"), F.size("d").cast("long").alias("n"))
 
 
-@query("extract_hints")
+LINES_SQL = "string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]')"
+LINE_SQL = lambda test: STRIP.format(f"list_filter({LINES_SQL}, lambda x: {test})[1]")
+ADDRESS_SQL = "coalesce({}, {}, '')".format(
+    LINE_SQL(f"regexp_matches(x, '(?i)адрес|местоположен|расположен') AND length({STRIP.format('x')}) > 15"),
+    LINE_SQL(f"regexp_matches(x, '(?i){BEFORE}(?:(?:ул|пр|пер|г|обл)\\.[\\p{{L}}\\p{{N}}_]|район{EDGE})')"),
+)
+OWNER_SQL = f"coalesce({LINE_SQL("regexp_matches(x, '(?i)собственник|правообладатель') OR (regexp_matches(x, '(?i)росимущество|фгуп|муницип|российск') AND length(x) > 20)")}, '')"
+
+
+@query("extract_hints", f"SELECT case_id, {ADDRESS_SQL} AS address, {OWNER_SQL} AS owner FROM {PAPERS_SQL}")
 def extract_hints(spark, sf_dir):
     return papers(spark, sf_dir).select("case_id", f.address(F.col("text")).alias("address"), f.owner(F.col("text")).alias("owner"))
 
@@ -106,10 +108,10 @@ ISSUES_SQL = "SELECT case_id, level, field, severity FROM (" + " UNION ALL ".joi
     + [f"SELECT case_id, 'warning', '{n}', 'minor', NOT ({' OR '.join(f"contains(contract, '{w}')" for w in ws)}) FROM p" for n, ws in rules.CLAUSES.items()]
     + [
         f"SELECT case_id, 'error', 'cadastral', 'critical', len({CADASTRAL_SQL}) = 0 FROM p",
-        "SELECT case_id, 'warning', 'address', 'minor', NOT regexp_matches(text, '(?i)адрес|местоположен|расположен') FROM p",
+        f"SELECT case_id, 'warning', 'address', 'minor', {ADDRESS_SQL} = '' FROM p",
         f"SELECT case_id, 'warning', 'area', 'minor', len({AREAS_SQL}) = 0 FROM p",
         f"SELECT case_id, 'warning', 'price', 'minor', len({MONEY_SQL}) = 0 FROM p",
-        f"SELECT case_id, 'warning', 'lease_term', 'minor', NOT regexp_matches(text, '(?i)\\d+\\s*(лет|года|год|месяц(ев|а)?|мес\\.?){EDGE}') FROM p",
+        f"SELECT case_id, 'warning', 'lease_term', 'minor', NOT regexp_matches(text, '{TERM_PATTERN}') FROM p",
     ]
 ) + ") WHERE bad"
 LOW_SQL = "trim(regexp_replace(replace(lower({}), 'ё', 'е'), '\\s+', ' ', 'g'))"
@@ -128,7 +130,7 @@ count(*) FILTER (WHERE level = 'error') AS e, count(*) FILTER (WHERE level <> 'e
 
 @query("validation_score", f"WITH {CASES_SQL}, issues AS ({ISSUES_SQL}), cases AS (SELECT case_id FROM p) {VERDICT_SQL}")
 def validation_score(spark, sf_dir):
-    return rules.verdict(papers(spark, sf_dir), rules.auction_issues(papers(spark, sf_dir)))
+    return rules.scored(papers(spark, sf_dir), rules.auction_checks(F.col("text")))
 
 
 @query(
@@ -186,16 +188,6 @@ def required_minus_found(spark, sf_dir):
     return d.select("doc_id", F.array_join("detected", ",").alias("detected"), F.array_join("missing", ",").alias("missing"), "structure_ok")
 
 
-@query("json_articles")
-def json_articles(spark, sf_dir):
-    return records.articles(spark.createDataFrame(REPORTS, "id int, payload string"))
-
-
-@query("article_dedupe")
-def article_dedupe(spark, sf_dir):
-    return records.with_remainder(records.first_of_each(records.articles(spark.createDataFrame(REPORTS, "id int, payload string"))))
-
-
 @query("json_flatten", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def json_flatten(spark, sf_dir):
     k = F.try_variant_get(F.try_parse_json("props"), "$.k", "int")

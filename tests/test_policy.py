@@ -1,6 +1,5 @@
 """Operators without SQL against plain versions, and stated cases."""
 
-import json
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -8,21 +7,8 @@ from pyspark.sql import functions as F
 from tessera.functions import display
 from tessera.functions import lexicon as lx
 from tessera.functions import text as t
-from tessera.operators import answers, lexical, rules
-from tessera.plans.policy_queries import ANSWERS, NOTES
-
-BLANK = ("", "[]", "{}", "null", '""')
-
-
-def test_answers(spark):
-    deep = json.dumps({"output": [{"json": {"content": "глубоко"}}]}, ensure_ascii=False)
-    d = spark.createDataFrame([*ANSWERS, (20, deep), (21, '{"answer": 5}'), (22, None)], "id long, payload string")
-    got = {r.id: (r.kind, r.answer) for r in answers.extracted(d).collect()}
-    want = {
-        1: ("answer", "да"), 2: ("answer", "нет"), 3: ("answer", "выбор"), 4: ("answer", "r"), 5: ("unknown", None), 6: ("empty", None), 7: ("empty", None), 8: ("empty", None),
-        9: ("plain", "просто текст"), 10: ("answer", "итог"), 11: ("object", None), 12: ("answer", "c"), 20: ("answer", "глубоко"), 21: ("answer", "5"), 22: ("empty", None),
-    }
-    assert got == want
+from tessera.operators import lexical, rules
+from tessera.plans.policy_queries import NOTES
 
 
 def test_registers_and_approvals(spark):
@@ -38,6 +24,8 @@ def test_registers_and_approvals(spark):
     # 31 days old is too old, 30 is not.
     edge = spark.createDataFrame([(1, "21.12.2023"), (2, "20.12.2023")], "case_id long, text string")
     assert {r.case_id for r in rules.register_issues(edge, "2024-01-20", 30).collect() if r.field == "extract_date"} == {2}
+    # What a severity defaults to.
+    assert {r.severity for r in rules.register_issues(d, "2024-01-20", 30).collect() if r.level == "error"} == {"critical"}
     approval = by(rules.approval_issues(d).collect())
     assert approval[5] == [] and approval[6] == [("error", "object"), ("warning", "date"), ("warning", "signature")]
 

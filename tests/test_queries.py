@@ -56,13 +56,6 @@ def test_sections(spark):
     assert missing[1] == ("tz,contract,forms,nmcd", False)
 
 
-def test_articles(spark):
-    found = sorted(rows(spark, "json_articles"))
-    assert [(r[0], r[3]) for r in found] == [(1, "10"), (1, "10"), (2, "11"), (3, "12")]
-    first = sorted(rows(spark, "article_dedupe"))
-    assert [(r[0], r[4], r[-1]) for r in first] == [(1, "А", 60.0), (2, None, None), (3, None, None)]
-
-
 def test_hints(spark):
     found = {r[0]: r[1:] for r in rows(spark, "extract_hints")}
     assert found[1] == ("Адрес: г. Москва, ул. Ленина, д. 5", "")
