@@ -33,7 +33,14 @@ from .exchange import CHUNK_BYTES, FRAME, Route, pack, pack_sorted, pieces_of, s
 
 HEAD, HEAD_CLASSES, TAIL, HIDDEN = 2048, 32, 32, 16
 CLASSES = HEAD_CLASSES + TAIL
-STREAMS, STEPS, RATE, ROUNDS = 96, 16, 0.25, 1
+STREAMS, STEPS, RATE, ROUNDS = 96, 16, 0.1, 2
+#: A task starts with so many streams, and takes another one each so many tokens: few tokens still make many steps.
+FIRST, GROW = 8, 2048
+#: The largest norm of a step's gradient of the mean loss.
+CLIP = 0.3
+#: Of the documents that a round doesn't train on, one in so many, but at least so many (all where there are fewer), say how far to go
+#: from the old weights to the averaged ones.
+JUDGES, FEWEST, REACH = 16, 200, (0.0, 1.0, 2.0, 4.0)
 #: How many times STEPS a window may have.
 LONGER = 16
 #: Tokens from which on a document trains before the others, and tokens of which a task knows the lengths ahead.
@@ -103,7 +110,9 @@ class Vocabulary:
     def start_weights(self) -> list[np.ndarray]:
         rng = np.random.default_rng(5)
         small = lambda *shape: (rng.standard_normal(shape) * 0.08).astype(np.float32)
-        mass = np.append(np.bincount(self.band, self.counts, HEAD_CLASSES) if len(self.band) else np.zeros(HEAD_CLASSES), np.maximum(self.tail_n, 0)) + 0.5
+        # Smoothed as the base is, so that untrained weights score as it does.
+        head = np.bincount(self.band, self.counts + SMOOTH, HEAD_CLASSES) if len(self.band) else np.zeros(HEAD_CLASSES)
+        mass = np.append(head, np.maximum(self.tail_n, 0) + SMOOTH * (np.maximum(self.tail_v, 0) + 1)) + 1e-9
         share = np.log(mass / mass.sum())
         # A band without words gets no part of the probability.
         share[:HEAD_CLASSES][np.diff(self.first) == 0] = -40.0
@@ -161,16 +170,22 @@ class Network:
         start, sums = HEAD + TAIL, [np.full_like(w, 1e-3) for w in self.w]
         streams: list[np.ndarray] = []
         at: list[int] = []
+        ended_at_all = False
         for d in docs:
             streams.append(d)
             at.append(0)
-            if len(streams) == STREAMS:
+            if len(streams) == FIRST:
                 break
         h, tokens = np.zeros((len(streams), HIDDEN), np.float32), 0
         while streams:
+            wanted = min(STREAMS, FIRST + tokens // GROW)
+            while not ended_at_all and len(streams) < wanted and (d := next(docs, None)) is not None:
+                streams.append(d)
+                at.append(0)
+            h = np.concatenate([h, np.zeros((len(streams) - len(h), HIDDEN), np.float32)])
             n = len(streams)
             # Windows grow where few streams are left, so that long documents don't take a step of the optimiser for a few tokens.
-            steps = STEPS * min(LONGER, max(1, STREAMS // n))
+            steps = STEPS * min(LONGER, max(1, wanted // n))
             x = np.full((steps, n), start)
             y = np.full((steps, n), -1)
             fresh = np.zeros((steps, n), bool)
@@ -198,6 +213,7 @@ class Network:
             tokens += int((y >= 0).sum())
             h = self.window(x, y, fresh, h, sums)
             if ended:
+                ended_at_all = True
                 h = np.delete(h, ended, axis=0)
                 for s in reversed(ended):
                     del streams[s], at[s]
@@ -205,8 +221,11 @@ class Network:
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
         """Trains on a window (steps, streams) from the streams' states h, and returns their new states."""
-        # Each token weighs the same, also where few streams are left.
-        grads, used, h = self.gradients(x, y, fresh, h, np.float32(1 / (STEPS * STREAMS)))
+        grads, used, h = self.gradients(x, y, fresh, h, np.float32(1 / max(1, np.count_nonzero(y >= 0))))
+        norm = float(np.sqrt(sum(np.vdot(g, g) for g in grads)))
+        if norm > CLIP:
+            for g in grads:
+                g *= np.float32(CLIP / norm)
         sums[0][used] += grads[0] * grads[0]
         self.w[0][used] -= RATE * grads[0] / np.sqrt(sums[0][used])
         for k in range(1, len(grads)):
@@ -516,10 +535,30 @@ def long_first(docs: list[np.ndarray]) -> list[np.ndarray]:
     return sorted(docs, key=lambda d: -len(d) if len(d) >= LONG else 0)
 
 
+def judges(doc_id: int, turn: int, docs: int) -> bool:
+    share = max(1 / JUDGES, min(1.0, FEWEST / max(1, docs)))
+    return turn_of(doc_id) != turn and xxhash.xxh32_intdigest(str(doc_id).encode(), 9) < share * (1 << 32)
+
+
+def indexed(r: dict, wanted: Callable[[int], bool]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word indexes, and numbers of words in the chunk, of the training documents of a row of READY that are wanted."""
+    words, index = unpack(r["words"])[0], unpack(r["word_index"])[0]
+    stop = np.cumsum(r["size"])
+    for i, k, e in zip(r["doc_id"], r["size"], stop, strict=True):
+        if fold(i) and wanted(i):
+            yield index[words[e - k : e]], words[e - k : e]
+
+
 def trained(chunks: DataFrame, v: Vocabulary) -> list[np.ndarray]:
-    """chunks: READY."""
+    """chunks: READY.
+
+    Every round, tasks train on their documents of the round's turn, and weights are averaged.  Documents of other turns judge how far
+    to go towards the average: not at all where it makes them less likely, further than it where many tasks with few documents
+    each made small steps.  So a split into more tasks doesn't make the model worse than untrained.
+    """
     sc = chunks.sparkSession.sparkContext
     weights = v.start_weights()
+    docs = chunks.agg(F.sum(F.size("doc_id"))).first()[0] or 0
     for turn in range(ROUNDS):
         shared = sc.broadcast((flat(weights), v))
 
@@ -532,10 +571,8 @@ def trained(chunks: DataFrame, v: Vocabulary) -> list[np.ndarray]:
                 n = 0
                 for batch in batches:
                     for r in batch.to_pylist():
-                        flat_ = unpack(r["word_index"])[0][unpack(r["words"])[0]]
-                        stop = np.cumsum(r["size"])
-                        held += [flat_[e - k : e] for i, k, e in zip(r["doc_id"], r["size"], stop, strict=True) if fold(i) and turn_of(i) == turn]
-                        n += len(flat_)
+                        held += [d for d, _ in indexed(r, lambda i: turn_of(i) == turn)]
+                        n += sum(r["size"])
                         if n >= HELD:
                             yield from long_first(held)
                             held, n = [], 0
@@ -548,11 +585,37 @@ def trained(chunks: DataFrame, v: Vocabulary) -> list[np.ndarray]:
 
         found = averaged(chunks.mapInArrow(run, "leaf int, n long, blob binary")).collect()
         if found:
-            weights = shaped(np.frombuffer(found[0]["blob"], np.float32), weights)
+            mean = np.frombuffer(found[0]["blob"], np.float32)
+            weights = shaped(reached(flat(weights), mean, judged(chunks, v, flat(weights), mean, turn, docs)), weights)
         shared.unpersist()
     return weights
 
 
+def reached(old: np.ndarray, mean: np.ndarray, reach: float) -> np.ndarray:
+    return old + np.float32(reach) * (mean - old)
+
+
+def judged(chunks: DataFrame, v: Vocabulary, old: np.ndarray, mean: np.ndarray, turn: int, docs: int) -> float:
+    """The REACH at which judging documents are likeliest, the smallest of equals: one row a task, and sums of those, to the driver."""
+    shared = chunks.sparkSession.sparkContext.broadcast((old, mean, v))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, mean, v = shared.value
+        nets = [Network(shaped(reached(old, mean, x), v.start_weights()), v) for x in REACH]
+        sums = np.zeros(len(REACH))
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = list(indexed(r, lambda i: judges(i, turn, docs)))
+                if held:
+                    n = unpack(r["n"])[0].astype(np.float64)
+                    sums += [net.log10([d.astype(np.int64) for d, _ in held], [n[w] for _, w in held]).sum() for net in nets]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in sums], names=[f"r{k}" for k in range(len(REACH))])
+
+    total_ = chunks.select("doc_id", "size", "words", "word_index", "n").mapInArrow(run, ", ".join(f"r{k} double" for k in range(len(REACH))))
+    row = total_.agg(*[F.sum(f"r{k}") for k in range(len(REACH))]).first()
+    return max(zip(REACH, row, strict=True), key=lambda x: (-np.inf if x[1] is None or not np.isfinite(x[1]) else x[1], -x[0]))[0]
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 

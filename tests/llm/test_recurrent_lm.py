@@ -158,3 +158,18 @@ def test_chunks(spark, monkeypatch, size, result):
     batches = d.toArrow().to_batches()
     assert len(list(r.numbered(iter(batches)))) > 3
     assert sorted(map(key, r.score(d).collect())) == sorted(map(key, rows))
+
+
+@pytest.mark.parametrize(("sf", "parts"), [("0.001", 1), ("0.001", 4), ("0.001", 16), ("0.01", 1), ("0.01", 4), ("0.01", 16)])
+def test_given_tables_are_likelier_than_by_counts(spark, sf, parts, monkeypatch):
+    """However the documents are split into tasks; at sf0.01 by a margin."""
+    from pyspark.sql import functions as F
+
+    real = r.materialise
+    monkeypatch.setattr(r, "materialise", lambda df: real(df).repartition(parts) if "word_index" in df.columns else real(df))
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").repartition(parts)
+    held = r.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    bits = [-x / held[2] * 3.3219280948873626 for x in held[:2]]
+    assert bits[0] < bits[1] + 1e-3
+    if (sf, parts) in (("0.01", 1), ("0.01", 4)):
+        assert bits[0] < bits[1] - 0.2
