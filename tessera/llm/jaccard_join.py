@@ -32,11 +32,13 @@ from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, materialise, table
 from .exchange import FRAME, PIECE, Route, bytes_of, chunks_of, mix, pack, pack_sorted, pieces_of, split_at, unpack, unpack_sorted
+from .graph import components
 
 N = 5
 THRESHOLD = 75
@@ -123,6 +125,7 @@ class Sets:
     def __init__(self, group: pa.Table) -> None:
         self.ids = [None if n else i for i, n in zip(group.column("doc_id").to_pylist(), group.column("no_id").to_pylist(), strict=True)]
         self.sets = shingle_sets(*bytes_of(group.column("body")))
+        self.bodies = group.column("body")
         self.sizes = np.array([len(s) for s in self.sets], np.int64)
         flat = np.concatenate(self.sets)
         self.names = set_ids(flat, self.sizes)
@@ -132,8 +135,17 @@ class Sets:
         distinct[first] = True
         self.counts = np.bincount(self.of[np.repeat(distinct, self.sizes)], minlength=len(self.hashes))
 
+    def text_hashes(self) -> np.ndarray:
+        """What text_hash() makes of the texts."""
+        return np.array([xxhash.xxh64_intdigest(b.as_buffer(), 42) for b in self.bodies], np.uint64).view(np.int64)
 
-DOCS = "doc_id long, n_shingles long, s1 long, s2 long, live binary, often binary, sketch binary"
+
+def text_hash():
+    """64 bits that tell the texts of rows with one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+DOCS = "doc_id long, n_shingles long, s1 long, s2 long, text_hash long, live binary, often binary, sketch binary"
 
 
 def send_shingles(n: int, route: Route):
@@ -166,7 +178,7 @@ def describe(group: pa.Table, answers: pa.Table) -> pa.Table:
     """DOCS; live: the shared shingles of a set that may link, often: how many sets each stands in (its bits)."""
     names = [c.split()[0] for c in DOCS.split(", ")]
     if not len(group):
-        return pa.table({c: pa.array([], pa.int64() if i < 4 else pa.binary()) for i, c in enumerate(names)})
+        return pa.table({c: pa.array([], pa.int64() if i < 5 else pa.binary()) for i, c in enumerate(names)})
     s = Sets(group)
     often = [unpack(blob)[0] for _, _, blob in pieces_of(answers)]
     often = (np.concatenate(often) if often else np.zeros(0, np.uint8))[s.of] if len(s.of) else np.zeros(0, np.uint8)
@@ -178,7 +190,7 @@ def describe(group: pa.Table, answers: pa.Table) -> pa.Table:
             live.append((pack_sorted(x[own > 0]), pack(own[own > 0]), sketch(x)))
         else:
             live.append((None, None, None))
-    cols = [pa.array(s.ids, pa.int64()), pa.array(s.sizes), pa.array(s.names[:, 0]), pa.array(s.names[:, 1]), *(pa.array(c, pa.binary()) for c in zip(*live, strict=True))]
+    cols = [pa.array(s.ids, pa.int64()), pa.array(s.sizes), pa.array(s.names[:, 0]), pa.array(s.names[:, 1]), pa.array(s.text_hashes()), *(pa.array(c, pa.binary()) for c in zip(*live, strict=True))]
     return pa.table(dict(zip(names, cols, strict=True)))
 
 
@@ -391,24 +403,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.select("a", "b", "size_a", "live_a", "size_b", "live_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, root: the least node that each node of the links reaches; alternating large and small stars."""
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = materialise(edges)
-    while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        own = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(own, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = materialise(small.where("u <> v").distinct())
-        if not new.exceptAll(edges).take(1) and not edges.exceptAll(new).take(1):
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = new
-
-
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    return classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, text_hash of every row, and r1, r2, which name its component."""
     spark = docs.sparkSession
     d, n = chunks_of(docs.select("doc_id", "text"))
     route = Route(n)
@@ -421,11 +422,11 @@ def joined(docs: DataFrame) -> DataFrame:
     span = sets.agg(F.max("size"), F.sum("size")).first()
     roots = linked(sets, *span) if span[0] else spark.createDataFrame([], "node long, root long")
     root = sets.select("s1", "s2", "node").join(roots, "node").join(sets.select(F.col("node").alias("root"), F.col("s1").alias("r1"), F.col("s2").alias("r2")), "root")
-    named = described.select("doc_id", "n_shingles", "s1", "s2").join(root.select("s1", "s2", "r1", "r2"), ["s1", "s2"], "left")
-    named = named.select("doc_id", "n_shingles", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2"))
+    named = described.select("doc_id", "n_shingles", "text_hash", "s1", "s2").join(root.select("s1", "s2", "r1", "r2"), ["s1", "s2"], "left")
+    named = named.select("doc_id", "n_shingles", "text_hash", F.coalesce("r1", "s1").alias("r1"), F.coalesce("r2", "s2").alias("r2"))
     least = named.where("n_shingles > 0").groupBy("r1", "r2").agg(F.min("doc_id").alias("least")).toDF("l1", "l2", "least")
     out = named.join(least, (F.col("r1") == F.col("l1")) & (F.col("r2") == F.col("l2")) & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "r1", "r2")
 
 
 def linked(sets: DataFrame, largest: int, shingles: int) -> DataFrame:
@@ -524,14 +525,19 @@ def pairs_apart(rows: pa.Table, few: int | None) -> list[np.ndarray]:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, one of each component: that of the least doc_id; of rows with its doc_id and text one.
+    """The documents, all columns, one of each component: the row with its least doc_id; of several such rows all with one text stay that
+    is least by hash, so that rows with a doc_id that differ in text are told apart; rows that are equal in all columns stay once.
 
     Documents without words and rows without a doc_id link with nothing that has one, and stay, equal rows once.
     """
-    out = joined(docs).where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")))
-    gone = fresh(docs, "gone_id")
-    out = materialise(out.select(F.col("doc_id").alias(gone)).distinct())
-    return docs.join(out, F.col("doc_id") == F.col(gone), "left_anti").dropDuplicates(["doc_id", "text"])
+    gone_id, gone_text = fresh(docs, "gone_id"), fresh(docs, "gone_text")
+    out = classes(docs).where("n_shingles > 0")
+    first = out.where("doc_id = component_id").select("doc_id", "text_hash", "r1", "r2").distinct()
+    lead = first.groupBy("r1", "r2").agg(F.min("text_hash").alias("lead"))
+    tied = first.join(lead, ["r1", "r2"]).where("text_hash <> lead").select("doc_id", "text_hash")
+    gone = out.where("doc_id <> component_id").select("doc_id", "text_hash")
+    gone = materialise(gone.union(tied).distinct().toDF(gone_id, gone_text))
+    return docs.join(gone, (F.col("doc_id") == F.col(gone_id)) & (text_hash() == F.col(gone_text)), "left_anti").distinct()
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

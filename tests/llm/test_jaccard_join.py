@@ -146,3 +146,11 @@ def test_pieces_find_their_way(spark, radix, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     assert chunks_of(d)[1] > radix
     assert sorted(map(tuple, joined(d).collect()), key=str) == brute(docs)
+
+
+def test_representatives_tell_rows_of_one_doc_id_apart(spark):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(3, one, "x"), (5, one, "x"), (5, other, "x"), (5, other, "y"), (5, other, "y"), (6, third, "x"), (6, third + " more", "x"), (7, None, "x"), (7, None, "x"), (None, one, "x")]
+    out = sorted(map(tuple, representatives(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()), key=str)
+    assert [r for r in out if r[0] in (3, 5, 7)] == [(3, one, "x"), (5, other, "x"), (5, other, "y"), (7, None, "x")]
+    assert len([r for r in out if r[0] == 6]) == 1 and (None, one, "x") in out
