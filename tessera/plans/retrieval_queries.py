@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.catalog import query
 from tessera.functions import scoring
+from tessera.operators import index
 from tessera.operators import retrieval as r
-from tessera.plans.common import table
+from tessera.plans.common import scratch, table
 
 EVERY = 20
 SIM_SQL = f"""q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % {EVERY} = 0),
@@ -47,6 +48,20 @@ def knn_topk(spark, sf_dir):
     return r.nearest(vectors(spark, sf_dir), stated(spark, sf_dir), 10).select("query_id", "id", "semantic", "rank")
 
 
+@query("knn_index")
+def knn_index(spark, sf_dir):
+    """The ten nearest by inverted lists of all vectors."""
+    path = scratch(spark, "lists")
+    c = index.build(vectors(spark, sf_dir), path)
+    return index.probed(stated(spark, sf_dir), path, c, 10)
+
+
+@query("knn_index_recall", f"SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % {EVERY} = 0")
+def knn_index_recall(spark, sf_dir):
+    """Whether the lists find nine of ten exact neighbours or more."""
+    return index.recall(knn_index(spark, sf_dir), r.nearest(vectors(spark, sf_dir), stated(spark, sf_dir), 10)).select("queries", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @query("knn_per_group", "WITH " + SIM_SQL + " SELECT query_id, file_id, id, semantic, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, file_id ORDER BY semantic DESC, id) AS rank FROM sim) WHERE rank <= 3")
 def knn_per_group(spark, sf_dir):
     return r.nearest(vectors(spark, sf_dir), stated(spark, sf_dir), 3, per_file=True).select("query_id", "file_id", "id", "semantic", "rank")
