@@ -39,7 +39,7 @@ from .common import fresh, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = 10.0
-CACHE = 200_000
+CACHE = 50_000
 N_BEST = 3
 #: Characters of the piece table; segments with others are solved one by one.
 DENSE = 192
