@@ -18,3 +18,17 @@ def stream_ring_buffer(spark, sf_dir):
 def stream_window_counts(spark, sf_dir):
     d = s.drained(s.window_counts(s.events(spark, sf_dir)), "update", ["start", "event_type"], scratch(spark, "windows"))
     return d.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+@query("stream_latest", "SELECT user_id, event_type, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2")
+def stream_latest(spark, sf_dir):
+    return s.drained(s.latest(s.events(spark, sf_dir)), "update", ["user_id", "event_type"], scratch(spark, "latest"))
+
+
+@query(
+    "stream_ttl",
+    "SELECT user_id, event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 24 HOURS, false) AS hit FROM events",
+)
+def stream_ttl(spark, sf_dir):
+    with s.rocks_db(spark):
+        return s.drained(s.lookups(s.events(spark, sf_dir), 24 * 3600 * 1000), "append", ["event_id"], scratch(spark, "ttl"))
