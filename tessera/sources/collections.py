@@ -45,6 +45,11 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = _file_system(spark, path)
+    return system.exists(target)
+
+
 def remove(spark: SparkSession, path: str, collection: str, file_id: str | None = None) -> bool:
     """Drops a file's partition, or the collection's; whether there was one.  Names that would lead elsewhere are an error."""
     where = f"{path}/collection={checked(collection)}" + ("" if file_id is None else f"/file_id={checked(file_id)}")

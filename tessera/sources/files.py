@@ -75,10 +75,9 @@ def pages_of(name: str, data: bytes, readers: dict[str, Reader]) -> tuple[list[s
     return (pages, None) if len(pages) <= MAX_PAGES else ([], "too many pages")
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """PAGES of all files under a path; a file without pages is one row with its error, one without bytes has no row."""
+def pages(files: DataFrame) -> DataFrame:
+    """PAGES of files (path, content); a file without pages is one row with its error, one without bytes has no row."""
     readers = dict(READERS)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     files = files.select(F.left(F.sha2("content", 256), F.lit(12)).alias("file_id"), safe_name(name).alias("filename"), F.sha2("content", 256).alias("sha256"), "content")
 
@@ -86,13 +85,17 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         for pdf in parts:
             rows = []
             for r in pdf.itertuples():
-                pages, error = pages_of(r.filename, bytes(r.content), readers)
-                rows += [(r.file_id, r.filename, r.sha256, n + 1, p, None) for n, p in enumerate(pages)] or [(r.file_id, r.filename, r.sha256, 0, "", error or "no text")]
+                found, error = pages_of(r.filename, bytes(r.content), readers)
+                rows += [(r.file_id, r.filename, r.sha256, n + 1, p, None) for n, p in enumerate(found)] or [(r.file_id, r.filename, r.sha256, 0, "", error or "no text")]
             yield pd.DataFrame(rows, columns=["file_id", "filename", "sha256", "page", "text", "error"])
 
     return files.mapInPandas(run, PAGES)
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return pages(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
 def export_text(rows: DataFrame, path: str) -> None:
     """Plain lines: text of the rows, in files of the partitions they are in."""
     rows.select("text").write.mode("overwrite").text(path)

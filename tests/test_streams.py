@@ -3,8 +3,9 @@
 import datetime as dt
 import time
 
-from pyspark.sql import functions as F
+import pytest
 
+from tessera.sources import collections, ingest
 from tessera.streaming import state_streams as s
 
 START = dt.datetime(2024, 1, 1)
@@ -59,3 +60,36 @@ def test_entries_expire_by_the_clock(spark, tmp_path):
     time.sleep(2)
     put(spark, short, "b", [(1, 2, 0)])
     assert run(spark, short, 1500, None)[2] is False
+
+
+def test_files_are_taken_in_once(spark, tmp_path, monkeypatch):
+    inbox, store, work = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "work")
+    inbox.mkdir()
+    stored = lambda: sorted((r.filename, r.chunk_index, r.page, r.text) for r in collections.read(spark, store, "law").collect())
+    (inbox / "a.txt").write_text("Положение\fо закупке")
+    (inbox / "b.txt").write_text("Положение\fо закупке")
+    (inbox / "long.txt").write_text("слово " * 400)
+    (inbox / "x.pdf").write_bytes(b"no pdf")
+    (inbox / "blank.txt").write_text(" \n")
+    ingest.ingest(spark, str(inbox), store, "law", work)
+    first = stored()
+    assert [x[:3] for x in first] == [("a.txt", 0, 1), ("a.txt", 1, 2), ("long.txt", 0, 1), ("long.txt", 1, 1), ("long.txt", 2, 1)]
+    assert {(r.filename, r.error) for r in ingest.errors(spark, work).collect()} == {("x.pdf", "not a PDF file"), ("blank.txt", "no text")}
+    # Again, with nothing new; then with another checkpoint.
+    ingest.ingest(spark, str(inbox), store, "law", work)
+    ingest.ingest(spark, str(inbox), store, "law", str(tmp_path / "other"))
+    assert stored() == first
+    # A batch that was cut behind its write runs again, and adds nothing twice.
+    (inbox / "c.txt").write_text("новое")
+    kept = collections.append
+
+    def cut(*args):
+        kept(*args)
+        raise RuntimeError("cut")
+
+    monkeypatch.setattr(collections, "append", cut)
+    with pytest.raises(Exception, match="cut"):
+        ingest.ingest(spark, str(inbox), store, "law", work)
+    monkeypatch.setattr(collections, "append", kept)
+    ingest.ingest(spark, str(inbox), store, "law", work, files_per_batch=1)
+    assert stored() == sorted([*first, ("c.txt", 0, 1, "новое")])
