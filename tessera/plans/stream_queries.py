@@ -37,14 +37,14 @@ def stream_ttl(spark, sf_dir):
 
 @query(
     "stream_ingest",
-    """WITH f AS (SELECT DISTINCT string_agg(coalesce(text, ''), chr(10) ORDER BY turn) || chr(10) AS text FROM conversations GROUP BY conv_id)
+    """WITH f AS (SELECT DISTINCT string_agg(coalesce(text, ''), chr(10) ORDER BY conv_id, turn) || chr(10) AS text FROM conversations GROUP BY conv_id // 16)
 SELECT left(sha256(text), 12) AS file_id, count(*) AS n_chunks FROM (SELECT text, unnest(generate_series(0, length(text) - 1, 1000)) AS start FROM f) WHERE regexp_matches(substr(text, start + 1, 1200), '\\S') GROUP BY text""",
 )
 def stream_ingest(spark, sf_dir):
-    """Every conversation becomes a text file; the files are taken in, twice, and chunks counted by file."""
-    said = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))["text"]
+    """Sixteen conversations after another become a text file; all files are taken in, twice, and chunks counted by file."""
+    said = F.array_sort(F.collect_list(F.struct("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))))["text"]
     folder = scratch(spark, "ingest")
-    table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(said, "\n").alias("text")).write.partitionBy("conv_id").text(f"{folder}/in")
+    table(spark, sf_dir, "conversations").groupBy(F.expr("conv_id DIV 16").alias("box")).agg(F.array_join(said, "\n").alias("text")).write.partitionBy("box").text(f"{folder}/in")
     for work in ("first", "second"):
         ingest.ingest(spark, f"{folder}/in", f"{folder}/store", "talks", f"{folder}/{work}")
     return collections.read(spark, f"{folder}/store", "talks").groupBy(F.col("file_id").cast("string").alias("file_id")).agg(F.count("*").alias("n_chunks"))
