@@ -32,7 +32,7 @@ def _load() -> None:
 
 
 #: Modules that register queries.
-MODULES = ["tessera.plans.text_queries", "tessera.plans.retrieval_queries", "tessera.plans.record_queries", "tessera.plans.stream_queries", "tessera.plans.lexical_queries", "tessera.plans.policy_queries", "tessera.plans.json_queries", "tessera.plans.search_queries", "tessera.plans.display_queries"]
+MODULES = ["tessera.plans.text_queries", "tessera.plans.retrieval_queries", "tessera.plans.record_queries", "tessera.plans.stream_queries", "tessera.plans.lexical_queries", "tessera.plans.policy_queries", "tessera.plans.json_queries", "tessera.plans.search_queries", "tessera.plans.display_queries", "tessera.plans.case_queries"]
 
 
 def queries() -> dict[str, Query]:
