@@ -45,15 +45,15 @@ def unlike(a: Column, b: Column, least: float) -> Column:
     return F.when(a == b, a == "").otherwise(F.coalesce(measured < least, F.lit(True)))
 
 
-def cross_issues(cases: DataFrame) -> DataFrame:
-    """case_id, auction, register, approval (texts) -> case_id, level, field, severity of what the documents disagree in.
+def crossed(cases: DataFrame) -> DataFrame:
+    """case_id, auction, register, approval (texts), and cross: an array of level, field, severity of what the documents disagree in.
 
     Identifiers: more than one, or known to one document only.  Addresses: any unlike that of the first document that has one.  Areas: apart by more than 5 %.
     Owner: neither like the auction's papers nor with a word of five letters in them.
     """
     first = lambda c: F.get(c, F.lit(0))
     d = cases.select(
-        "case_id",
+        "case_id", *KINDS,
         F.array_compact(F.array(*[first(f.cadastral(F.col(k))) for k in KINDS])).alias("keys"),
         F.filter(F.array(*[t.normal(f.address(F.col(k))) for k in KINDS]), lambda x: x != "").alias("places"),
         first(f.areas(F.col("auction"))).alias("a"),
@@ -61,14 +61,14 @@ def cross_issues(cases: DataFrame) -> DataFrame:
         t.normal(f.owner(F.col("register"))).alias("owner"),
         t.normal(F.col("auction")).alias("papers"),
         (F.col("auction") != "").alias("written"),
-    )
+    )
     place = lambda i: F.coalesce(F.get("places", F.lit(i)), F.get("places", F.lit(0)), F.lit(""))
     d = d.select("*", place(0).alias("p0"), place(1).alias("p1"), place(2).alias("p2"))
     c = {n: F.col(n) for n in ("keys", "places", "a", "b", "owner", "papers", "p0", "p1", "p2")}
     apart = (c["a"] != 0) & (c["b"] != 0) & (F.abs(c["a"] - c["b"]) / F.greatest("a", "b") > rules.AREA_TOLERANCE)
     named = F.exists(F.split("owner", " "), lambda w: (F.length(w) > 4) & F.contains(F.col("papers"), w))
     d = d.select(
-        "case_id", "keys",
+        "case_id", *KINDS, "keys",
         ((F.size("places") > 1) & (unlike(c["p0"], c["p1"], ADDRESS) | unlike(c["p0"], c["p2"], ADDRESS))).alias("moved"),
         F.coalesce(apart, F.lit(False)).alias("apart"),
         ((c["owner"] != "") & F.col("written") & ~named & unlike(c["owner"], c["papers"], LANDLORD)).alias("stranger"),
@@ -77,11 +77,15 @@ def cross_issues(cases: DataFrame) -> DataFrame:
         rules.issue(F.size(F.array_distinct("keys")) > 1, "error", "cadastral", "critical"), rules.issue(F.size("keys") == 1, "warning", "cadastral", "minor"), rules.issue(F.col("moved"), "error", "address", "critical"),
         rules.issue(F.col("apart"), "error", "area", "critical"), rules.issue(F.col("stranger"), "warning", "landlord", "minor"),
     ]
-    return rules.rows(d, rules.as_array(found))
+    return d.select("case_id", *KINDS, rules.as_array(found).alias("cross"))
+
+
+def cross_issues(cases: DataFrame) -> DataFrame:
+    """What ``crossed`` finds as rows: case_id, level, field, severity."""
+    return rules.rows(crossed(cases), F.col("cross"))
 
 
 def validated(cases: DataFrame, as_of: str, max_days: int) -> DataFrame:
-    """The verdict of every case of three documents: each one's own checks and the checks between them."""
-    checks = [rules.auction_checks(t.text("auction")), rules.register_checks(t.text("register"), as_of, max_days), rules.approval_checks(t.text("approval"))]
-    own = rules.rows(cases, F.concat(*checks))
-    return rules.verdict(cases, own.unionByName(cross_issues(cases)))
+    """The verdict of every case of three documents, in one pass: each one's own checks and those between them; and the number of the latter."""
+    checks = [rules.auction_checks(F.col("auction")), rules.register_checks(F.col("register"), as_of, max_days), rules.approval_checks(F.col("approval"))]
+    return rules.scored(crossed(cases).withColumn("n_cross", F.size("cross")), F.concat(*checks, F.col("cross")), "n_cross")

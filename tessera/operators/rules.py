@@ -119,10 +119,10 @@ def cost(level: Column, severity: Column) -> Column:
     return F.when(error & (severity == "critical"), PENALTY["critical"]).when(error, PENALTY["error"]).otherwise(PENALTY["warning"])
 
 
-def verdict_of(by: DataFrame) -> DataFrame:
-    """case_id, cost, n_errors, n_warnings -> case_id, score, status, n_errors, n_warnings."""
+def verdict_of(by: DataFrame, *kept: str) -> DataFrame:
+    """case_id, cost, n_errors, n_warnings -> case_id, score, status, n_errors, n_warnings, and columns that are kept."""
     status = F.when(F.col("n_errors") > 0, "failed").when(F.col("n_warnings") > 0, "warnings").otherwise("passed")
-    return by.select("case_id", F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("cost"))).cast("int").alias("score"), status.alias("status"), "n_errors", "n_warnings")
+    return by.select("case_id", F.greatest(F.lit(0), F.least(F.lit(100), 100 - F.col("cost"))).cast("int").alias("score"), status.alias("status"), "n_errors", "n_warnings", *kept)
 
 
 def verdict(cases: DataFrame, issues: DataFrame) -> DataFrame:
@@ -132,12 +132,12 @@ def verdict(cases: DataFrame, issues: DataFrame) -> DataFrame:
     return verdict_of(cases.select("case_id").join(by, "case_id", "left").na.fill(0))
 
 
-def scored(docs: DataFrame, checks: Column) -> DataFrame:
+def scored(docs: DataFrame, checks: Column, *kept: str) -> DataFrame:
     """The verdict of every document (case_id) with its issues as an array: one pass, no rows of issues."""
-    d = docs.select("case_id", checks.alias("i"))
+    d = docs.select("case_id", checks.alias("i"), *kept)
     errors = F.size(F.filter("i", lambda x: x["level"] == "error"))
     total = F.aggregate("i", F.lit(0), lambda acc, x: acc + cost(x["level"], x["severity"]))
-    return verdict_of(d.select("case_id", total.alias("cost"), errors.cast("long").alias("n_errors"), (F.size("i") - errors).cast("long").alias("n_warnings")))
+    return verdict_of(d.select("case_id", total.alias("cost"), errors.cast("long").alias("n_errors"), (F.size("i") - errors).cast("long").alias("n_warnings"), *kept), *kept)
 
 
 def cross_issues(cases: DataFrame) -> DataFrame:

@@ -21,7 +21,8 @@ TEXTS = {
 def three(spark, sf_dir):
     o, c, s = (table(spark, sf_dir, x) for x in ("orders", "customer", "supplier"))
     d = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("s_suppkey") == F.col("o_custkey") % 100)
-    return d.selectExpr("o_orderkey AS case_id", *[f"{text} AS {kind}" for kind, text in TEXTS.items()])
+    papers = [F.struct(F.lit(kind).alias("kind"), F.expr(text).alias("text")) for kind, text in TEXTS.items()]
+    return cases.of_three(d.select(F.col("o_orderkey").alias("case_id"), F.explode(F.array(*papers)).alias("d")).select("case_id", "d.*"))
 
 
 #: Addresses are equal or of lengths too far apart, owners far shorter than the papers, so that SQL can tell; tests measure what lies between.
@@ -37,11 +38,8 @@ def cross_validate_texts(spark, sf_dir):
 
 @query(
     "validate_case",
-    f"""WITH c AS ({CROSS_SQL}), n AS (SELECT case_id, count(*) FILTER (WHERE level = 'error') AS e, count(*) FILTER (WHERE level = 'warning') AS w FROM c GROUP BY case_id)
-SELECT o_orderkey AS case_id, CAST(coalesce(e, 0) AS BIGINT) AS cross_errors, CAST(coalesce(w, 0) AS BIGINT) AS cross_warnings, 'failed' AS status, CAST(0 AS INT) AS score FROM {TAKEN} LEFT JOIN n ON case_id = o_orderkey""",
+    f"WITH n AS (SELECT case_id, count(*) AS n FROM ({CROSS_SQL}) GROUP BY case_id) SELECT o_orderkey AS case_id, 'failed' AS status, CAST(0 AS INT) AS score, CAST(coalesce(n, 0) AS INT) AS n_cross FROM {TAKEN} LEFT JOIN n ON case_id = o_orderkey",
 )
 def validate_case(spark, sf_dir):
-    d = three(spark, sf_dir)
-    by = cases.cross_issues(d).groupBy("case_id").agg(F.count_if(F.col("level") == "error").alias("cross_errors"), F.count_if(F.col("level") == "warning").alias("cross_warnings"))
-    verdicts = cases.validated(d, "2024-01-20", 30).select("case_id", "status", "score")
-    return verdicts.join(by, "case_id", "left").na.fill(0, ["cross_errors", "cross_warnings"]).select("case_id", "cross_errors", "cross_warnings", "status", "score")
+    """The auctions' papers lack what rules ask for, so that all cases fail."""
+    return cases.validated(three(spark, sf_dir), "2024-01-20", 30).select("case_id", "status", "score", "n_cross")

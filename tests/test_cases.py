@@ -53,3 +53,11 @@ def test_the_third_address_counts(spark):
 def test_no_cases(spark):
     none = cases.of_three(spark.createDataFrame([], "case_id int, kind string, text string"))
     assert cases.cross_issues(none).count() == 0 and cases.validated(none, "2024-01-20", 30).count() == 0
+
+
+def test_verdicts_count_all_checks(spark):
+    rows = [(1, "auction", "текст"), (1, "register", ""), (1, "approval", "Согласовано. Директор 12.12.2023, 77:01:0003022:1013"), (2, "auction", "x"), (2, "register", "y")]
+    d = cases.of_three(spark.createDataFrame(rows, "case_id int, kind string, text string"))
+    (r,) = cases.validated(d, "2024-01-20", 30).collect()
+    # One document alone has an identifier; the register is empty.
+    assert (r.case_id, r.status, r.n_cross) == (1, "failed", 1) and r.score == 0 and r.n_errors > 1 and r.n_warnings > 1
