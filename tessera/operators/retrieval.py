@@ -201,3 +201,15 @@ def cited(answers: DataFrame, citations: DataFrame, fallback: int = 5) -> DataFr
     hit = citations.join(named, ["answer_id", "number"], "left_semi")
     none = citations.where(F.col("number") <= fallback).join(hit.select("answer_id").distinct(), "answer_id", "left_anti")
     return hit.unionByName(none)
+
+
+def numbered_citations(*parts: DataFrame) -> DataFrame:
+    """question_id, place, and what is cited, in tables of the same columns -> all of them, with the id that answers cite.
+
+    Ids count from 1 in each question: the first table's citations by place, then the next one's, which so start behind them.
+    """
+    rows = [p.withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    d = rows[0]
+    for more in rows[1:]:
+        d = d.unionByName(more)
+    return d.withColumn("id", F.row_number().over(Window.partitionBy("question_id").orderBy("part", "place")))

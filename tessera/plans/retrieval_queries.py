@@ -205,3 +205,13 @@ def priority_tiers(spark, sf_dir):
     tier = F.when(F.contains("text", F.lit("@")), 0).when(F.contains(F.lower("text"), F.lit("copyright")), 1).otherwise(2)
     d = table(spark, sf_dir, "documents").select("doc_id", "source", tier.alias("tier"))
     return d.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("tier", "doc_id")).alias("place"))
+
+
+@query(
+    "citation_numbers",
+    "SELECT conv_id AS question_id, place, part, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS INT) AS id FROM (SELECT conv_id, turn AS place, CAST(role <> 'user' AS INT) AS part FROM conversations WHERE role IS NOT NULL)",
+)
+def citation_numbers(spark, sf_dir):
+    """The turns of users stand for citations of the documentation, the others for those of the policy."""
+    said = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.col("turn").alias("place"), "role")
+    return r.numbered_citations(said.where("role = 'user'").drop("role"), said.where("role <> 'user'").drop("role"))
