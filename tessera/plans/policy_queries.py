@@ -189,13 +189,14 @@ def approval_issues(spark, sf_dir):
     return rules.approval_issues(texts(spark, sf_dir).withColumnRenamed("doc_id", "case_id"))
 
 
-FOUND_SQL = "SELECT d.source AS case_id, doc_id, CASE WHEN l.quality = 0 THEN 'error' ELSE 'warning' END AS level FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 0 OR l.toxic = 1"
 CAPS_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in policy.CAPS.items())
 
 
-@query("issue_caps", f"SELECT case_id, level, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY case_id, level ORDER BY doc_id) AS n FROM ({FOUND_SQL})) WHERE n <= CASE level {CAPS_SQL} END")
+@query(
+    "issue_caps",
+    f"WITH {records.CASES_SQL}, i AS ({records.ISSUES_SQL}) SELECT case_id, level, field FROM (SELECT *, row_number() OVER (PARTITION BY case_id, level ORDER BY field) AS n FROM i) WHERE n <= CASE level {CAPS_SQL} END",
+)
 def issue_caps(spark, sf_dir):
-    """The issues that a report of each source shows."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("case_id")).join(table(spark, sf_dir, "labels"), "doc_id").where("quality = 0 OR toxic = 1")
-    d = d.select("case_id", "doc_id", F.when(F.col("quality") == 0, "error").otherwise("warning").alias("level"), F.col("doc_id").alias("position"))
-    return policy.capped(d).select("case_id", "level", "doc_id")
+    """The issues that the report of each case shows."""
+    d = rules.auction_issues(records.papers(spark, sf_dir)).withColumn("position", F.col("field"))
+    return policy.capped(d).select("case_id", "level", "field")

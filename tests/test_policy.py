@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import display
 from tessera.functions import lexicon as lx
 from tessera.functions import text as t
-from tessera.operators import lexical, rules
+from tessera.operators import lexical, policy, rules
 from tessera.plans.policy_queries import NOTES
 
 
@@ -49,3 +49,17 @@ def test_fuzzy_words_by_brute_force(spark):
     for i, text in docs[:4]:
         want = {w for w in wanted if len(w) > 2 and any(SequenceMatcher(None, w, x).ratio() >= lx.FUZZY for x in lx.words(text or "") if len(x) > 2)}
         assert got.get(i, set()) == want
+
+
+def test_issues_of_every_case_within_the_caps(spark):
+    from tessera import catalog
+
+    sf = "/root/testdata/sf0.001"
+    shown, found = (catalog.queries()[q](spark, sf).select("case_id", "level", "field") for q in ("issue_caps", "keyword_rules"))
+    # An auction's papers have at most 10 errors and 12 warnings, so all of them are shown, of every case that has some.
+    assert sorted(map(tuple, shown.collect())) == sorted(map(tuple, found.collect()))
+    cases = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert shown.select("case_id").distinct().count() >= cases
+    many = spark.createDataFrame([(c, level, k) for c in (1, 2) for level in ("error", "warning") for k in range(30)], "case_id long, level string, position int")
+    kept = policy.capped(many).collect()
+    assert sorted((r.case_id, r.level, r.position) for r in kept) == [(c, level, k) for c in (1, 2) for level, n in (("error", 20), ("warning", 15)) for k in range(n)]
