@@ -27,6 +27,7 @@ all of them through, whatever their names.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from math import exp, sqrt
 
@@ -49,6 +50,8 @@ FEW = 4
 SLICE, BUCKET_KEYS = 400_000, 4_000_000
 #: Members of a group that are compared with each other at once, and of groups that a task takes together.
 BLOCK, TOGETHER = 4096, 100_000
+#: Keys of a bucket that are grouped at once.
+TOGETHER_KEYS = 400_000
 #: Segments are tried at mean sizes from the first of these to the second.
 SEGMENT = (7, 2)
 
@@ -322,17 +325,41 @@ def send_keys(n: int, edges: list[int], segments: list[int], route: Route):
 
 
 def groups_of(group: pa.Table) -> pa.Table:
-    """name, members: the distinct groups of two or more sets with one key that is looked up, ascending."""
-    keys, at, nodes, kinds, start = [], [], [], [], 0
-    for _, _, blob in pieces_of(group):
-        packed, number, own, kind = unpack(blob)
-        keys.append(unpack_sorted(packed.tobytes()))
-        at.append(number.astype(np.int64) + start)
-        nodes.append(own)
-        kinds.append(kind)
-        start += len(own)
+    """name, members: the distinct groups of two or more sets with one key that is looked up, ascending.
+
+    Pieces stand ascending by key, so the bucket is worked on in ranges of about TOGETHER_KEYS keys: what is at hand beside the
+    pieces doesn't grow with the bucket.
+    """
+    pieces, nodes, start = [], [], 0
+    for blob in group.column("blob"):
+        for _, _, piece in pickle.loads(blob.as_buffer()):
+            packed, number, own, kind = unpack(piece)
+            # Numbers are those of the piece's own sets until a range is taken.
+            pieces.append((unpack_sorted(packed.tobytes()), number, start, kind))
+            nodes.append(own)
+            start += len(own)
     ids, of = np.unique(np.concatenate(nodes), return_inverse=True)
-    s, i, kind = np.concatenate(keys), of[np.concatenate(at)], np.concatenate(kinds)
+    low, high = min(int(p[0][0]) for p in pieces), max(int(p[0][-1]) for p in pieces) + 1
+    parts = max(1, -(-sum(len(p[0]) for p in pieces) // TOGETHER_KEYS))
+    at = [np.zeros(len(pieces), np.int64)]
+    for k in range(1, parts):
+        edge = np.uint64(low + (high - low) * k // parts)
+        at.append(np.array([np.searchsorted(p[0], edge) for p in pieces]))
+    at.append(np.array([len(p[0]) for p in pieces]))
+    found = [NO_GROUPS]
+    for x, y in zip(at, at[1:], strict=False):
+        some = [(keys[i:j], of[number[i:j].astype(np.int64) + first], kind[i:j]) for (keys, number, first, kind), i, j in zip(pieces, x, y, strict=True) if j > i]
+        if some:
+            found.append(groups_in(ids, *(np.concatenate(c) for c in zip(*some, strict=True))))
+    out = pa.concat_tables(found)
+    return out.take(pa.array(np.unique(out.column("name").to_numpy(), return_index=True)[1])) if len(found) > 2 else found[-1]
+
+
+NO_GROUPS = pa.table({"name": pa.array([], pa.int64()), "members": pa.array([], pa.list_(pa.int64()))})
+
+
+def groups_in(ids: np.ndarray, s: np.ndarray, i: np.ndarray, kind: np.ndarray) -> pa.Table:
+    """The groups of some whole keys s with the places of their sets in ids, and kinds."""
     # Only keys of several rows can matter; most have one.
     order = np.argsort(s, kind="stable")
     s = s[order]
@@ -347,7 +374,7 @@ def groups_of(group: pa.Table) -> pa.Table:
     new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
     starts = np.flatnonzero(new)
     if not len(starts):
-        return pa.table({"name": pa.array([], pa.int64()), "members": pa.array([], pa.list_(pa.int64()))})
+        return NO_GROUPS
     # A whole segment that is looked up finds all; a deletion that is looked up finds whole segments.
     any_of = lambda x: np.logical_or.reduceat(x, starts)
     asked = any_of(kind == 2) | (any_of(kind == 3) & any_of((kind & 1) == 0))

@@ -154,3 +154,35 @@ def test_representatives_tell_rows_of_one_doc_id_apart(spark):
     out = sorted(map(tuple, representatives(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()), key=str)
     assert [r for r in out if r[0] in (3, 5, 7)] == [(3, one, "x"), (5, other, "x"), (5, other, "y"), (7, None, "x")]
     assert len([r for r in out if r[0] == 6]) == 1 and (None, one, "x") in out
+
+
+def bucket(seed, senders=6, each=40_000):
+    from tessera.llm.exchange import pack, pack_sorted
+
+    rng = np.random.default_rng(seed)
+    shared = rng.integers(0, 1 << 48, each, dtype=np.uint64)
+    rows = []
+    for sender in range(senders):
+        keys = np.sort(np.concatenate([shared[rng.random(each) < 0.1], rng.integers(0, 1 << 48, each, dtype=np.uint64)]))
+        used, number = np.unique(rng.integers(0, 900, len(keys)), return_inverse=True)
+        piece = pack(np.frombuffer(pack_sorted(keys), np.uint8), number.astype(np.uint16), used + 1000 * sender, rng.integers(0, 4, len(keys)).astype(np.uint8))
+        rows += Route(1).frames([(0, sender, piece)]).to_batches()
+    return pa.Table.from_batches(rows)
+
+
+def test_groups_take_a_range_of_keys_at_a_time(monkeypatch):
+    """The same groups in many ranges, and memory beside the pieces that doesn't grow with the bucket."""
+    import tracemalloc
+
+    from tessera.llm import jaccard_join
+
+    some = bucket(1)
+    whole = groups_of(some)
+    monkeypatch.setattr(jaccard_join, "TOGETHER_KEYS", 5000)
+    assert len(whole) > 2000 and groups_of(some).equals(whole.combine_chunks()) and len(np.unique(whole.column("name"))) == len(whole)
+    tracemalloc.start()
+    try:
+        groups_of(some)
+        assert tracemalloc.get_traced_memory()[1] < 30 * 6 * 44_000
+    finally:
+        tracemalloc.stop()
