@@ -45,6 +45,8 @@ JUDGES, FEWEST, REACH = 16, 200, (0.0, 1.0, 2.0, 4.0)
 LONGER = 16
 #: Tokens from which on a document trains before the others, and tokens of which a task knows the lengths ahead.
 LONG, HELD = 1024, 1 << 24
+#: Tokens from which on documents of several chunks are scored beside each other: steps over few documents cost as much as over many.
+BESIDE = 1 << 22
 #: First groups of the tree in which weights are averaged.
 LEAVES = 4096
 FOLDS = 10
@@ -595,6 +597,10 @@ def reached(old: np.ndarray, mean: np.ndarray, reach: float) -> np.ndarray:
     return old + np.float32(reach) * (mean - old)
 
 
+def row_of(doc_id: pa.Scalar, size: pa.Scalar, words: pa.Scalar, word_index: pa.Scalar, n: pa.Scalar) -> dict:
+    return {"doc_id": doc_id.as_py(), "size": size.as_py(), "words": words.as_py(), "word_index": word_index.as_py(), "n": n.as_py()}
+
+
 def judged(chunks: DataFrame, v: Vocabulary, old: np.ndarray, mean: np.ndarray, turn: int, docs: int) -> float:
     """The REACH at which judging documents are likeliest, the smallest of equals: one row a task, and sums of those, to the driver."""
     shared = chunks.sparkSession.sparkContext.broadcast((old, mean, v))
@@ -603,12 +609,23 @@ def judged(chunks: DataFrame, v: Vocabulary, old: np.ndarray, mean: np.ndarray,
         old, mean, v = shared.value
         nets = [Network(shaped(reached(old, mean, x), v.start_weights()), v) for x in REACH]
         sums = np.zeros(len(REACH))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def judge() -> np.ndarray:
+            return np.array([net.log10([d for d, _ in held], [n for _, n in held]).sum() for net in nets])
+
+        size = 0
         for batch in batches:
-            for r in batch.to_pylist():
-                held = list(indexed(r, lambda i: judges(i, turn, docs)))
-                if held:
-                    n = unpack(r["n"])[0].astype(np.float64)
-                    sums += [net.log10([d.astype(np.int64) for d, _ in held], [n[w] for _, w in held]).sum() for net in nets]
+            for r in map(row_of, *batch.columns):
+                n = unpack(r["n"])[0].astype(np.float64)
+                for d, w in indexed(r, lambda i: judges(i, turn, docs)):
+                    held.append((d.astype(np.int64), n[w]))
+                    size += len(d)
+                if size >= BESIDE:
+                    sums += judge()
+                    held, size = [], 0
+        if held:
+            sums += judge()
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.float64()) for x in sums], names=[f"r{k}" for k in range(len(REACH))])
 
     total_ = chunks.select("doc_id", "size", "words", "word_index", "n").mapInArrow(run, ", ".join(f"r{k} double" for k in range(len(REACH))))
@@ -619,6 +636,41 @@ def judged(chunks: DataFrame, v: Vocabulary, old: np.ndarray, mean: np.ndarray,
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def results(net: Network, v: Vocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """RESULT of the documents of rows of READY, those of BESIDE tokens or more at a time."""
+    held: list[tuple] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        ids = [i for h in held for i in h[0]]
+        sizes, known, base = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+        scores = net.log10([d for h in held for d in h[4]], [c for h in held for c in h[5]])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()), pa.array([not fold(i) if i is not None else True for i in ids]), pa.array(sizes, pa.int64()), pa.array(known),
+                pa.array(np.full(len(ids), v.total, np.int64)), pa.array(base), pa.array(scores),
+            ],
+            names=[k.split()[0] for k in RESULT.split(", ")],
+        )
+
+    for batch in batches:
+        for r in map(row_of, *batch.columns):
+            words = unpack(r["words"])[0]
+            index, n = unpack(r["word_index"])[0].astype(np.int64), unpack(r["n"])[0].astype(np.float64)
+            stop = np.cumsum(r["size"])
+            first = stop - r["size"]
+            sums = lambda x: np.add.reduceat(x[words], first)  # noqa: E731, B023
+            flat_, counts = index[words], n[words]
+            cut = list(zip(first, stop, strict=True))
+            held.append((r["doc_id"], r["size"], sums((n > 0).astype(np.int64)), sums(np.log10((n + SMOOTH) / (v.total + SMOOTH * (v.distinct + 1)))), [flat_[x:y] for x, y in cut], [counts[x:y] for x, y in cut]))
+            size += len(words)
+            if size >= BESIDE:
+                yield rows()
+                held, size = [], 0
+    if held:
+        yield rows()
+
+
 def score(docs: DataFrame) -> DataFrame:
     """RESULT of every row; columns doc_id and text are read."""
     spark = docs.sparkSession
@@ -637,24 +689,9 @@ def score(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, v = shared.value
         net = Network(shaped(values, v.start_weights()), v)
-        for batch in batches:
-            for r in batch.to_pylist():
-                words = unpack(r["words"])[0]
-                index, n = unpack(r["word_index"])[0].astype(np.int64), unpack(r["n"])[0].astype(np.float64)
-                stop = np.cumsum(r["size"])
-                docs_ = [words[e - k : e] for k, e in zip(r["size"], stop, strict=True)]
-                first = stop - r["size"]
-                sums = lambda x: np.add.reduceat(x[words], first)  # noqa: E731, B023
-                scores = net.log10([index[d] for d in docs_], [n[d] for d in docs_])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(r["doc_id"], pa.int64()), pa.array([not fold(i) if i is not None else True for i in r["doc_id"]]), pa.array(r["size"], pa.int64()), pa.array(sums((n > 0).astype(np.int64))),
-                        pa.array(np.full(len(docs_), v.total, np.int64)), pa.array(sums(np.log10((n + SMOOTH) / (v.total + SMOOTH * (v.distinct + 1))))), pa.array(scores),
-                    ],
-                    names=[k.split()[0] for k in RESULT.split(", ")],
-                )
-
-    return chunks.mapInArrow(run, RESULT)
+        yield from results(net, v, batches)
+
+    return chunks.select("doc_id", "size", "words", "word_index", "n").mapInArrow(run, RESULT)
 
 
 def op1_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

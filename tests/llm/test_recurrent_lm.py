@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import recurrent_lm as r
@@ -173,3 +174,24 @@ def test_given_tables_are_likelier_than_by_counts(spark, sf, parts, monkeypatch)
     assert bits[0] < bits[1] + 1e-3
     if (sf, parts) in (("0.01", 1), ("0.01", 4)):
         assert bits[0] < bits[1] - 0.2
+
+
+def test_documents_of_several_chunks_are_scored_beside_each_other(monkeypatch):
+    rows = []
+    for start in range(0, 100, 10):
+        ids = list(range(start, start + 10))
+        (b,) = r.numbered(iter([pa.RecordBatch.from_pydict({"doc_id": ids, "text": ["a b " * (i % 7) for i in ids]})]))
+        n = len(r.unpack_sorted(b.column("word_keys")[0].as_py()))
+        ready = [b.column("doc_id"), b.column("size"), b.column("words"), pa.array([r.pack(np.arange(n).astype(np.uint16))], pa.binary()), pa.array([r.pack(np.ones(n, np.uint32))], pa.binary())]
+        rows.append(pa.RecordBatch.from_arrays(ready, names=["doc_id", "size", "words", "word_index", "n"]))
+    v = r.Vocabulary(10, 3, np.arange(3), np.array([5, 3, 2]), np.zeros(r.TAIL), np.zeros(r.TAIL))
+    net, calls = r.Network(v.start_weights(), v), []
+    real = net.log10
+    net.log10 = lambda docs, counts: calls.append(len(docs)) or real(docs, counts)
+    together = pa.Table.from_batches(r.results(net, v, iter(rows))).to_pylist()
+    assert calls == [100]
+    monkeypatch.setattr(r, "BESIDE", 1)
+    apart = pa.Table.from_batches(r.results(net, v, iter(rows))).to_pylist()
+    assert calls == [100] + [10] * 10 and [x["doc_id"] for x in together] == list(range(100))
+    for x, y in zip(together, apart, strict=True):
+        assert {**x, "score": 0} == {**y, "score": 0} and x["score"] == pytest.approx(y["score"], rel=1e-5)
