@@ -20,6 +20,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,10 @@ LONG, HELD = 1024, 1 << 24
 BESIDE = 1 << 22
 #: First groups of the tree in which weights are averaged.
 LEAVES = 4096
+#: Logits up to which exp needs no shift.
+LARGE = 80
+#: A product with ones adds up rows faster than sum() does.
+ONES = np.ones(HEAD, np.float32)
 FOLDS = 10
 SMOOTH = 0.1
 END = b" end"
@@ -127,46 +132,57 @@ class Vocabulary:
         ]
 
 
-def shares(x: np.ndarray, scale: np.float32) -> None:
-    """Each row's softmax times scale, in place; logits are shifted only where they are too large for exp."""
-    if x.max(initial=0) > 80 or x.min(initial=0) < -80:
+def shares(x: np.ndarray, scale: np.float32, shift: bool) -> None:
+    """Each row's softmax times scale, in place; shift: logits may be too large for exp."""
+    if shift:
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
-    x *= (scale / x.sum(axis=1))[:, None]
+    x *= (scale / (x @ ONES[: x.shape[1]]))[:, None]
 
 
 def log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The chosen column of each row's log softmax; logits are shifted only where they are too large for exp."""
-    with np.errstate(over="ignore"):
-        total = np.exp(x).sum(axis=1)
+    """The chosen column of each row's log softmax, and x is used up; logits are shifted only where they are too large for exp."""
+    if x.max(initial=0) > LARGE or x.min(initial=0) < -LARGE:
+        x -= x.max(axis=1, keepdims=True)
     chosen = x[np.arange(len(x)), at]
-    if np.isfinite(total).all() and (total > 0).all():
-        return chosen - np.log(total)
-    top = x.max(axis=1, keepdims=True)
-    return chosen - top[:, 0] - np.log(np.exp(x - top).sum(axis=1))
+    np.exp(x, out=x)
+    return chosen - np.log(x @ ONES[: x.shape[1]])
+
+
+def with_bias(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([w, b[:, None]], axis=1)
 
 
 class Network:
     def __init__(self, weights: list[np.ndarray], vocabulary: Vocabulary) -> None:
         self.w, self.v = weights, vocabulary
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        wx, u, b = self.w[:3]
-        a, q = wx[x], h @ u
-        a += b
-        zr = a[:, : 2 * HIDDEN] + q[:, : 2 * HIDDEN]
-        zr *= np.float32(-1)
+    def back(self) -> np.ndarray:
+        """The transposed recurrent weights, those of the gates negative, as ``advance`` takes them."""
+        u = self.w[1]
+        return np.concatenate([-u[:, : 2 * HIDDEN].T, u[:, 2 * HIDDEN :].T])
+
+    @staticmethod
+    def advance(a: np.ndarray, h: np.ndarray, back: np.ndarray, q: np.ndarray | None = None, c: np.ndarray | None = None) -> np.ndarray:
+        """The states after h from inputs a, a column for each stream, so that gates are contiguous; q gets the gates and what they are applied to, c the candidates."""
+        q = np.dot(back, h, out=q)
+        zr = q[: 2 * HIDDEN]
+        zr -= a[: 2 * HIDDEN]
         np.exp(zr, out=zr)
-        zr += np.float32(1)
+        zr += 1
         np.reciprocal(zr, out=zr)
-        n = zr[:, HIDDEN:] * q[:, 2 * HIDDEN :]
-        n += a[:, 2 * HIDDEN :]
-        np.tanh(n, out=n)
-        d = h - n
-        d *= zr[:, :HIDDEN]
-        d += n
+        c = np.multiply(zr[HIDDEN:], q[2 * HIDDEN :], out=c)
+        c += a[2 * HIDDEN :]
+        np.tanh(c, out=c)
+        d = h - c
+        d *= zr[:HIDDEN]
+        d += c
         return d
 
+    def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return self.advance((self.w[0][x] + self.w[2]).T, h.T, self.back()).T
+
     def train(self, docs: Iterator[np.ndarray]) -> int:
         """One pass over documents of word indexes; the number of tokens.  A stream takes one document after the other, and ends when there is none."""
         start, sums = HEAD + TAIL, [np.full_like(w, 1e-3) for w in self.w]
@@ -228,45 +244,37 @@ class Network:
         if norm > CLIP:
             for g in grads:
                 g *= np.float32(CLIP / norm)
-        sums[0][used] += grads[0] * grads[0]
-        self.w[0][used] -= RATE * grads[0] / np.sqrt(sums[0][used])
-        for k in range(1, len(grads)):
-            g = grads[k]
-            sums[k] += g * g
-            g *= RATE
-            g /= np.sqrt(sums[k])
-            self.w[k] -= g
+        for k, g in enumerate(grads):
+            at = used if k == 0 else slice(None)
+            squares = g * g
+            squares += sums[k][at]
+            sums[k][at] = squares
+            np.sqrt(squares, out=squares)
+            g *= np.float32(RATE)
+            g /= squares
+            self.w[k][at] -= g
         return h
 
     def gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray, scale: np.float32) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """Of scale times the summed loss: of each weight (of the first for the words used only), the words used, and the last states."""
-        wx, u, b, wc, bc, wo, bo = self.w
+        wx, u, b = self.w[:3]
         steps, n = x.shape
-        inputs = wx[x.ravel()].reshape(steps, n, 3 * HIDDEN)
-        inputs += b
-        before, cand, qn, states = (np.empty((steps, n, HIDDEN), np.float32) for _ in range(4))
-        gates = np.empty((steps, n, 2 * HIDDEN), np.float32)
+        back = self.back()
+        # Steps hold a column for each stream.
+        inputs = np.ascontiguousarray(wx[x.ravel()].reshape(steps, n, 3 * HIDDEN).transpose(0, 2, 1))
+        inputs += b[:, None]
+        states, cand = np.empty((steps + 1, HIDDEN, n), np.float32), np.empty((steps, HIDDEN, n), np.float32)
+        gated = np.empty((steps, 3 * HIDDEN, n), np.float32)
+        states[0] = h.T
         restart = fresh.any(axis=1)
-        for t in range(steps):
-            if restart[t]:
-                h = np.where(fresh[t][:, None], np.float32(0), h)
-            before[t] = h
-            q = h @ u
-            zr, c = gates[t], cand[t]
-            np.add(inputs[t, :, : 2 * HIDDEN], q[:, : 2 * HIDDEN], out=zr)
-            np.negative(zr, out=zr)
-            np.exp(zr, out=zr)
-            zr += 1
-            np.reciprocal(zr, out=zr)
-            qn[t] = q[:, 2 * HIDDEN :]
-            np.multiply(zr[:, HIDDEN:], qn[t], out=c)
-            c += inputs[t, :, 2 * HIDDEN :]
-            np.tanh(c, out=c)
-            h = h - c
-            h *= zr[:, :HIDDEN]
-            h += c
-            states[t] = h
-        flat, target = states.reshape(-1, HIDDEN), y.ravel()
+        with np.errstate(over="ignore"):
+            for t in range(steps):
+                now = np.where(fresh[t], np.float32(0), states[t]) if restart[t] else states[t]
+                states[t + 1] = self.advance(inputs[t], now, back, gated[t], cand[t])
+        before = states[:-1].copy()
+        for t in np.flatnonzero(restart):
+            before[t][:, fresh[t]] = 0
+        flat, target = states[1:].transpose(0, 2, 1).reshape(-1, HIDDEN), y.ravel()
         rows = np.flatnonzero(target >= 0)
         whole = len(rows) == len(target)
         s, index = (flat, target) if whole else (flat[rows], target[rows])
@@ -275,58 +283,65 @@ class Network:
         if not whole:
             dh_all = np.zeros_like(flat)
             dh_all[rows] = ds
-        dh_all = dh_all.reshape(steps, n, HIDDEN)
-        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        dh_all = np.ascontiguousarray(dh_all.reshape(steps, n, HIDDEN).transpose(0, 2, 1))
+        z, r, qn = gated[:, :HIDDEN], gated[:, HIDDEN : 2 * HIDDEN], gated[:, 2 * HIDDEN :]
         # What doesn't depend on the gradient that flows back, for all steps at once.
         by_cand, by_z, by_r = (1 - z) * (1 - cand * cand), (before - cand) * z * (1 - z), qn * r * (1 - r)
-        das, dus = (np.empty((steps, n, 3 * HIDDEN), np.float32) for _ in range(2))
-        dh, back = np.zeros((n, HIDDEN), np.float32), np.ascontiguousarray(u.T)
+        dns, dus = np.empty((steps, HIDDEN, n), np.float32), np.empty((steps, 3 * HIDDEN, n), np.float32)
+        dh = np.zeros((HIDDEN, n), np.float32)
         for t in range(steps - 1, -1, -1):
-            dh = dh + dh_all[t]
-            da, du = das[t], dus[t]
-            dn = da[:, 2 * HIDDEN :]
-            np.multiply(dh, by_z[t], out=da[:, :HIDDEN])
+            dh += dh_all[t]
+            dn, du = dns[t], dus[t]
+            np.multiply(dh, by_z[t], out=du[:HIDDEN])
             np.multiply(dh, by_cand[t], out=dn)
-            np.multiply(dn, by_r[t], out=da[:, HIDDEN : 2 * HIDDEN])
-            du[:, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
-            np.multiply(dn, r[t], out=du[:, 2 * HIDDEN :])
-            dh = dh * z[t]
-            dh += du @ back
+            np.multiply(dn, by_r[t], out=du[HIDDEN : 2 * HIDDEN])
+            np.multiply(dn, r[t], out=du[2 * HIDDEN :])
+            dh *= z[t]
+            dh += u @ du
             if restart[t]:
-                dh = np.where(fresh[t][:, None], np.float32(0), dh)
-        g_u = before.reshape(-1, HIDDEN).T @ dus.reshape(-1, 3 * HIDDEN)
-        das = das.reshape(-1, 3 * HIDDEN)
+                dh[:, fresh[t]] = 0
+        g_u = np.matmul(before, dus.transpose(0, 2, 1)).sum(axis=0)
+        dus[:, 2 * HIDDEN :] = dns
         words = x.ravel()
         order = np.argsort(words, kind="stable")
         words = words[order]
+        das = dus.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order]
         starts = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        return [np.add.reduceat(das[order], starts, axis=0), g_u, das.sum(axis=0), *out], words[starts], h
+        first = np.add.reduceat(das, starts, axis=0)
+        return [first, g_u, first.sum(axis=0), *out], words[starts], np.ascontiguousarray(states[-1].T)
 
     def output_gradients(self, s: np.ndarray, index: np.ndarray, scale: np.float32) -> tuple[np.ndarray, list[np.ndarray]]:
         """Gradients of the states s for the words index, and of the output weights."""
         _, _, _, wc, bc, wo, bo = self.w
         c = self.v.classes(index)
-        d = s @ wc
-        d += bc
-        shares(d, scale)
+        order = np.argsort(c, kind="stable")
+        c, index = c[order], index[order]
+        # With a column of ones, biases are weights; rows of a class are beside each other.
+        own = np.ones((len(s), HIDDEN + 1), np.float32)
+        own[:, :HIDDEN] = s[order]
+        ww = with_bias(wo, bo)
+        largest = max(1.0, float(s.max(initial=0)), -float(s.min(initial=0)))
+        shift = largest * max(float((np.abs(w) @ ONES[: HIDDEN + 1]).max()) for w in (ww, with_bias(wc.T, bc))) > LARGE
+        d = own @ np.concatenate([wc, bc[None]])
+        shares(d, scale, shift)
         d[np.arange(len(index)), c] -= scale
         ds = d @ wc.T
-        g_wo, g_bo = np.zeros_like(wo), np.zeros_like(bo)
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
+        g_c, g_w = (d.T @ own).T, np.zeros_like(ww)
+        cut = np.searchsorted(c, np.arange(HEAD_CLASSES + 1)).tolist()
+        first = self.v.first.tolist()
         for k in range(HEAD_CLASSES):
-            lo, hi = self.v.first[k], self.v.first[k + 1]
+            a, b, lo, hi = cut[k], cut[k + 1], first[k], first[k + 1]
             # A band of one word has nothing to learn.
-            if cut[k + 1] > cut[k] and hi - lo > 1:
-                some = order[cut[k] : cut[k + 1]]
-                own = s[some]
-                e = own @ wo[lo:hi].T
-                e += bo[lo:hi]
-                shares(e, scale)
-                e[np.arange(len(some)), index[some] - lo] -= scale
-                ds[some] += e @ wo[lo:hi]
-                g_wo[lo:hi], g_bo[lo:hi] = e.T @ own, e.sum(axis=0)
-        return ds, [s.T @ d, d.sum(axis=0), g_wo, g_bo]
+            if b > a and hi - lo > 1:
+                part = own[a:b]
+                e = part @ ww[lo:hi].T
+                shares(e, scale, shift)
+                e[np.arange(b - a), index[a:b] - lo] -= scale
+                ds[a:b] += e @ wo[lo:hi]
+                np.dot(e.T, part, out=g_w[lo:hi])
+        out = np.empty_like(ds)
+        out[order] = ds
+        return out, [g_c[:HIDDEN], g_c[HIDDEN], g_w[:, :HIDDEN], g_w[:, HIDDEN]]
 
     def log10(self, docs: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of whole documents (word indexes, and counts for the tail's words)."""
@@ -336,8 +351,9 @@ class Network:
         sizes = np.array([len(d) for d in docs])
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
-        h = np.zeros((len(docs), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(docs)), np.float32)
         x = np.full(len(docs), HEAD + TAIL)
+        table, back = self.w[0] + self.w[2], self.back()
         ys: list[np.ndarray] = []
         hs: list[np.ndarray] = []
         who: list[np.ndarray] = []
@@ -350,7 +366,7 @@ class Network:
         def flush() -> None:
             nonlocal held
             at = np.concatenate(ys)
-            p = self.outputs(np.concatenate(hs), flat[at], tail[at])
+            p = self.outputs(np.ascontiguousarray(np.concatenate(hs, axis=1).T), flat[at], tail[at])
             out[order] += np.bincount(np.concatenate(who), p, len(out))
             ys.clear(), hs.clear(), who.clear()
             held = 0
@@ -358,7 +374,8 @@ class Network:
         for t in range(int(sizes[0])):
             while sizes[live - 1] <= t:
                 live -= 1
-            h = self.step(x[:live], h[:live])
+            with np.errstate(over="ignore"):
+                h = self.advance(table[x[:live]].T, h[:, :live], back)
             at = starts[:live] + t
             ys.append(at)
             hs.append(h)
@@ -380,22 +397,30 @@ class Network:
         head = np.flatnonzero(index < HEAD)
         order = head[np.argsort(c[head], kind="stable")]
         cut = np.searchsorted(c[order], np.arange(HEAD_CLASSES + 1))
+        own, word, found = s[order], index[order], np.zeros(len(order), np.float32)
         for k in range(HEAD_CLASSES):
-            some = order[cut[k] : cut[k + 1]]
-            if len(some):
-                lo, hi = self.v.first[k], self.v.first[k + 1]
-                p[some] += log_softmax_at(s[some] @ wo[lo:hi].T + bo[lo:hi], index[some] - lo)
+            a, b, lo, hi = cut[k], cut[k + 1], self.v.first[k], self.v.first[k + 1]
+            if b > a:
+                found[a:b] = log_softmax_at(own[a:b] @ wo[lo:hi].T + bo[lo:hi], word[a:b] - lo)
+        p[order] += found
         return p
 
 
 CHUNK = "chunk long, doc_id array<bigint>, size array<int>, words binary, word_keys binary, n binary"
 
 
+def counter() -> defaultdict[bytes, int]:
+    """Numbers words in the order in which they are asked for."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """CHUNK but for its number, for each CHUNK_BYTES of texts: word numbers, and the words' ascending keys and counts in training."""
     ids: list[int | None] = []
     docs: list[np.ndarray] = []
-    numbers: dict[bytes, int] = {}
+    numbers = counter()
     held = 0
 
     def row() -> pa.RecordBatch:
@@ -413,15 +438,12 @@ def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             body = (text or "").encode("utf-8", "replace")
             words = split(body)
-            for w in words:
-                if w not in numbers:
-                    numbers[w] = len(numbers)
             ids.append(i)
             docs.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
             held += len(body) + 64
             if held >= CHUNK_BYTES:
                 yield row()
-                ids, docs, numbers, held = [], [], {}, 0
+                ids, docs, numbers, held = [], [], counter(), 0
     if ids:
         yield row()
 
