@@ -89,6 +89,15 @@ def test_numbers_start_lines(spark):
     assert got == ["Итак:\n1. один;\n2) два.\n3. три", "от 26. 07", "п. 17.1 и 5. 3. х", "см.: 12. 5", "конец!\n**4.** жир"]
 
 
+def test_items_of_one_letter_start_lines(spark):
+    """What ends an item's text may be looked at by the next item, too: matches don't consume it."""
+    mark = r"((?:\*\*)?\d{1,2}[.)](?:\*\*)?\s+(?=[^\d\s]))"
+    cases = ["x onatnd. 3) A. \n4. Retion", "a: 1. ; 2) b", "1. a. 2. b. 3. c"]
+    want = [re.sub(r"(?<!\d)([.!?…»])\s+" + mark, r"\1\n\2", re.sub(r"([:;—–])\s+" + mark, r"\1\n\2", x)) for x in cases]
+    assert one(spark, display.numbered, *cases) == want
+    assert want[0] == "x onatnd.\n3) A.\n4. Retion"
+
+
 def test_the_whole_chain(spark):
     d = catalog.queries()["display_text"](spark, SF)
     got = {r.doc_id: r.shown for r in d.collect()}
