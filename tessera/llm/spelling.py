@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import dealt, materialise, table
 
 RUN = re.compile(rb"[a-z\xC0-\xFF]+")
 OTHER = re.compile(rb"[^A-Za-z\xC0-\xFF]")
@@ -133,7 +133,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     fits = F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2
     fits &= (F.col("size_b") > F.col("size")) | (F.col("a") < F.col("b"))
     fits &= F.levenshtein("a", "b", 1) == 1
-    both = left.join(right, (F.col("piece") == F.col("p")) & (F.col("size") == F.col("s")) & fits)
+    both = dealt(left).join(dealt(right), (F.col("piece") == F.col("p")) & (F.col("size") == F.col("s")) & fits)
     return both.select("a", "n_a", "b", "n_b").distinct()
 
 
@@ -142,7 +142,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = materialise(forms.select("word", F.col("form").alias("root")))
     while True:
         step = materialise(now.select(F.col("word").alias("root"), F.col("root").alias("next")))
-        new = materialise(now.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        new = materialise(dealt(now).join(dealt(step), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         now = new.select("word", "root")
         if not new.where("moved").take(1):
             return now
@@ -154,12 +154,12 @@ def variants(docs: DataFrame) -> DataFrame:
     pairs = near_pairs(words)
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")).union(pairs.select("b", "a", "n_a"))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("other"))).alias("best"))
-    d = words.join(best, "word", "left")
+    d = dealt(words).join(best, "word", "left")
     form_n = -F.col("best.less")
     is_form = form_n >= RATIO * F.col("n")
     d = d.select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best.other")).alias("form"), F.when(is_form, form_n).alias("form_n"))
     d = materialise(d)
-    return d.join(roots(d.where("form IS NOT NULL")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return dealt(d).join(dealt(roots(d.where("form IS NOT NULL"))), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:

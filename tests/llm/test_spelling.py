@@ -98,3 +98,11 @@ def test_held_words_are_flushed(spark):
         assert sorted(spelling.vocabulary(docs).collect()) == whole
     finally:
         spelling.HELD = old
+
+
+def test_pieces_are_not_broadcast(spark):
+    """Each word gives up to twelve rows of the join, which the size of the words' file doesn't tell."""
+    docs = table(spark, [(i, "hello hellp hello hello " * 3) for i in range(9)])
+    words = spelling.materialise(spelling.vocabulary(docs))
+    for d in (spelling.near_pairs(words), spelling.variants(docs)):
+        assert "BroadcastExchange" not in d._jdf.queryExecution().executedPlan().toString()
