@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialise, table, words
+from .common import dealt, fresh, materialise, table, words
 
 BLOCK = 32
 SHARD = 1 << 16
@@ -122,7 +122,7 @@ def draws(spark: SparkSession, quota: list[int]) -> DataFrame:
 
 def slots(spark: SparkSession, sources: DataFrame, quota: list[int]) -> DataFrame:
     """source_id, block, shard: a row for each slot of the mix."""
-    d = draws(spark, quota).join(sources.select("source_id", "n_blocks"), "source_id")
+    d = draws(spark, quota).join(F.broadcast(sources.select("source_id", "n_blocks")), "source_id")
     d = d.repartition(max(1, -(-sum(quota) // SLOTS_PER_TASK)), "source_id", "shard")
     d = d.select("source_id", "n_blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     return d.select("source_id", block_of("slot", "n_blocks", "source_id").alias("block"), "shard", "slot")
@@ -142,7 +142,7 @@ def laid_out(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     schema = "s_source string, source_id long, source_size long, target double, n_blocks long, quota long"
     rows = [(r["source"], i, n[i], goal[i], blocks[i], quota[i]) for i, r in enumerate(found)]
     sources = spark.createDataFrame(rows, schema)
-    d = sizes.join(sources, F.col("source").eqNullSafe(F.col("s_source")))
+    d = sizes.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("s_source")))
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
 
     per_chunk = d.groupBy("source_id", "chunk").agg(F.sum("size").alias("chunk_size"))
@@ -172,9 +172,9 @@ def mix(docs: DataFrame) -> DataFrame:
     if not sum(quota):
         return d.select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     times = slots(docs.sparkSession, sources, quota).groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    taken = pieces(d).join(times, ["source_id", "block"]).groupBy("source_id", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
+    taken = dealt(pieces(d)).join(times, ["source_id", "block"]).groupBy("source_id", "start").agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     taken = taken.toDF("t_id", "t_start", "taken")
-    d = d.join(taken, (F.col("source_id") == F.col("t_id")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
+    d = dealt(d).join(taken, (F.col("source_id") == F.col("t_id")) & (F.col("start") == F.col("t_start")) & (F.col("size") > 0), "left")
     return d.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -191,12 +191,12 @@ def packed(docs: DataFrame) -> DataFrame:
     full = docs.select("doc_id", "source", "text", size_of(F.col("text")).alias("size")).withColumn("rank", F.row_number().over(same.orderBy("text")))
     full = full.where("size > 0").toDF("f_id", "f_source", "text", "f_size", "f_rank")
     match = F.col("doc_id").eqNullSafe(F.col("f_id")) & F.col("source").eqNullSafe(F.col("f_source")) & (F.col("size") == F.col("f_size")) & (F.col("rank") == F.col("f_rank"))
-    own = d.join(full, match).select(F.col("source_id").alias("o_id"), F.col("start").alias("o_start"), words(F.col("text")).alias("w"))
-    parts = pieces(d).join(own, (F.col("start") == F.col("o_start")) & (F.col("source_id") == F.col("o_id")))
+    own = dealt(d).join(full, match).select(F.col("source_id").alias("o_id"), F.col("start").alias("o_start"), words(F.col("text")).alias("w"))
+    parts = dealt(pieces(d)).join(own, (F.col("start") == F.col("o_start")) & (F.col("source_id") == F.col("o_id")))
     parts = parts.select("source_id", "block", "start", F.slice("w", (F.col("skip") + 1).cast("int"), F.col("overlap").cast("int")).alias("part"))
     blocks = parts.groupBy("source_id", "block").agg(F.sort_array(F.collect_list(F.struct("start", "part"))).alias("parts"))
     blocks = blocks.select("source_id", "block", F.flatten(F.transform("parts", lambda p: p["part"])).alias("words"))
-    out = slots(docs.sparkSession, sources, quota).join(blocks, ["source_id", "block"]).join(sources.select("source_id", F.col("s_source").alias("source")), "source_id")
+    out = dealt(slots(docs.sparkSession, sources, quota)).join(blocks, ["source_id", "block"]).join(F.broadcast(sources.select("source_id", F.col("s_source").alias("source"))), "source_id")
     place = F.row_number().over(Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(SEED), "source_id", "slot"), "source_id", "slot")).cast("long")
     return out.select("shard", place.alias("place"), "source", "words")
 

@@ -107,3 +107,15 @@ def test_rows_without_a_number_and_repeats_stay(spark):
     # Source a is to get three times its size.
     assert sorted(r.text[0] for r in rows if r.source == "a") == sorted("xyzq" * 3)
     assert all((r.turn, r.times, r.m_id) == next(x[3:] for x in docs if x[2] == r.text) for r in rows)
+
+
+def broadcasts(df):
+    """The broadcasts of a plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_blocks_of_documents_are_not_broadcast(spark):
+    """A small file may hold few documents of very many blocks; the only small side is the table of sources."""
+    docs = spark.createDataFrame([(i, "a", "w " * 3000) for i in range(50)], "doc_id long, source string, text string")
+    assert broadcasts(mix(docs)) == 1
+    assert broadcasts(packed(docs)) == 2
