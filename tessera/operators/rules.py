@@ -96,7 +96,8 @@ def unless_blank(raw: Column, found: Column) -> Column:
 
 
 def rows(docs: DataFrame, checks: Column) -> DataFrame:
-    return docs.select("case_id", F.explode(checks).alias("i")).select("case_id", "i.*")
+    """The issues of an array, each a row.  Spark would move the test for arrays that aren't empty below the checks, and so make all of them twice; not so with an outer explode."""
+    return docs.select("case_id", F.explode_outer(checks).alias("i")).where("i IS NOT NULL").select("case_id", "i.*")
 
 
 def auction_issues(docs: DataFrame) -> DataFrame:

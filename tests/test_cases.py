@@ -61,3 +61,10 @@ def test_verdicts_count_all_checks(spark):
     (r,) = cases.validated(d, "2024-01-20", 30).collect()
     # One document alone has an identifier; the register is empty.
     assert (r.case_id, r.status, r.n_cross) == (1, "failed", 1) and r.score == 0 and r.n_errors > 1 and r.n_warnings > 1
+
+
+def test_checks_are_made_once(spark):
+    """Spark moves a test for arrays that aren't empty below what makes them, whose expressions then run twice."""
+    d = cases.of_three(spark.createDataFrame([(1, "auction", "x")], "case_id int, kind string, text string"))
+    plan = cases.cross_issues(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
