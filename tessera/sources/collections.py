@@ -45,6 +45,17 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def stored(spark: SparkSession, path: str, collection: str, file_ids: list[str]) -> set[str]:
+    """Those of some files that the collection has, without a look at its others."""
+    base = f"{path}/collection={checked(collection)}"
+    target, system = _file_system(spark, base)
+    if not system.exists(target):
+        return set()
+    within = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    places = {i: within(f"{base}/file_id={checked(i)}") for i in file_ids}
+    return {i for i, p in places.items() if system.exists(p) and len(system.listStatus(p))}
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     target, system = _file_system(spark, path)
     return system.exists(target)

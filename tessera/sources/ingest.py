@@ -6,6 +6,7 @@ again after a lost driver, a lost checkpoint or a second copy adds nothing.  Fil
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +24,15 @@ def process(found: DataFrame) -> DataFrame:
 
 
 def unknown(batch: DataFrame, store: str, collection: str) -> DataFrame:
-    """Of the files of a batch, those whose bytes the collection hasn't got, each once; contents aren't shuffled."""
-    spark = batch.sparkSession
+    """Of the files of a batch, those whose bytes the collection hasn't got, each once; contents aren't shuffled.
+
+    Only the batch's own files are looked up in the collection, which isn't listed, so a batch takes no longer as it grows.  The driver holds their paths.
+    """
     hashed = batch.select("path", F.left(F.sha2("content", 256), F.lit(12)).alias("file_id"))
-    first = hashed.groupBy("file_id").agg(F.min("path").alias("path"))
-    if collections.exists(spark, store):
-        first = first.join(collections.files(spark, store, collection).select(F.col("file_id").cast("string")), "file_id", "left_anti")
-    return batch.join(first.select("path"), "path", "left_semi")
+    first = hashed.groupBy("file_id").agg(F.min("path").alias("path")).collect()
+    had = collections.stored(batch.sparkSession, store, collection, [r["file_id"] for r in first])
+    new = batch.sparkSession.createDataFrame(pa.table({"path": pa.array([r["path"] for r in first if r["file_id"] not in had], pa.string())}))
+    return batch.join(F.broadcast(new), "path", "left_semi")
 
 
 def ingest(spark: SparkSession, path: str, store: str, collection: str, work: str, files_per_batch: int = 1000) -> None:

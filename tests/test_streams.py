@@ -93,3 +93,24 @@ def test_files_are_taken_in_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(collections, "append", kept)
     ingest.ingest(spark, str(inbox), store, "law", work, files_per_batch=1)
     assert stored() == sorted([*first, ("c.txt", 0, 1, "новое")])
+
+
+def test_a_batch_looks_up_its_own_files_alone(spark, tmp_path, monkeypatch):
+    """Else each batch lists the whole collection, and a folder of many files takes the square of its size."""
+    inbox, store = tmp_path / "in", str(tmp_path / "store")
+    inbox.mkdir()
+    for i in range(5):
+        (inbox / f"{i}.txt").write_text(f"текст {i % 4}")
+    monkeypatch.setattr(collections, "files", lambda *a: pytest.fail("listed"))
+    ingest.ingest(spark, str(inbox), store, "law", str(tmp_path / "one"), files_per_batch=2)
+    ingest.ingest(spark, str(inbox), store, "law", str(tmp_path / "two"), files_per_batch=2)
+    assert collections.read(spark, store, "law").count() == 4
+    assert collections.stored(spark, store, "law", ["absent"]) == set() == collections.stored(spark, store, "none", ["absent"])
+
+
+def test_chunks_are_cut_once(spark):
+    """A window of text isn't cut again for each mention of it in a filter."""
+    from tessera.operators.chunking import chunk
+
+    d = chunk(spark.createDataFrame([("a", 1, "x y\n" * 900)], "file_id string, page int, text string"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("substring(") <= 2 and d.count() == 4  # the window and its left part
