@@ -204,8 +204,11 @@ def with_spans(docs: DataFrame) -> DataFrame:
     spans, every, extra, h1, h2, x1, x2 = (fresh(docs, c) for c in ("spans", "all_spans", "extra", "h1", "h2", "x1", "x2"))
     text = F.coalesce(F.col("text"), F.lit(""))
     a, b = content_key(text)
-    own = docs.select("*", a.alias(h1), b.alias(h2), base_spans(text).alias(spans), F.sort_array(F.concat(base_spans(text), secret_spans(text))).alias(every))
-    held = own.where(F.size(every) > 0).groupBy(F.col(h1).alias("h1"), F.col(h2).alias("h2")).agg(F.first("text").alias("text"), F.first(every).alias("spans"))
+    both = let(base_spans(text), lambda base: F.struct(base.alias("base"), F.sort_array(F.concat(base, secret_spans(text))).alias("every")))
+    own = docs.select("*", a.alias(h1), b.alias(h2), both.alias(spans)).select(*[F.col(c) for c in docs.columns], h1, h2, F.col(spans)["every"].alias(every), F.col(spans)["base"].alias(spans))
+    # An outer explode, as Spark would move a test of the spans below what finds them, and find them twice.
+    found = docs.select(F.explode_outer(F.array(F.struct(a.alias("h1"), b.alias("h2"), F.col("text"), both["every"].alias("spans")))).alias("o")).select("o.*")
+    held = found.where(F.size("spans") > 0).groupBy("h1", "h2").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
     held = materialise(held)
     risky = risky_terms(docs, held)
     mine = held.select("h1", "h2", F.explode(F.array_distinct(F.concat(F.transform("spans", entity), F.transform("spans", kind_of)))).alias("entity"))

@@ -132,3 +132,15 @@ def test_terms_are_found_on_the_given_tables(spark):
         pytest.skip("no tables here")
     r = op3_private_data(spark, folder).agg(F.sum("n_term").alias("terms"), F.sum("n_secret").alias("secrets"), F.count("*").alias("rows")).first()
     assert r.rows == 1000 and r.secrets > 0 and r.terms > 0
+
+
+def test_spans_are_found_once(spark, monkeypatch):
+    """Spark moves a test of the spans below what finds them, whose patterns then run twice."""
+    from tessera.llm import private_data
+
+    plans, real = [], private_data.materialise
+    monkeypatch.setattr(private_data, "materialise", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d))
+    docs = spark.createDataFrame([(1, "a@b.cc and 1.2.3.4")], "doc_id long, text string")
+    out = private_data.with_spans(docs)
+    for plan in (plans[0], out._jdf.queryExecution().optimizedPlan().toString()):
+        assert plan.count(private_data.PATTERNS["phone"]) <= 2  # split and extract
